@@ -1,0 +1 @@
+"""Empty on purpose: every capability in scope is a batch job over whole tables."""
