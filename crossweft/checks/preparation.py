@@ -79,7 +79,7 @@ def customers(spark, folder):
         .select(
             F.col("c_custkey").alias("id"),
             F.col("c_name").alias("name"),
-            F.when(F.col("c_custkey") % 10 != 0, F.col("r_name")).alias("region"),
+            F.when(F.col("c_mktsegment") != "MACHINERY", F.col("r_name")).alias("region"),
             F.when(F.col("c_acctbal") > -500, F.col("c_acctbal")).alias("acctbal"),
             F.concat("n_name", F.lit(", "), "c_mktsegment").alias("summary"),
             "c_mktsegment",
@@ -95,7 +95,7 @@ def suppliers(spark, folder):
         .select(
             F.col("s_suppkey").alias("item_id"),
             F.col("s_name").alias("title"),
-            F.when(F.col("s_suppkey") % 2 == 0, F.col("n_name")).alias("band"),
+            F.when(F.col("s_acctbal") > 5000, F.col("n_name")).alias("band"),
             F.col("r_name").alias("region"),
             F.col("s_acctbal").alias("acctbal"),
             F.col("n_name").alias("summary"),
@@ -217,10 +217,10 @@ def event_log_items(spark, folder):
 
 
 PAIR_SQL = f"""
-cust AS (SELECT c_custkey AS item_id, c_name AS title, CASE WHEN c_custkey % 10 <> 0 THEN r_name END AS region,
+cust AS (SELECT c_custkey AS item_id, c_name AS title, CASE WHEN c_mktsegment <> 'MACHINERY' THEN r_name END AS region,
                 CASE WHEN c_acctbal > -500 THEN c_acctbal END AS acctbal, n_name || ', ' || c_mktsegment AS summary
          FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
-supp AS (SELECT s_suppkey AS item_id, s_name AS title, CASE WHEN s_suppkey % 2 = 0 THEN n_name END AS artist,
+supp AS (SELECT s_suppkey AS item_id, s_name AS title, CASE WHEN s_acctbal > 5000 THEN n_name END AS artist,
                 r_name AS region, s_acctbal AS acctbal, n_name AS summary
          FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
 mid AS (SELECT median(acctbal) AS m FROM (SELECT acctbal FROM cust UNION ALL SELECT acctbal FROM supp)),

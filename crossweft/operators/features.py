@@ -144,7 +144,7 @@ def fit(
             .withColumn("block", F.lit(0))
         )
     if schema.text:
-        terms = _term_block(items, space.text(), True, max_text_features, min_text_df)
+        terms = _term_block(items, space.text(), True, max_text_features, min_text_df).persist()
         if not terms.isEmpty():
             blocks.append(terms)
     if schema.numeric:

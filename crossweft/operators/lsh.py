@@ -176,8 +176,10 @@ def top_in_buckets(
     plan = plan.withColumn(
         "cell", F.when(heavy, F.lit(-1)).otherwise(F.pmod(F.xxhash64("key"), F.lit(groups)))
     ).withColumn("hot_key", F.when(heavy, F.col("key")).otherwise(F.lit(0)))
+    # Same columns under fresh ids: both sides of the cogroup come from this plan.
+    query_plan = plan.select(*[F.col(name).alias(name) for name in plan.columns])
     if n_keys <= BROADCAST_ROWS:
-        plan = F.broadcast(plan)
+        plan, query_plan = F.broadcast(plan), F.broadcast(query_plan)
 
     at = ["cell", "hot_key", "i_split", "q_split"]
     item_cells = (
@@ -189,7 +191,7 @@ def top_in_buckets(
     query_cells = (
         probes.select("qid", "key")
         .join(q, "qid")
-        .join(plan, "key")
+        .join(query_plan, "key")
         .withColumn("q_split", F.pmod(F.xxhash64("qid"), F.col("query_splits")).cast("int"))
         .withColumn("i_split", F.explode(F.sequence(F.lit(0), F.col("item_splits") - 1)))
         .select(*at, "key", "qid", "vec", "w_sim", "w_bias", "w_const")
