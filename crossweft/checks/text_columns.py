@@ -11,7 +11,9 @@ from crossweft.operators import steering
 
 WS = r"E' \t\n\r\f\v'"
 
-ORDER_TITLE = F.concat(F.lit("Order "), F.col("o_orderkey"), F.lit(" ("), F.year("o_orderdate"), F.lit(") "))
+
+def order_title():
+    return F.concat(F.lit("Order "), F.col("o_orderkey"), F.lit(" ("), F.year("o_orderdate"), F.lit(") "))
 
 
 @query(
@@ -26,11 +28,12 @@ ORDER_TITLE = F.concat(F.lit("Order "), F.col("o_orderkey"), F.lit(" ("), F.year
     "C1 C2",
 )
 def title_year_and_clean(spark, folder):
+    title = order_title()
     return table(spark, folder, "orders").select(
         "o_orderkey",
-        X.trailing_year(ORDER_TITLE).alias("year"),
-        X.clean_title(ORDER_TITLE).alias("clean"),
-        X.trailing_year(F.concat(ORDER_TITLE, F.lit("cut"))).alias("no_year"),
+        X.trailing_year(title).alias("year"),
+        X.clean_title(title).alias("clean"),
+        X.trailing_year(F.concat(title, F.lit("cut"))).alias("no_year"),
     )
 
 

@@ -53,10 +53,12 @@ def bounded_arrow(df: DataFrame, max_rows: int, max_bytes: int) -> pa.Table | No
     total = F.lit(0).cast("long")
     for field in df.schema.fields:
         total = total + F.coalesce(_width(field), F.lit(1))
+    capped = capped.persist()
     rows, volume = capped.agg(F.count(F.lit(1)), F.coalesce(F.sum(total), F.lit(0))).first()
-    if rows > max_rows or volume > max_bytes:
-        return None
-    return df.toArrow()
+    fits = rows <= max_rows and volume <= max_bytes
+    found = capped.toArrow() if fits else None
+    capped.unpersist()
+    return found
 
 
 def pair_blocks(

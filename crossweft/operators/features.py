@@ -134,6 +134,7 @@ def fit(
     Ids run over categories (column, then value), terms (alphabetical), numbers
     (column order). Without any block, titles alone are used, single words only.
     """
+    n_items = items.count()
     space = FeatureSpace(schema, items, numeric_scales(items, schema.numeric), 0)
     blocks = []
     if schema.categorical:
@@ -144,9 +145,9 @@ def fit(
             .withColumn("block", F.lit(0))
         )
     if schema.text:
-        terms = _term_block(items, space.text(), True, max_text_features, min_text_df).persist()
-        if not terms.isEmpty():
-            blocks.append(terms)
+        blocks.append(
+            _term_block(items, n_items, space.text(), True, max_text_features, min_text_df)
+        )
     if schema.numeric:
         blocks.append(
             items.sparkSession.createDataFrame(
@@ -154,25 +155,33 @@ def fit(
                 "kind string, ord int, feature string, idf double, block int",
             )
         )
-    if not blocks:
+    union, n_features = _union_blocks(blocks)
+    if not n_features:
         space = replace(space, title_only=True)
-        blocks.append(_term_block(items, space.text(), False, None, 1))
-    union = blocks[0]
-    for block in blocks[1:]:
-        union = union.unionByName(block)
-    union = union.persist()
-    n_features = union.count()
-    numbered = global_row_number(union, [("block", True), ("ord", True), ("feature", True)], "n")
+        union, n_features = _union_blocks(
+            [_term_block(items, n_items, space.text(), False, None, 1)]
+        )
+    keys = [("block", True), ("ord", True), ("feature", True)]
+    numbered = global_row_number(union, keys, "n", n=n_features)
     vocab = numbered.select(
         (F.col("n") - 1).cast("int").alias("feature_id"), "feature", "kind", "ord", "idf"
     )
     return replace(space, vocab=vocab.persist(), n_features=n_features)
 
 
+def _union_blocks(blocks: list[DataFrame]) -> tuple[DataFrame | None, int]:
+    if not blocks:
+        return None, 0
+    union = blocks[0]
+    for block in blocks[1:]:
+        union = union.unionByName(block)
+    union = union.persist()
+    return union, union.count()
+
+
 def _term_block(
-    items: DataFrame, text: Column, bigrams: bool, cap: int | None, min_df: int
+    items: DataFrame, n_items: int, text: Column, bigrams: bool, cap: int | None, min_df: int
 ) -> DataFrame:
-    n_items = items.count()
     frequency = document_frequency(term_counts(by_item(items), text, bigrams))
     return cap_vocabulary(frequency, cap, min_df).select(
         F.lit("txt").alias("kind"),

@@ -234,17 +234,18 @@ def retrieve(
     pool = max(search_k, 30 * top_n) if pool is None else pool
     fallback_below = 5 * top_n if fallback_below is None else fallback_below
     exact_k = 10 * top_n if exact_k is None else exact_k
-    n_items = items.count()
     shape = ["qid", "item_id", "similarity", "bias", "score", "method", "pool_size"]
     if not use_ann or planes is None:
         found = top_scored(queries, items, exact_k)
         return found.withColumn("method", F.lit("exact")).withColumn(
-            "pool_size", F.lit(n_items).cast("long")
+            "pool_size", F.lit(items.count()).cast("long")
         ).select(shape)
 
     keyed = queries.withColumn("key", lsh_key(F.col("vec").cast("array<double>"), planes)).persist()
+    buckets = bucket_counts(items).persist()
+    n_items = buckets.agg(F.coalesce(F.sum("cnt"), F.lit(0))).first()[0]
     kept = ring_cutoff(
-        probe_hits(keyed, bucket_counts(items), len(planes), radius), max(search_k, pool)
+        probe_hits(keyed, buckets, len(planes), radius), max(search_k, pool)
     ).persist()
     counts = kept.groupBy("qid").agg(F.first("pool_size").alias("pool_size"))
     policy = keyed.join(counts, "qid", "left").withColumn(

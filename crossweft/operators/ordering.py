@@ -18,6 +18,7 @@ def global_row_number(
     name: str,
     single_sort_rows: int = SINGLE_SORT_ROWS,
     slices: int | None = None,
+    n: int | None = None,
 ) -> DataFrame:
     """Number rows 1..n by ``keys`` (column, ascending); the keys must be unique together.
 
@@ -26,7 +27,7 @@ def global_row_number(
     inside each range, and shifted by the counts of the ranges before it.
     """
     order = [F.col(c).asc() if up else F.col(c).desc() for c, up in keys]
-    n = df.count()
+    n = df.count() if n is None else n
     if n <= single_sort_rows:
         return df.withColumn(name, F.row_number().over(Window.orderBy(*order)))
 
@@ -64,6 +65,16 @@ def global_row_number(
     )
 
 
+def exact_medians(
+    df: DataFrame, columns: Sequence[str], collect_rows: int = SINGLE_SORT_ROWS
+) -> dict[str, float | None]:
+    """Medians of several columns: one scan when the table is small, else one by one."""
+    numbers = df.select(*[to_number(F.col(c)).alias(c) for c in columns])
+    if numbers.limit(collect_rows + 1).count() <= collect_rows:
+        return numbers.agg(*[F.median(c).alias(c) for c in columns]).first().asDict()
+    return {c: exact_median(df, F.col(c), collect_rows) for c in columns}
+
+
 def exact_median(df: DataFrame, column: Column, collect_rows: int = SINGLE_SORT_ROWS) -> float | None:
     """Median of the readable values.
 
@@ -76,6 +87,8 @@ def exact_median(df: DataFrame, column: Column, collect_rows: int = SINGLE_SORT_
     n = values.count()
     if n == 0:
         return None
+    if n <= collect_rows:
+        return values.agg(F.median("v")).first()[0]
     ranks = sorted({(n - 1) // 2, n // 2})
     below, inside, lo, hi = 0, n, None, None
     while inside > collect_rows:

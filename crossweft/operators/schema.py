@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from crossweft.functions.text import UNKNOWN, to_number
-from crossweft.operators.ordering import exact_median
+from crossweft.operators.ordering import exact_medians
 
 # Accepted column names per role, first match wins.
 QUERY_TITLES = ("title", "movie_title", "movie", "name")
@@ -201,12 +201,11 @@ def canonical_catalog(df: DataFrame, roles: Roles, features: Sequence[str]) -> D
 
 def fill_values(queries: DataFrame, catalog: DataFrame, schema: FeatureSchema) -> dict[str, float]:
     """Exact median of each numeric column over both tables, 0 when it has no number."""
-    fills = {}
-    for name in schema.numeric:
-        both = queries.select(name).unionByName(catalog.select(name))
-        median = exact_median(both, F.col(name))
-        fills[name] = 0.0 if median is None else median
-    return fills
+    if not schema.numeric:
+        return {}
+    both = queries.select(*schema.numeric).unionByName(catalog.select(*schema.numeric))
+    medians = exact_medians(both, schema.numeric)
+    return {name: 0.0 if value is None else value for name, value in medians.items()}
 
 
 def impute(df: DataFrame, schema: FeatureSchema, fills: dict[str, float]) -> DataFrame:

@@ -40,6 +40,7 @@ class Trained:
     model: dictionary.Dictionary
     codes: DataFrame
     planes: np.ndarray
+    items: DataFrame
     settings: Settings = field(default_factory=Settings)
 
     def query_vectors(self) -> DataFrame:
@@ -47,10 +48,14 @@ class Trained:
 
     def catalog(self) -> DataFrame:
         """Catalog columns with ``vec`` and bucket ``key``."""
-        coded = self.codes.where("domain = 'c'").select(
-            "item_id", F.col("code").alias("vec"), lsh.lsh_key(F.col("code"), self.planes).alias("key")
-        )
-        return self.pair.catalog.join(coded, "item_id")
+        return self.items
+
+
+def keyed_catalog(pair: PreparedPair, codes: DataFrame, planes: np.ndarray) -> DataFrame:
+    coded = codes.where("domain = 'c'").select(
+        "item_id", F.col("code").alias("vec"), lsh.lsh_key(F.col("code"), planes).alias("key")
+    )
+    return pair.catalog.join(coded, "item_id")
 
 
 def train(pair: PreparedPair, settings: Settings = Settings()) -> Trained:
@@ -69,7 +74,8 @@ def train(pair: PreparedPair, settings: Settings = Settings()) -> Trained:
     )
     codes = durable(dictionary.encode(rows, model))
     planes = lsh.hyperplanes(settings.ann_bits, settings.n_components, settings.seed)
-    return Trained(pair, space, model, codes, planes, settings)
+    items = durable(keyed_catalog(pair, codes, planes))
+    return Trained(pair, space, model, codes, planes, items, settings)
 
 
 def training_summary(trained: Trained) -> DataFrame:
@@ -83,11 +89,7 @@ def training_summary(trained: Trained) -> DataFrame:
             F.sum(F.size(F.filter("code", lambda x: x == 0))) / F.sum(F.size("code")) * 100.0
         ).alias("sparsity_pct"),
     )
-    key = lsh.lsh_key(F.col("code"), trained.planes)
-    buckets = (
-        trained.codes.where("domain = 'c'").select(key.alias("key")).distinct()
-        .agg(F.count(F.lit(1)).alias("ann_buckets"))
-    )
+    buckets = trained.items.select("key").distinct().agg(F.count(F.lit(1)).alias("ann_buckets"))
     one = F.lit(1).alias("one")
     return (
         counts.withColumn("one", one)
@@ -159,9 +161,13 @@ def load(spark: SparkSession, folder: str, pair: PreparedPair) -> Trained:
         else lsh.hyperplanes(24, len(atoms), SEED)
     )
     settings = Settings(n_components=len(atoms), alpha=model["alpha"], ann_bits=len(planes))
-    return Trained(
-        pair, space, dictionary.Dictionary(atoms, model["alpha"], model["objective"]), found["codes"], planes, settings
-    )
+    if "ann" in found:
+        coded = found["codes"].where("domain = 'c'").select("item_id", F.col("code").alias("vec"))
+        items = pair.catalog.join(coded, "item_id").join(found["ann"].select("item_id", "key"), "item_id")
+    else:
+        items = keyed_catalog(pair, found["codes"], planes)
+    fitted = dictionary.Dictionary(atoms, model["alpha"], model["objective"])
+    return Trained(pair, space, fitted, found["codes"], planes, items, settings)
 
 
 def recommend(

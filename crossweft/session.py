@@ -16,6 +16,7 @@ def local_session(app: str = "crossweft", cores: str = "*", memory: str | None =
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", memory or os.environ.get("BENCH_MEMORY", "8g"))
     )
     spark = builder.getOrCreate()

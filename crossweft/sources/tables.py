@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 
 from crossweft.operators import schema as S
+from crossweft.session import durable
 from crossweft.sources.bridges import MAX_CATALOG, listened_items, rated_items, reject_empty
 
 DIRECT = "direct_pair"
@@ -77,6 +78,9 @@ def load_raw(spark: SparkSession, spec: SourceSpec) -> tuple[DataFrame, DataFram
 def load_pair(spark: SparkSession, spec: SourceSpec) -> PreparedPair:
     """Resolve columns, infer roles over the shared ones, and fill the gaps."""
     raw_q, raw_c, source_type = load_raw(spark, spec)
+    if source_type == BRIDGE:
+        # Several passes follow; the raw logs behind these item tables are read once.
+        raw_q, raw_c = durable(raw_q), durable(raw_c)
     reject_empty(raw_q, "The query table")
     reject_empty(raw_c, "The catalog table")
     roles_q = S.resolve_roles(raw_q, S.QUERY_TITLES)
