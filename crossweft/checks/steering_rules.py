@@ -239,7 +239,7 @@ def atom_explanations(spark, folder):
     n_atoms = atoms.agg(F.max("atom")).first()[0] + 1
     rows = atoms.groupBy("atom").agg(F.array_sort(F.collect_list(F.struct("feature_id", "weight"))).alias("w"))
     weights = {r.atom: [e.weight for e in r.w] for r in rows.collect()}
-    code = F.array(*[V.dot(F.col("vec"), F.array(*[F.lit(x) for x in weights[a]])) for a in range(n_atoms)])
+    code = F.array(*[V.dot(F.col("vec"), V.double_array(weights[a])) for a in range(n_atoms)])
     names = means.select("feature_id", F.concat(F.lit("f"), "feature_id").alias("feature")).distinct()
     best = top_scored(queries, catalog, 5).select("qid", "item_id")
     pairs = best.join(queries.select("qid", code.alias("query_code")), "qid").join(

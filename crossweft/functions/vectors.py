@@ -6,6 +6,8 @@ multiplies Arrow blocks as matrices.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,6 +55,17 @@ def vector_dim(df: DataFrame, column: str) -> int:
     return int(row[0])
 
 
-def vector_sum(vector: Column, weight: Column, dim: int) -> Column:
-    """Aggregate: element-wise weighted sum. Partial sums form before the shuffle."""
-    return F.array(*[F.sum(weight * vector[i].cast("double")) for i in range(dim)])
+def vector_sum(vector: str, weight: str, dim: int) -> Column:
+    """Aggregate: element-wise sum of column ``vector`` times the SQL ``weight``.
+
+    Partial sums form before the shuffle. Written as one SQL text because building
+    ``dim`` column objects costs a round trip to the JVM for each of their parts.
+    """
+    return F.expr(
+        "array(" + ", ".join(f"sum({weight} * cast({vector}[{i}] as double))" for i in range(dim)) + ")"
+    )
+
+
+def double_array(values: Iterable[float]) -> Column:
+    """Literal array of doubles, sent as one SQL text."""
+    return F.expr("array(" + ", ".join(f"{float(v)!r}D" for v in values) + ")")

@@ -25,8 +25,9 @@ from pyspark.sql import types as T
 # Most rows and bytes of a side that may be sent to every executor.
 BROADCAST_ROWS = 20_000
 BROADCAST_BYTES = 64 << 20
-# Target rows per side in one grid cell.
-BLOCK_ROWS = 4_096
+# Most rows per side in one grid cell. Every row travels once per block of the other
+# side, so larger blocks mean less shuffling; this many 64-wide vectors are 16 MB.
+BLOCK_ROWS = 32_768
 
 Kernel = Callable[[pa.Table, pa.Table], pa.Table]
 
@@ -61,6 +62,18 @@ def bounded_arrow(df: DataFrame, max_rows: int, max_bytes: int) -> pa.Table | No
     return found
 
 
+def grid_shape(left_rows: int, right_rows: int, block_rows: int, cores: int) -> tuple[int, int]:
+    """Blocks per side: at most ``block_rows`` rows each, and cells for every core."""
+    n_left = max(1, math.ceil(left_rows / block_rows))
+    n_right = max(1, math.ceil(right_rows / block_rows))
+    while n_left * n_right < 2 * cores and max(left_rows / n_left, right_rows / n_right) > 512:
+        if left_rows / n_left > right_rows / n_right:
+            n_left += 1
+        else:
+            n_right += 1
+    return n_left, n_right
+
+
 def pair_blocks(
     left: DataFrame,
     right: DataFrame,
@@ -96,10 +109,9 @@ def pair_blocks(
 
         return right.mapInArrow(scan, schema)
 
-    n_left = max(1, math.ceil(left.count() / block_rows))
-    n_right = max(1, math.ceil(right.count() / block_rows))
-    cells = n_left * n_right
-    tasks = min(cells, 16 * left.sparkSession.sparkContext.defaultParallelism + n_left + n_right)
+    cores = left.sparkSession.sparkContext.defaultParallelism
+    n_left, n_right = grid_shape(left.count(), right.count(), block_rows, cores)
+    tasks = min(n_left * n_right, 64 * cores)
     left_cells = left.withColumn(
         "__lb", F.pmod(F.xxhash64(left_key), F.lit(n_left)).cast("int")
     ).withColumn("__rb", F.explode(F.sequence(F.lit(0), F.lit(n_right - 1))))

@@ -20,8 +20,8 @@ KEY = ["domain", "item_id"]
 # Default vocabulary cap and minimum document count.
 MAX_TEXT_FEATURES = 3_000
 MIN_TEXT_DF = 1
-# Vocabularies up to this many rows are sent to every executor.
-BROADCAST_VOCAB = 200_000
+# Vocabularies up to this many bytes are sent to every executor.
+BROADCAST_VOCAB = 32 << 20
 
 
 def union_domains(queries: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -51,11 +51,11 @@ def one_hot(items: DataFrame, columns: tuple[str, ...]) -> DataFrame:
 
 def term_counts(items: DataFrame, text: Column, bigrams: bool = True) -> DataFrame:
     """(domain, item_id, term, tf)."""
-    tokens = words(text)
-    if bigrams:
-        tokens = with_bigrams(tokens)
+    # The words are a column of their own, so building pairs does not match them again.
+    terms = with_bigrams(F.col("__words")) if bigrams else F.col("__words")
     return (
-        items.select(*KEY, F.explode(tokens).alias("term"))
+        items.select(*KEY, words(text).alias("__words"))
+        .select(*KEY, F.explode(terms).alias("term"))
         .groupBy(*KEY, "term")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
@@ -114,10 +114,12 @@ class FeatureSpace:
     scales: dict[str, float]
     n_features: int
     title_only: bool = False
+    vocab_bytes: int | None = None
 
     def lookup(self, kind: str) -> DataFrame:
         part = self.vocab.where(F.col("kind") == kind)
-        return F.broadcast(part) if self.n_features <= BROADCAST_VOCAB else part
+        small = self.vocab_bytes is not None and self.vocab_bytes <= BROADCAST_VOCAB
+        return F.broadcast(part) if small else part
 
     def text(self) -> Column:
         return F.col("title").cast("string") if self.title_only else column_text(self.schema.text)
@@ -155,10 +157,10 @@ def fit(
                 "kind string, ord int, feature string, idf double, block int",
             )
         )
-    union, n_features = _union_blocks(blocks)
+    union, n_features, size = _union_blocks(blocks)
     if not n_features:
         space = replace(space, title_only=True)
-        union, n_features = _union_blocks(
+        union, n_features, size = _union_blocks(
             [_term_block(items, n_items, space.text(), False, None, 1)]
         )
     keys = [("block", True), ("ord", True), ("feature", True)]
@@ -166,17 +168,19 @@ def fit(
     vocab = numbered.select(
         (F.col("n") - 1).cast("int").alias("feature_id"), "feature", "kind", "ord", "idf"
     )
-    return replace(space, vocab=vocab.persist(), n_features=n_features)
+    return replace(space, vocab=vocab.persist(), n_features=n_features, vocab_bytes=size)
 
 
-def _union_blocks(blocks: list[DataFrame]) -> tuple[DataFrame | None, int]:
+def _union_blocks(blocks: list[DataFrame]) -> tuple[DataFrame | None, int, int]:
+    """The vocabulary so far, its rows and its rough bytes."""
     if not blocks:
-        return None, 0
+        return None, 0, 0
     union = blocks[0]
     for block in blocks[1:]:
         union = union.unionByName(block)
     union = union.persist()
-    return union, union.count()
+    size = F.coalesce(F.sum(F.octet_length("feature") + 32), F.lit(0))
+    return union, *union.agg(F.count(F.lit(1)), size).first()
 
 
 def _term_block(

@@ -78,11 +78,10 @@ def probe_hits(queries: DataFrame, buckets: DataFrame, n_bits: int, radius: int)
     """(qid, key, dist, cnt): the existing buckets within ``radius`` of each query key."""
     radius = min(radius, n_bits)
     if mask_count(n_bits, radius) <= MAX_MASKS:
-        masks = F.array(
-            *[
-                F.struct(F.lit(m).cast("bigint").alias("mask"), F.lit(d).alias("dist"))
-                for m, d in probe_masks(n_bits, radius)
-            ]
+        masks = F.expr(
+            "array("
+            + ", ".join(f"struct({m}L as mask, {d} as dist)" for m, d in probe_masks(n_bits, radius))
+            + ")"
         )
         probes = queries.select("qid", "key", F.explode(masks).alias("m")).select(
             "qid", F.col("key").bitwiseXOR(F.col("m.mask")).alias("key"), "m.dist"
@@ -164,9 +163,8 @@ def top_in_buckets(
     n_keys = totals[0]
     if not n_keys:
         return q.sparkSession.createDataFrame([], schema + ", rank int")
-    groups = max(
-        1, min(n_keys, math.ceil(max(totals[1], totals[2]) / block_rows))
-    )
+    cores = q.sparkSession.sparkContext.defaultParallelism
+    groups = min(n_keys, max(2 * cores, math.ceil(max(totals[1], totals[2]) / block_rows)))
     plan = met.select(
         "key",
         F.ceil(F.col("n_items") / block_rows).cast("int").alias("item_splits"),

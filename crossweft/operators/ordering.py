@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crossweft.functions.text import to_number
+from crossweft.session import durable
 
 SINGLE_SORT_ROWS = 500_000
+MAX_SLICES = 200
 
 
 def global_row_number(
@@ -22,6 +24,8 @@ def global_row_number(
 ) -> DataFrame:
     """Number rows 1..n by ``keys`` (column, ascending); the keys must be unique together.
 
+    ``n``, when the caller knows it, is the number of rows or an upper bound of it.
+
     A small input is sorted in one task. A large one is cut into key ranges by
     sampled boundaries (literals, so a re-run task cuts the same way), numbered
     inside each range, and shifted by the counts of the ranges before it.
@@ -31,7 +35,8 @@ def global_row_number(
     if n <= single_sort_rows:
         return df.withColumn(name, F.row_number().over(Window.orderBy(*order)))
 
-    slices = slices or max(2, n // single_sort_rows + 1)
+    df = durable(df)  # sampled, counted and numbered: three passes over the same rows
+    slices = slices or min(MAX_SLICES, n // single_sort_rows + 2)
     fraction = min(1.0, 50.0 * slices / n)
     picked = df.select(*[c for c, _ in keys]).sample(fraction, seed=17).orderBy(*order).collect()
     step = max(1, len(picked) // slices)

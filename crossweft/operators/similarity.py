@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,8 +38,11 @@ def unit_rows(rows: np.ndarray) -> np.ndarray:
 
 
 def _ids(column: pa.ChunkedArray) -> np.ndarray:
-    values = column.to_numpy()
-    return values.astype("U") if values.dtype == object else values
+    """Numbers that sort like the ids; text sorts by its bytes, as in Spark."""
+    if pa.types.is_string(column.type) or pa.types.is_large_string(column.type):
+        flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+        return pc.rank(flat, tiebreaker="dense").to_numpy().astype(np.int64)
+    return column.to_numpy()
 
 
 def best_per_row(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

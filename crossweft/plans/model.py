@@ -89,21 +89,17 @@ def training_summary(trained: Trained) -> DataFrame:
             F.sum(F.size(F.filter("code", lambda x: x == 0))) / F.sum(F.size("code")) * 100.0
         ).alias("sparsity_pct"),
     )
-    buckets = trained.items.select("key").distinct().agg(F.count(F.lit(1)).alias("ann_buckets"))
-    one = F.lit(1).alias("one")
-    return (
-        counts.withColumn("one", one)
-        .join(F.broadcast(buckets.withColumn("one", one)), "one")
-        .drop("one")
-        .withColumns(
-            {
-                "feature_dim": F.lit(trained.space.n_features),
-                "n_components": F.lit(s.n_components),
-                "alpha": F.lit(s.alpha),
-                "ann_bits": F.lit(s.ann_bits),
-                "objective": F.lit(trained.model.objective[-1] if trained.model.objective else None).cast("double"),
-            }
-        )
+    buckets = trained.items.select("key").distinct().count()
+    objective = trained.model.objective[-1] if trained.model.objective else None
+    return counts.withColumns(
+        {
+            "ann_buckets": F.lit(buckets).cast("long"),
+            "feature_dim": F.lit(trained.space.n_features),
+            "n_components": F.lit(s.n_components),
+            "alpha": F.lit(s.alpha),
+            "ann_bits": F.lit(s.ann_bits),
+            "objective": F.lit(objective).cast("double"),
+        }
     )
 
 
@@ -123,7 +119,12 @@ def save(trained: Trained, folder: str) -> None:
             "vocab": trained.space.vocab,
             "scales": artifacts.json_row(spark, trained.space.scales),
             "feature_config": artifacts.json_row(
-                spark, {"title_only": trained.space.title_only, "n_features": trained.space.n_features}
+                spark,
+                {
+                    "title_only": trained.space.title_only,
+                    "n_features": trained.space.n_features,
+                    "vocab_bytes": trained.space.vocab_bytes,
+                },
             ),
             "schema": artifacts.json_row(spark, roles | {"source_type": trained.pair.source_type}),
             "ann": catalog.select("item_id", "key", vectors.unit(F.col("vec")).alias("unit")),
@@ -154,6 +155,7 @@ def load(spark: SparkSession, folder: str, pair: PreparedPair) -> Trained:
         artifacts.read_json_row(found["scales"]) if "scales" in found else {},
         config.get("n_features", atoms.shape[1]),
         config.get("title_only", False),
+        config.get("vocab_bytes"),
     )
     planes = (
         artifacts.table_matrix(found["hyperplanes"], "bit", "plane")
@@ -190,20 +192,19 @@ def recommend(
     dim = vectors.vector_dim(catalog, "vec")
     shifted, biased = steering.steer(queries, catalog, request, dim, text_columns)
     pool = lsh.retrieve(shifted, biased, planes, top_n, search_k, radius, use_ann)
-    ranked = rerank.rank_by_score(pool, max(rerank.POOL_FACTOR * top_n, top_n))
+    depth = max(rerank.POOL_FACTOR * top_n, top_n) if diversify else top_n
+    ranked = rerank.rank_by_score(pool, depth)
+    # One more pass over the catalog brings vectors and titles to the short lists.
+    shown = catalog.select("item_id", "title", "artist", F.col("vec").cast("array<double>").alias("vec"))
+    final = _attach(ranked, shown, _bounded(queries, depth))
     if diversify:
-        ranked = ranked.persist()
-        with_vectors = rerank.attach_vectors(ranked, catalog, _bounded(queries, top_n * rerank.POOL_FACTOR))
-        order = rerank.diversify(with_vectors, top_n)
-        final = ranked.drop("rank").join(order, ["qid", "item_id"])
-    else:
-        final = ranked.where(F.col("rank") <= top_n)
+        final = final.persist()
+        final = final.drop("rank").join(rerank.diversify(final, top_n), ["qid", "item_id"])
     columns = ["qid", "rank", "item_id", "title", "artist", "similarity", "score", "method", "pool_size"]
-    shown = catalog.select("item_id", "title", "artist", F.col("vec").alias("item_code"))
-    final = _attach(final, shown, _bounded(queries, top_n))
     if labels is not None:
         codes = queries.select("qid", F.col("vec").alias("query_code"))
-        final = explain.explain_pairs(final.join(codes, "qid"), labels)
+        pairs = final.withColumnRenamed("vec", "item_code").join(codes, "qid")
+        final = explain.explain_pairs(pairs, labels)
         columns.append("explanation")
     return final.select(*columns)
 
@@ -305,8 +306,9 @@ def evaluate(
     catalog = trained.catalog()
     ranked = top_scored(queries, catalog.select("item_id", "vec"), max(ks)).persist()
     asked = test.withColumnRenamed("item_id", "qid")
-    judged, counts = relevance.judge(ranked, asked, pair.catalog, pair.schema)
-    judged = _attach(judged, catalog.select("item_id", "vec"), ranked.count())
+    n_ranked = ranked.count()
+    judged, counts = relevance.judge(ranked, asked, pair.catalog, pair.schema, n_ranked)
+    judged = _attach(judged, catalog.select("item_id", "vec"), n_ranked)
     per_query = metrics.query_metrics(judged, counts, ks, settings.n_components)
     covered = metrics.coverage(ranked, pair.catalog.count(), ks)
     return metrics.summary(per_query, covered), test.count()

@@ -17,6 +17,7 @@ def local_session(app: str = "crossweft", cores: str = "*", memory: str | None =
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.driver.memory", memory or os.environ.get("BENCH_MEMORY", "8g"))
     )
     spark = builder.getOrCreate()
@@ -29,5 +30,9 @@ def durable(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="crossweft-checkpoint-"))
+        if folder is None:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("Set spark.checkpoint.dir to a folder all executors share.")
+            folder = tempfile.mkdtemp(prefix="crossweft-checkpoint-")
+        sc.setCheckpointDir(folder)
     return df.checkpoint(eager=True)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 REQUIRED = ("atoms", "codes", "model", "item_keys")
 OPTIONAL = ("vocab", "scales", "feature_config", "ann", "hyperplanes", "training_metadata", "schema")
-# The index is laid out by the leading bits of its key, so probes prune folders.
+# The index is laid out by the lowest bits of its key, so probes prune folders.
 PREFIX_BITS = 6
 
 
@@ -22,8 +22,11 @@ def save(tables: dict[str, DataFrame], folder: str) -> None:
     for name, df in tables.items():
         writer = df.write.mode("overwrite")
         if name == "ann":
+            # Ranges include the item, so a bucket with most of the items is still
+            # written by many tasks.
             prefix = F.pmod(F.col("key"), F.lit(1 << PREFIX_BITS)).alias("key_prefix")
-            writer = df.select("*", prefix).write.mode("overwrite").partitionBy("key_prefix")
+            laid_out = df.select("*", prefix).repartitionByRange("key_prefix", "key", "item_id")
+            writer = laid_out.write.mode("overwrite").partitionBy("key_prefix")
         writer.parquet(f"{folder}/{name}")
 
 
