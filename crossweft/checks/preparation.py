@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from crossweft.checks.registry import query, table
-from crossweft.checks.text_columns import ERA_SQL, WS
+from crossweft.checks.text_columns import ERA_SQL
 from crossweft.operators import features, ordering
 from crossweft.operators import schema as S
 from crossweft.sources import artifacts, bridges
-from crossweft.sources.tables import SourceSpec, load_pair
+from crossweft.sources.tables import SourceSpec, load_pair, load_raw
 
 # ---- stand-in source tables -------------------------------------------------
 
@@ -248,12 +250,34 @@ def prepared_pair(spark, folder):
     return both.select("domain", "item_id", "title", "region", F.round("acctbal", 6).alias("acctbal"), "summary", "artist")
 
 
+@query(
+    "chosen_sources",
+    f"""
+    WITH {PAIR_SQL}, {RATED_SQL}, {LISTENS_SQL}
+    SELECT 'direct_pair' AS source_type, count(*) FILTER (domain = 'q') AS n_queries, count(*) FILTER (domain = 'c') AS n_catalog FROM pair
+    UNION ALL
+    SELECT 'ratings_and_listens', (SELECT count(*) FROM rated_items), (SELECT count(*) FROM listened_items)
+    """,
+    "A4",
+)
+def chosen_sources(spark, folder):
+    """A complete direct pair wins over the raw logs; without one the logs are used."""
+    logs = bridge_spec(spark, folder)
+    both = replace(logs, queries=customers(spark, folder), catalog=suppliers(spark, folder))
+    rows = []
+    for spec in (both, logs):
+        left, right, kind = load_raw(spark, spec)
+        rows.append((kind, left.count(), right.count()))
+    return spark.createDataFrame(rows, "source_type string, n_queries long, n_catalog long")
+
+
 @query(
     "inferred_roles",
     f"""
     WITH {PAIR_SQL}
-    SELECT 'region' AS column, 'categorical' AS role WHERE (SELECT count(DISTINCT region) FROM pair) <= 250
-    UNION ALL SELECT 'acctbal', 'numeric' UNION ALL SELECT 'summary', 'text'
+    SELECT 'region' AS column, CASE WHEN count(DISTINCT region) <= 250 THEN 'categorical' ELSE 'text' END AS role FROM pair
+    UNION ALL SELECT 'acctbal', CASE WHEN typeof(any_value(acctbal)) = 'DOUBLE' THEN 'numeric' ELSE 'other' END FROM pair
+    UNION ALL SELECT 'summary', 'text'
     """,
     "B1 B2 B3 B4 B5",
 )
@@ -332,6 +356,3 @@ def title_fallback(spark, folder):
 )
 def stale_items(spark, folder):
     return artifacts.key_differences(table(spark, folder, "documents"), table(spark, folder, "labels"), ["doc_id"])
-
-
-__all__ = ["WS", "bridge_spec", "customer_supplier_pair", "PAIR_SQL", "RATED_SQL", "LISTENS_SQL"]

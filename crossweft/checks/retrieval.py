@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from crossweft.checks.registry import query, table
 from crossweft.operators import lsh, titles
 from crossweft.operators.similarity import top_scored
+from crossweft.session import checkpoint_folder
+from crossweft.sources import artifacts
 
 DIM = 64
 BITS = 8
@@ -202,6 +206,29 @@ _policy_query("ann_without_buckets", 5, 256, 0, 24, "K5 K6")
 _policy_query("ann_default_bits", 5, 256, 2, 24, "K5 K6")
 
 
+@query(
+    "stored_index",
+    f"WITH {U_SQL}, {planes_sql()} SELECT vec_id AS item_id, key, (key % 64)::INT AS key_prefix FROM keys",
+    "A6 A7 K3",
+)
+def stored_index(spark, folder):
+    """The index written as a table to the shared folder and read back."""
+    _, catalog, planes = keyed(spark, folder)
+    place = f"{checkpoint_folder(spark)}/index-{uuid.uuid4().hex}"
+    artifacts.save(
+        {
+            "ann": catalog.select("item_id", "key", "vec"),
+            "codes": catalog.select("item_id", "vec"),
+            "item_keys": catalog.select("item_id"),
+            "atoms": artifacts.matrix_table(spark, planes, "atom", "weights"),
+            "model": artifacts.json_row(spark, {"bits": len(planes)}),
+        },
+        place,
+    )
+    back = artifacts.load(spark, place)["ann"]
+    return back.select("item_id", "key", F.col("key_prefix").cast("int").alias("key_prefix"))
+
+
 NAMES_SQL = """
 texts AS (SELECT DISTINCT replace(p_name, 'e', 'a') AS text FROM part UNION SELECT DISTINCT upper(n_name) FROM nation
           UNION SELECT split_part(p_name, ' ', 2) || ' ' || split_part(p_name, ' ', 1) FROM part),

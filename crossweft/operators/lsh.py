@@ -10,6 +10,7 @@ and each cell answers with a top list, never with pair rows.
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
@@ -31,6 +32,7 @@ from crossweft.operators.similarity import (
 )
 
 MAX_BITS = 63
+POOL_COLUMNS = ("qid", "item_id", "similarity", "bias", "score", "method", "pool_size")
 # Most probe keys spelled out per query before the pigeonhole join takes over.
 MAX_MASKS = 4_096
 
@@ -209,6 +211,67 @@ def top_in_buckets(
     return found.withColumn("rank", F.row_number().over(rank_window())).where(F.col("rank") <= k)
 
 
+@dataclass(frozen=True)
+class ProbePlan:
+    """What probing decided before any item row is read.
+
+    ``policy`` holds the queries with ``method``, ``pool_size`` and ``found`` (null when
+    no bucket was met); ``kept`` the buckets each query will look into.
+    """
+
+    policy: DataFrame
+    kept: DataFrame
+
+
+def plan_probes(
+    queries: DataFrame, items: DataFrame, planes: np.ndarray, search_k: int, radius: int, fallback_below: int
+) -> ProbePlan:
+    """Buckets per query, and which queries fall back to an exact scan.
+
+    A query that meets no bucket scans the catalog and is still called ``ann``; one
+    whose bucket count is under ``fallback_below`` is called ``exact_fallback``.
+    """
+    key = lsh_key(F.col("vec").cast("array<double>"), planes)
+    keyed = queries.withColumn("key", key).persist()
+    buckets = bucket_counts(items).persist()
+    n_items = buckets.agg(F.coalesce(F.sum("cnt"), F.lit(0))).first()[0]
+    kept = ring_cutoff(probe_hits(keyed, buckets, len(planes), radius), search_k).persist()
+    counts = kept.groupBy("qid").agg(F.first("pool_size").alias("found"))
+    size = F.coalesce("found", F.lit(n_items))
+    method = F.when(size < fallback_below, "exact_fallback").otherwise("ann")
+    policy = (
+        keyed.join(counts, "qid", "left")
+        .withColumn("method", method)
+        .withColumn("pool_size", F.when(method == "ann", size).otherwise(n_items).cast("long"))
+    )
+    return ProbePlan(policy.persist(), kept)
+
+
+def probed_pools(
+    plan: ProbePlan, items: DataFrame, pool: int, exact_k: int, with_fallback: bool = True
+) -> DataFrame:
+    """(qid, item_id, similarity, bias, score, method, pool_size) of the planned pools.
+
+    ``ann`` keeps the ``pool`` most similar items and adds the bias after that, so a
+    bonus cannot pull in an item from outside. Queries that need the whole catalog,
+    for either reason, share one scan of it.
+    """
+    ann = F.col("method") == "ann"
+    near = top_in_buckets(
+        plan.kept.join(plan.policy.where(ann).select("qid"), "qid", "left_semi"),
+        plan.policy.where(ann).withColumn("w_bias", F.lit(0.0)),
+        items,
+        pool,
+    )
+    whole = (ann & F.col("found").isNull()) | (~ann & F.lit(with_fallback))
+    far_queries = plan.policy.where(whole).withColumn("w_bias", F.when(ann, 0.0).otherwise(1.0))
+    far = top_scored(far_queries, items, max(pool, exact_k) if with_fallback else pool)
+    found = near.unionByName(far).withColumn("score", F.col("similarity") + F.col("bias"))
+    limit = F.when(ann, F.lit(pool)).otherwise(F.lit(max(pool, exact_k)))
+    sized = plan.policy.select("qid", "method", "pool_size")
+    return found.join(sized, "qid").where(F.col("rank") <= limit).select(*POOL_COLUMNS)
+
+
 def retrieve(
     queries: DataFrame,
     items: DataFrame,
@@ -217,61 +280,16 @@ def retrieve(
     search_k: int = 256,
     radius: int = 2,
     use_ann: bool = True,
-    pool: int | None = None,
-    fallback_below: int | None = None,
-    exact_k: int | None = None,
 ) -> DataFrame:
-    """(qid, item_id, similarity, bias, score, method, pool_size): the pool to rank.
+    """The pool of items to rank for each query, hashed where possible.
 
-    ``ann`` keeps the ``pool`` most similar bucket members and adds the bias after
-    that, so a bonus cannot pull in an item from outside. A query that meets no
-    bucket scans the catalog and is still called ``ann``; one whose bucket count is
-    under ``fallback_below`` is ranked exactly and called ``exact_fallback``.
     ``items`` needs ``item_id, vec`` (``key`` when ``use_ann``) and optional ``bias``.
     """
-    pool = max(search_k, 30 * top_n) if pool is None else pool
-    fallback_below = 5 * top_n if fallback_below is None else fallback_below
-    exact_k = 10 * top_n if exact_k is None else exact_k
-    shape = ["qid", "item_id", "similarity", "bias", "score", "method", "pool_size"]
+    exact_k = 10 * top_n
     if not use_ann or planes is None:
         found = top_scored(queries, items, exact_k)
-        return found.withColumn("method", F.lit("exact")).withColumn(
-            "pool_size", F.lit(items.count()).cast("long")
-        ).select(shape)
-
-    keyed = queries.withColumn("key", lsh_key(F.col("vec").cast("array<double>"), planes)).persist()
-    buckets = bucket_counts(items).persist()
-    n_items = buckets.agg(F.coalesce(F.sum("cnt"), F.lit(0))).first()[0]
-    kept = ring_cutoff(
-        probe_hits(keyed, buckets, len(planes), radius), max(search_k, pool)
-    ).persist()
-    counts = kept.groupBy("qid").agg(F.first("pool_size").alias("pool_size"))
-    policy = keyed.join(counts, "qid", "left").withColumn(
-        "method",
-        F.when(F.coalesce("pool_size", F.lit(n_items)) < fallback_below, "exact_fallback").otherwise(
-            "ann"
-        ),
-    )
-    in_buckets = policy.where((F.col("method") == "ann") & F.col("pool_size").isNotNull())
-    elsewhere = policy.where((F.col("method") != "ann") | F.col("pool_size").isNull())
-
-    by_similarity = in_buckets.withColumn("w_bias", F.lit(0.0))
-    near = top_in_buckets(
-        kept.join(in_buckets.select("qid"), "qid", "left_semi"), by_similarity, items, pool
-    )
-    # A whole-catalog scan labelled ann still keeps its pool by similarity alone.
-    far_queries = elsewhere.withColumn(
-        "w_bias", F.when(F.col("method") == "ann", 0.0).otherwise(1.0)
-    )
-    far = top_scored(far_queries, items, max(pool, exact_k))
-    found = near.unionByName(far).withColumn("score", F.col("similarity") + F.col("bias"))
-    sized = policy.select(
-        "qid",
-        "method",
-        F.when(F.col("method") == "ann", F.coalesce("pool_size", F.lit(n_items)))
-        .otherwise(n_items)
-        .cast("long")
-        .alias("pool_size"),
-    )
-    limit = F.when(F.col("method") == "ann", F.lit(pool)).otherwise(F.lit(max(pool, exact_k)))
-    return found.join(sized, "qid").where(F.col("rank") <= limit).select(shape)
+        size = F.lit(items.count()).cast("long")
+        return found.withColumns({"method": F.lit("exact"), "pool_size": size}).select(*POOL_COLUMNS)
+    pool = max(search_k, 30 * top_n)
+    plan = plan_probes(queries, items, planes, pool, radius, 5 * top_n)
+    return probed_pools(plan, items, pool, exact_k)

@@ -257,14 +257,13 @@ def playlist(
     exact_queries = queries
     if use_ann and planes is not None:
         size = max(search_k, 20 * stages * per_stage)
-        found = lsh.retrieve(
-            queries, catalog.drop("bias"), planes, top_n=stages * per_stage, search_k=size, pool=size,
-            fallback_below=5 * stages * per_stage, exact_k=1,
-        ).where("method = 'ann'").persist()
+        items = catalog.drop("bias")
+        plan = lsh.plan_probes(queries, items, planes, size, 2, 5 * stages * per_stage)
+        found = lsh.probed_pools(plan, items, size, size, with_fallback=False)
         raw = catalog.select("item_id", *arc.raw_energy(catalog))
         pool = _attach(found, raw, _bounded(queries, size))
         heads.append(arc.stage_heads_from_pool(arc.pool_energy(pool, catalog), stages, per_stage))
-        exact_queries = queries.join(found.select("qid").distinct(), "qid", "left_anti")
+        exact_queries = plan.policy.where("method <> 'ann'").select("qid", "vec")
     heads.append(
         arc.stage_heads_exact(exact_queries, arc.catalog_energy(catalog.drop("bias")), stages, per_stage)
     )

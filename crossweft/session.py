@@ -25,14 +25,20 @@ def local_session(app: str = "crossweft", cores: str = "*", memory: str | None =
     return spark
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Materialise to the shared checkpoint folder, so losing an executor loses nothing."""
-    sc = df.sparkSession.sparkContext
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder of the session; a temporary one only in local mode."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
             if not sc.master.startswith("local"):
                 raise RuntimeError("Set spark.checkpoint.dir to a folder all executors share.")
             folder = tempfile.mkdtemp(prefix="crossweft-checkpoint-")
         sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Materialise to the shared checkpoint folder, so losing an executor loses nothing."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -49,6 +49,13 @@ def test_empty_and_missing_sources(spark):
         load_pair(spark, SourceSpec(queries=full))
 
 
+def test_no_usable_feature(spark, monkeypatch):
+    full = spark.createDataFrame([(1, "a")], "id int, title string")
+    monkeypatch.setattr(S, "infer_schema", lambda q, c, *_: (q, c, S.FeatureSchema()))
+    with pytest.raises(ValueError, match="no usable feature"):
+        load_pair(spark, SourceSpec(queries=full, catalog=full))
+
+
 def test_category_limit(spark):
     def frame(n):
         return spark.range(n).select(F.col("id"), F.concat(F.lit("v"), "id").alias("v"), F.lit("same").alias("w"))
