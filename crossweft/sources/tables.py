@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from crossweft.operators import schema as S
 from crossweft.session import durable
@@ -90,6 +91,10 @@ def load_pair(spark: SparkSession, spec: SourceSpec) -> PreparedPair:
         raise ValueError("The tables share no usable feature column.")
     queries = S.canonical_queries(raw_q, roles_q, schema.all_columns)
     catalog = S.canonical_catalog(raw_c, roles_c, schema.all_columns)
+    if queries.schema["item_id"].dataType != catalog.schema["item_id"].dataType:
+        # Both domains share one key column later on.
+        queries = queries.withColumn("item_id", F.col("item_id").cast("string"))
+        catalog = catalog.withColumn("item_id", F.col("item_id").cast("string"))
     fills = S.fill_values(queries, catalog, schema)
     return PreparedPair(
         S.impute(queries, schema, fills), S.impute(catalog, schema, fills), schema, source_type, fills

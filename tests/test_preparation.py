@@ -40,6 +40,13 @@ def test_numeric_fill_and_all_null(spark):
     assert [r.n for r in pair.queries.orderBy("item_id").collect()] == [1.0, 4.0]
 
 
+def test_ids_of_different_types_become_text(spark):
+    q = spark.createDataFrame([(1, "a", "t")], "id int, title string, tags string")
+    c = spark.createDataFrame([("x1", "b", "t")], "id string, title string, tags string")
+    pair = load_pair(spark, SourceSpec(queries=q, catalog=c))
+    assert (pair.queries.first().item_id, pair.catalog.first().item_id) == ("1", "x1")
+
+
 def test_empty_and_missing_sources(spark):
     empty = spark.createDataFrame([], "id int, title string, tags string")
     full = spark.createDataFrame([(1, "a", "t")], "id int, title string, tags string")
