@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from crossweft.checks.registry import query, table
@@ -178,19 +179,57 @@ def title_only_features(spark, folder):
 )
 def sparse_codes_orthonormal(spark, folder):
     """Codes against a Walsh basis, whose lasso solution SQL can state in closed form."""
-    import numpy as np
+    codes = dictionary.encode(embedding_rows(spark, folder), walsh_model())
+    return codes.select(F.col("item_id").alias("vec_id"), F.posexplode("code").alias("atom", "x")).select(
+        "vec_id", "atom", (F.round("x", 6) + 0.0).alias("weight")
+    )
 
+
+def walsh_model():
     ids = np.arange(64)
     odd = np.array([[bin(i & j).count("1") % 2 for j in ids] for i in ids])
-    model = dictionary.Dictionary((1.0 - 2.0 * odd) / 8.0, alpha=0.05)
-    rows = table(spark, folder, "embeddings").select(
+    return dictionary.Dictionary((1.0 - 2.0 * odd) / 8.0, alpha=0.05)
+
+
+def embedding_rows(spark, folder):
+    return table(spark, folder, "embeddings").select(
         F.lit("c").alias("domain"), F.col("vec_id").alias("item_id"),
         F.sequence(F.lit(0), F.size("embedding") - 1).alias("idx"), F.col("embedding").cast("array<double>").alias("val"),
     )
-    codes = dictionary.encode(rows, model)
-    return codes.select(F.col("item_id").alias("vec_id"), F.posexplode("code").alias("atom", "x")).select(
-        "vec_id", "atom", (F.round("x", 6) + 0.0).alias("weight")
-    )
+
+
+WALSH_SQL = """
+codes AS (
+    SELECT vec_id, r.atom, embedding, list_sum(list_transform(range(64),
+               lambda j: embedding[j + 1]::DOUBLE * (1 - 2 * (bit_count(r.atom & j) % 2)))) / 8 AS p
+    FROM embeddings, range(64) r(atom)),
+soft AS (SELECT vec_id, atom, embedding, sign(p) * greatest(abs(p) - 0.05, 0) AS c FROM codes)
+"""
+
+
+@query(
+    "coding_statistics",
+    f"""
+    WITH {WALSH_SQL}
+    SELECT 'atom' AS side, a.atom::INT AS line, b.atom::INT AS atom, round(sum(a.c * b.c), 6) AS total
+    FROM soft a JOIN soft b ON a.vec_id = b.vec_id GROUP BY ALL
+    UNION ALL
+    SELECT 'feature', j::INT, atom::INT, round(sum(embedding[j + 1]::DOUBLE * c), 6) FROM soft, range(64) f(j) GROUP BY ALL
+    """,
+    "J1",
+)
+def coding_statistics(spark, folder):
+    """The sums one learning pass is made of, for atoms whose codes SQL can state."""
+    model = walsh_model()
+    a, b, _, _ = dictionary.coding_statistics(embedding_rows(spark, folder), model.atoms, model.alpha)
+    rows = [
+        (side, line, atom, float(x))
+        for side, sums in (("atom", a), ("feature", b.T))
+        for line, row in enumerate(sums)
+        for atom, x in enumerate(row)
+    ]
+    frame = spark.createDataFrame(rows, "side string, line int, atom int, total double")
+    return frame.withColumn("total", F.round("total", 6) + 0.0)
 
 
 @query(

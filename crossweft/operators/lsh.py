@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from crossweft.operators.blocks import BLOCK_ROWS, BROADCAST_ROWS
+from crossweft.operators.blocks import BLOCK_ROWS
 from crossweft.operators.similarity import (
     item_rows,
     keep_best,
@@ -33,6 +33,8 @@ from crossweft.operators.similarity import (
 
 MAX_BITS = 63
 POOL_COLUMNS = ("qid", "item_id", "similarity", "bias", "score", "method", "pool_size")
+# Bucket plans are five numbers a row; this many are about 40 MB.
+BROADCAST_KEYS = 1_000_000
 # Most probe keys spelled out per query before the pigeonhole join takes over.
 MAX_MASKS = 4_096
 
@@ -76,8 +78,8 @@ def mask_count(n_bits: int, radius: int) -> int:
     return sum(math.comb(n_bits, d) for d in range(min(radius, n_bits) + 1))
 
 
-def probe_hits(queries: DataFrame, buckets: DataFrame, n_bits: int, radius: int) -> DataFrame:
-    """(qid, key, dist, cnt): the existing buckets within ``radius`` of each query key."""
+def near_buckets(keys: DataFrame, buckets: DataFrame, n_bits: int, radius: int) -> DataFrame:
+    """(qkey, key, dist, cnt): the existing buckets within ``radius`` of each distinct ``qkey``."""
     radius = min(radius, n_bits)
     if mask_count(n_bits, radius) <= MAX_MASKS:
         masks = F.expr(
@@ -85,10 +87,10 @@ def probe_hits(queries: DataFrame, buckets: DataFrame, n_bits: int, radius: int)
             + ", ".join(f"struct({m}L as mask, {d} as dist)" for m, d in probe_masks(n_bits, radius))
             + ")"
         )
-        probes = queries.select("qid", "key", F.explode(masks).alias("m")).select(
-            "qid", F.col("key").bitwiseXOR(F.col("m.mask")).alias("key"), "m.dist"
+        probes = keys.select("qkey", F.explode(masks).alias("m")).select(
+            "qkey", F.col("qkey").bitwiseXOR(F.col("m.mask")).alias("key"), "m.dist"
         )
-        return probes.join(buckets, "key").select("qid", "key", "dist", "cnt")
+        return probes.join(buckets, "key").select("qkey", "key", "dist", "cnt")
 
     # Keys at most ``radius`` bits apart agree on one of radius + 1 pieces of the key.
     pieces = radius + 1
@@ -109,30 +111,42 @@ def probe_hits(queries: DataFrame, buckets: DataFrame, n_bits: int, radius: int)
             )
         )
 
-    wanted = queries.select(F.col("key").alias("qkey")).distinct()
     dist = F.bit_count(F.col("qkey").bitwiseXOR(F.col("key")))
-    near = (
-        wanted.withColumn("p", piece(F.col("qkey")))
+    return (
+        keys.withColumn("p", piece(F.col("qkey")))
         .join(buckets.withColumn("p", piece(F.col("key"))), "p")
         .where(dist <= radius)
         .select("qkey", "key", dist.alias("dist"), "cnt")
         .distinct()
     )
-    return queries.select("qid", F.col("key").alias("qkey")).join(near, "qkey").drop("qkey")
 
 
-def ring_cutoff(hits: DataFrame, search_k: int) -> DataFrame:
+def distinct_keys(queries: DataFrame) -> DataFrame:
+    return queries.select(F.col("key").alias("qkey")).distinct()
+
+
+def per_query(queries: DataFrame, by_key: DataFrame) -> DataFrame:
+    """Give every query the rows found for its key."""
+    return queries.select("qid", F.col("key").alias("qkey")).join(by_key, "qkey").drop("qkey")
+
+
+def probe_hits(queries: DataFrame, buckets: DataFrame, n_bits: int, radius: int) -> DataFrame:
+    """(qid, key, dist, cnt): the existing buckets within ``radius`` of each query key."""
+    return per_query(queries, near_buckets(distinct_keys(queries), buckets, n_bits, radius))
+
+
+def ring_cutoff(hits: DataFrame, search_k: int, by: str = "qid") -> DataFrame:
     """Keep ring r only while the rings before it hold fewer than ``search_k`` items.
 
     Adds ``pool_size``, the number of candidate items each query ends up with.
     """
     nearer = (
-        Window.partitionBy("qid").orderBy("dist").rangeBetween(Window.unboundedPreceding, -1)
+        Window.partitionBy(by).orderBy("dist").rangeBetween(Window.unboundedPreceding, -1)
     )
     kept = hits.withColumn("before", F.coalesce(F.sum("cnt").over(nearer), F.lit(0))).where(
         F.col("before") < search_k
     )
-    pool = F.sum("cnt").over(Window.partitionBy("qid"))
+    pool = F.sum("cnt").over(Window.partitionBy(by))
     return kept.withColumn("pool_size", pool).drop("before")
 
 
@@ -178,7 +192,7 @@ def top_in_buckets(
     ).withColumn("hot_key", F.when(heavy, F.col("key")).otherwise(F.lit(0)))
     # Same columns under fresh ids: both sides of the cogroup come from this plan.
     query_plan = plan.select(*[F.col(name).alias(name) for name in plan.columns])
-    if n_keys <= BROADCAST_ROWS:
+    if n_keys <= BROADCAST_KEYS:
         plan, query_plan = F.broadcast(plan), F.broadcast(query_plan)
 
     at = ["cell", "hot_key", "i_split", "q_split"]
@@ -235,12 +249,16 @@ def plan_probes(
     keyed = queries.withColumn("key", key).persist()
     buckets = bucket_counts(items).persist()
     n_items = buckets.agg(F.coalesce(F.sum("cnt"), F.lit(0))).first()[0]
-    kept = ring_cutoff(probe_hits(keyed, buckets, len(planes), radius), search_k).persist()
-    counts = kept.groupBy("qid").agg(F.first("pool_size").alias("found"))
+    # What a query may look into depends on its key alone, so keys shared by many
+    # queries are probed once.
+    near = near_buckets(distinct_keys(keyed), buckets, len(planes), radius)
+    by_key = ring_cutoff(near, search_k, by="qkey").persist()
+    counts = by_key.groupBy(F.col("qkey").alias("key")).agg(F.first("pool_size").alias("found"))
+    kept = per_query(keyed, by_key)
     size = F.coalesce("found", F.lit(n_items))
     method = F.when(size < fallback_below, "exact_fallback").otherwise("ann")
     policy = (
-        keyed.join(counts, "qid", "left")
+        keyed.join(counts, "key", "left")
         .withColumn("method", method)
         .withColumn("pool_size", F.when(method == "ann", size).otherwise(n_items).cast("long"))
     )
