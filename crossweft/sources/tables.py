@@ -6,6 +6,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from crossweft.operators import schema as S
 from crossweft.session import durable
@@ -91,10 +92,12 @@ def load_pair(spark: SparkSession, spec: SourceSpec) -> PreparedPair:
         raise ValueError("The tables share no usable feature column.")
     queries = S.canonical_queries(raw_q, roles_q, schema.all_columns)
     catalog = S.canonical_catalog(raw_c, roles_c, schema.all_columns)
-    if queries.schema["item_id"].dataType != catalog.schema["item_id"].dataType:
+    kinds = [df.schema["item_id"].dataType for df in (queries, catalog)]
+    if kinds[0] != kinds[1]:
         # Both domains share one key column later on.
-        queries = queries.withColumn("item_id", F.col("item_id").cast("string"))
-        catalog = catalog.withColumn("item_id", F.col("item_id").cast("string"))
+        whole = all(isinstance(kind, T.IntegralType) for kind in kinds)
+        key = F.col("item_id").cast("bigint" if whole else "string")
+        queries, catalog = queries.withColumn("item_id", key), catalog.withColumn("item_id", key)
     fills = S.fill_values(queries, catalog, schema)
     return PreparedPair(
         S.impute(queries, schema, fills), S.impute(catalog, schema, fills), schema, source_type, fills
