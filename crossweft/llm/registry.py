@@ -9,7 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 MODULES = (
     "exact_dedup",
+    "substring_dedup",
+    "divergence_rules",
+    "toxicity",
     "source_mixing",
+    "trie_bpe",
+    "suffix_dedup",
 )
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
