@@ -8,6 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 MODULES = (
+    "simhash",
     "exact_dedup",
     "substring_dedup",
     "divergence_rules",
