@@ -11,6 +11,7 @@ MODULES = (
     "simhash",
     "exact_dedup",
     "substring_dedup",
+    "chat_format",
     "divergence_rules",
     "toxicity",
     "source_mixing",
