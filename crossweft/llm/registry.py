@@ -15,6 +15,7 @@ MODULES = (
     "divergence_rules",
     "toxicity",
     "source_mixing",
+    "personal_data",
     "trie_bpe",
     "suffix_dedup",
 )
