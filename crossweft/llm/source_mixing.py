@@ -16,9 +16,10 @@ interchangeable. An empty table gives an empty result. Other columns are ignored
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from crossweft.llm.exact_dedup import located
 from crossweft.llm.registry import query
 from crossweft.llm.tables import WORD, stored, table
 
@@ -28,6 +29,7 @@ TOTAL_SHARE = 1.5
 MAX_REPEATS = 2
 
 BLOCK_TOKENS = 32
+TEXT_BLOCK_TOKENS = 256  # where texts are really cut: most documents stay in one piece
 SHARD_TOKENS = 1 << 20
 SEED = "mix-1"
 
@@ -99,23 +101,13 @@ def apportion(parties: DataFrame, group: str, party: str, votes: str, seats: str
     )
 
 
-def mix(
-    docs: DataFrame,
-    block_tokens: int = BLOCK_TOKENS,
-    shard_tokens: int = SHARD_TOKENS,
-    identity: str = "doc_id",
-    text: str = "text",
-    source: str = "source",
-) -> DataFrame:
-    """One row a document: doc_id, source, size, source_size, target, taken."""
-    sizes = stored(
-        docs.select(
-            F.col(identity).cast("long").alias("doc_id"),
-            F.col(source).cast("string").alias("source"),
-            F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        ),
-        "mix-sizes",
-    )
+def _allocate(rows: DataFrame, block_tokens: int, shard_tokens: int) -> tuple[DataFrame, DataFrame]:
+    """(laid, chosen) for rows (row, doc_id, source, size).
+
+    ``laid``: every document's place in its shard; ``chosen``: every block with the times it
+    is taken, and the sum of those times over the blocks before it.
+    """
+    sizes = stored(rows, "mix-sizes")
     targets = stored(source_targets(sizes), "mix-targets")
 
     placed = (
@@ -125,12 +117,12 @@ def mix(
         .withColumn("h", _hash32(F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
         .withColumn("shard", F.pmod("h", "shards"))
     )
-    in_shard = Window.partitionBy("s_ix", "shard").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    in_shard = Window.partitionBy("s_ix", "shard").orderBy("h", "doc_id", "size", "row").rowsBetween(Window.unboundedPreceding, 0)
     laid = stored(
         placed.withColumn("stop", F.sum("size").over(in_shard))
         .withColumn("start", F.col("stop") - F.col("size"))
-        .withColumn("pos", F.row_number().over(in_shard.rowsBetween(Window.unboundedPreceding, 0)))
-        .select("doc_id", "source", "size", "source_size", "target", "s_ix", "shard", "pos", "start", "stop"),
+        .withColumn("pos", F.row_number().over(in_shard))
+        .select("row", "doc_id", "source", "size", "source_size", "target", "s_ix", "shard", "pos", "start", "stop"),
         "mix-laid",
     )
 
@@ -146,14 +138,38 @@ def mix(
     )
     lottery = Window.partitionBy("s_ix", "shard").orderBy("ticket", "block")
     in_order = Window.partitionBy("s_ix", "shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     chosen = (
-        quotas.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        quotas.repartition(n, "s_ix", "shard")  # before blocks are spelled out: few rows make one task else
+        .withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
         .withColumn("ticket", _hash32(*[F.col(c).cast("string") for c in ("s_ix", "shard", "block")]))
         .withColumn("draw", F.row_number().over(lottery))
         .withColumn("times", F.floor(F.col("won") / F.col("blocks")) + (F.col("draw") <= F.col("won") % F.col("blocks")).cast("long"))
         .withColumn("earlier", F.coalesce(F.sum("times").over(in_order), F.lit(0)))
         .select("s_ix", "shard", "block", "times", "earlier")
     )
+    return laid, chosen
+
+
+def _sized(identity: str, text: str, source: str) -> list[Column]:
+    return [
+        F.col(identity).cast("long").alias("doc_id"),
+        F.col(source).cast("string").alias("source"),
+        F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+    ]
+
+
+def mix(
+    docs: DataFrame,
+    block_tokens: int = BLOCK_TOKENS,
+    shard_tokens: int = SHARD_TOKENS,
+    identity: str = "doc_id",
+    text: str = "text",
+    source: str = "source",
+) -> DataFrame:
+    """One row a document: doc_id, source, size, source_size, target, taken."""
+    rows = docs.select(F.lit(0).alias("row"), *_sized(identity, text, source))
+    laid, chosen = _allocate(rows, block_tokens, shard_tokens)
     # Words taken up to a position: whole earlier blocks, and the part of its own block.
     edge = lambda at, block, sign: F.struct(F.col(at).alias("at"), F.floor(block / block_tokens).alias("block"), F.lit(sign).alias("sign"))
     keys = ["s_ix", "shard", "pos"]
@@ -170,6 +186,43 @@ def mix(
     )
 
 
+def mixed_documents(
+    docs: DataFrame,
+    block_tokens: int = TEXT_BLOCK_TOKENS,
+    shard_tokens: int = SHARD_TOKENS,
+    identity: str = "doc_id",
+    text: str = "text",
+    source: str = "source",
+) -> DataFrame:
+    """The mix itself, with the columns of ``docs``: a row for each time a document is taken.
+
+    A document taken whole keeps its text. Where some of its blocks are left out, the words
+    of the others remain, joined by one space; a document of which nothing is taken goes.
+    """
+    found = located(docs)
+    inner = [f"doc.{c}" for c in (identity, text, source)]
+    laid, chosen = _allocate(found.select(F.col("locator").alias("row"), *_sized(*inner)), block_tokens, shard_tokens)
+    spans = (
+        laid.where("size > 0")
+        .withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / block_tokens), F.floor((F.col("stop") - 1) / block_tokens))))
+        .join(chosen.where("times > 0"), ["s_ix", "shard", "block"])
+        .withColumn("at", F.greatest("start", F.col("block") * block_tokens) - F.col("start"))
+        .withColumn("words", F.least(F.col("stop"), (F.col("block") + 1) * block_tokens) - F.col("start") - F.col("at"))
+        .groupBy("row", "size")
+        .agg(F.sort_array(F.collect_list(F.struct("at", "words", "times"))).alias("spans"))
+    )
+    rounds = (
+        found.join(spans, F.col("locator") == F.col("row"))
+        .withColumn("round", F.explode(F.sequence(F.lit(1).cast("long"), F.array_max("spans.times"))))
+        .withColumn("spans", F.filter("spans", lambda s: s["times"] >= F.col("round")))
+        .withColumn("held", F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["words"]))
+    )
+    words = F.regexp_extract_all(F.col(f"doc.{text}"), F.lit(WORD), F.lit(0))
+    part = F.array_join(F.flatten(F.transform("spans", lambda s: F.slice(words, (s["at"] + 1).cast("int"), s["words"].cast("int")))), " ")
+    cut = F.when(F.col("held") == F.col("size"), F.col(f"doc.{text}")).otherwise(part)
+    return rounds.select(*[cut.alias(c) if c == text else F.col("doc").getField(c).alias(c) for c in docs.columns])
+
+
 def _sql(block: int = BLOCK_TOKENS, shard: int = SHARD_TOKENS, documents: str = "documents") -> str:
     def hash32(*parts: str) -> str:
         joined = " || '|' || ".join(["'" + SEED + "'", *parts])
