@@ -40,6 +40,8 @@ SAMPLE_WORDS = 200
 ROUNDS = 8
 CERTAIN = 0.95
 DAMPING = 0.5
+#: Where the skip potentials start and what the penalty pulls them to: linked words agree.
+AGREEMENT = 3.0
 
 #: Fixed values of the contract: the kinds in order, and their patterns.
 KINDS = ("email", "ip", "card", "phone")
@@ -261,6 +263,8 @@ def pseudolikelihood(rows: list[list[int]], steps: int = 300, penalty: float = 1
     at = np.repeat(np.arange(len(rows)), [len(r) - 1 for r in rows])
     column = np.array([c for r in rows for c in r[1:]])
     weights, speed = np.zeros((width, N)), np.zeros((width, N))
+    weights[FEATURES + 2 * N :] = AGREEMENT * np.eye(N)
+    prior = weights.copy()
     rate = 1.0 / (1 + np.bincount(at).max())
     for _ in range(steps):
         score = np.zeros((len(rows), N))
@@ -275,7 +279,7 @@ def pseudolikelihood(rows: list[list[int]], steps: int = 300, penalty: float = 1
         gradient[FEATURES : FEATURES + N], gradient[FEATURES + N : FEATURES + 2 * N] = shared, shared.T
         linked = gradient[FEATURES + 2 * N :]
         gradient[FEATURES + 2 * N :] = linked + linked.T
-        speed = 0.9 * speed - rate * (gradient + penalty * weights)
+        speed = 0.9 * speed - rate * (gradient + penalty * (weights - prior))
         weights = weights + speed
     return Field(weights[:FEATURES], weights[FEATURES : FEATURES + N], weights[FEATURES + 2 * N :])
 

@@ -166,7 +166,8 @@ def links(nodes: DataFrame, setting: Setting, cell: int = CELL) -> DataFrame:
     words = nodes.select("node", "print", *[lane(k).alias(f"lane{k}") for k in range(lanes)])
     keys = [F.xxhash64(F.lit(c), *[F.col(f"lane{k}").bitwiseAND(F.lit(m)) for k, m in enumerate(mask) if m]) for c, mask in enumerate(choices)]
     keyed = words.select("node", "print", F.explode(F.array(*keys)).alias("key"))
-    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # Stored, as Spark splits a hot key only between two shuffles.
+    shared = stored(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "simhash-keys")
     pieces = F.ceil(F.col("n") / cell).cast("int")
     met = (
         keyed.join(shared, "key")
