@@ -74,7 +74,11 @@ def remember(stream: DataFrame, checkpoint: str) -> DataFrame:
     """
     spark = stream.sparkSession
     state = stream.groupBy("digest").agg(F.max(F.struct("doc_id", "locator")).alias("keeper"), F.count(F.lit(1)).alias("group_size"))
-    with _setting(spark, "spark.sql.streaming.stateStore.providerClass", ROCKSDB):
+    # Stores take the disk they fill; reserving space ahead costs megabytes for each partition.
+    with (
+        _setting(spark, "spark.sql.streaming.stateStore.providerClass", ROCKSDB),
+        _setting(spark, "spark.sql.streaming.stateStore.rocksdb.allowFAllocate", "false"),
+    ):
         run = (
             state.writeStream.format("noop")
             .outputMode("update")
