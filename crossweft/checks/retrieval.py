@@ -208,7 +208,7 @@ _policy_query("ann_default_bits", 5, 256, 2, 24, "K5 K6")
 
 @query(
     "stored_index",
-    f"WITH {U_SQL}, {planes_sql()} SELECT vec_id AS item_id, key, (key % 64)::INT AS key_prefix FROM keys",
+    f"WITH {U_SQL}, {planes_sql()} SELECT vec_id AS item_id, key FROM keys",
     "A6 A7 K3",
 )
 def stored_index(spark, folder):
@@ -217,7 +217,8 @@ def stored_index(spark, folder):
     place = f"{checkpoint_folder(spark)}/index-{uuid.uuid4().hex}"
     artifacts.save(
         {
-            "ann": catalog.select("item_id", "key", "vec"),
+            "ann": catalog.select("item_id", "key"),
+            "hyperplanes": artifacts.matrix_table(spark, planes, "bit", "plane"),
             "codes": catalog.select("item_id", "vec"),
             "item_keys": catalog.select("item_id"),
             "atoms": artifacts.matrix_table(spark, planes, "atom", "weights"),
@@ -225,8 +226,7 @@ def stored_index(spark, folder):
         },
         place,
     )
-    back = artifacts.load(spark, place)["ann"]
-    return back.select("item_id", "key", F.col("key_prefix").cast("int").alias("key_prefix"))
+    return artifacts.load(spark, place)["ann"].select("item_id", "key")
 
 
 NAMES_SQL = """

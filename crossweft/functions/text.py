@@ -19,14 +19,16 @@ NO_GENRES = "(no genres listed)"
 
 # Accepted listening-date layouts, day before month.
 DAY_FIRST_FORMATS = (
-    "d/M/yyyy",
-    "d/M/yyyy H:mm",
-    "d-M-yyyy",
-    "d-M-yyyy H:mm",
-    "d MMM yyyy",
-    "d MMM yyyy H:mm",
-    "yyyy-M-d",
-    "yyyy-M-d H:mm:ss",
+    "d/M/yyyy[ H:mm[:ss]]",
+    "d-M-yyyy[ H:mm[:ss]]",
+    "d.M.yyyy[ H:mm[:ss]]",
+    "d/M/yy[ H:mm[:ss]]",
+    "d-M-yy[ H:mm[:ss]]",
+    "d MMM yyyy[ H:mm[:ss]]",
+    "d MMMM yyyy[ H:mm[:ss]]",
+    "yyyy-M-d[ H:mm[:ss]]",
+    "yyyy/M/d[ H:mm[:ss]]",
+    "yyyy-MM-dd'T'HH:mm[:ss][.SSS][XXX]",
 )
 
 # Fixed value: a word is two or more letters, digits or underscores, any script.
@@ -46,22 +48,26 @@ def null_to_blank(col: Column) -> Column:
     return strip(F.coalesce(col.cast("string"), F.lit("")))
 
 
+# How a year ends a title, first and last labelled year, years to a label.
+YEAR_AT_END = r"\s*\((\d{4})\)\s*$"
+FIRST_ERA, LAST_ERA, ERA_YEARS = 1980, 2020, 10
+
+
 def trailing_year(title: Column) -> Column:
     """The year in a trailing ``(YYYY)``, else null."""
-    digits = F.regexp_extract(title, r"\((\d{4})\)\s*$", 1)
+    digits = F.regexp_extract(title, YEAR_AT_END, 1)
     return F.when(digits != "", digits.cast("int"))
 
 
 def clean_title(title: Column) -> Column:
-    return strip(F.regexp_replace(title, r"\s*\(\d{4}\)\s*$", ""))
+    return strip(F.regexp_replace(title, YEAR_AT_END, ""))
 
 
 def era(year: Column) -> Column:
     """Coarse decade label of a year."""
-    label = F.when(year.isNull(), UNKNOWN).when(year < 1980, "pre-1980")
-    for start in (1980, 1990, 2000, 2010):
-        label = label.when(year < start + 10, f"{start}s")
-    return label.otherwise("2020s")
+    decade = F.greatest(F.lit(FIRST_ERA - ERA_YEARS), F.least(F.lit(LAST_ERA), year - F.pmod(year, F.lit(ERA_YEARS))))
+    label = F.when(decade < FIRST_ERA, f"pre-{FIRST_ERA}").otherwise(F.concat(decade.cast("string"), F.lit("s")))
+    return F.when(year.isNull(), UNKNOWN).otherwise(label)
 
 
 def primary_genre(genres: Column) -> Column:

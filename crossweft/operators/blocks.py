@@ -22,12 +22,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from crossweft.session import durable
+
 # Most rows and bytes of a side that may be sent to every executor.
 BROADCAST_ROWS = 20_000
 BROADCAST_BYTES = 64 << 20
 # Most rows per side in one grid cell. Every row travels once per block of the other
 # side, so larger blocks mean less shuffling; this many 64-wide vectors are 16 MB.
 BLOCK_ROWS = 32_768
+BLOCK_BYTES = 64 << 20
+# Most pairs of a block pair that a kernel looks at in one go.
+CHUNK_CELLS = 4_000_000
 
 Kernel = Callable[[pa.Table, pa.Table], pa.Table]
 
@@ -44,28 +49,42 @@ def _width(field: T.StructField) -> Column:
     return F.lit(8)
 
 
-def bounded_arrow(df: DataFrame, max_rows: int, max_bytes: int) -> pa.Table | None:
-    """The whole frame as Arrow, or None as soon as it is seen to be too large.
-
-    The row bound is applied first and the byte size is summed on the executors, so
-    an oversized frame never reaches the driver.
-    """
-    capped = df.limit(max_rows + 1)
+def extent(df: DataFrame) -> tuple[int, int]:
+    """Rows and rough bytes of a frame, summed on the executors."""
     total = F.lit(0).cast("long")
     for field in df.schema.fields:
         total = total + F.coalesce(_width(field), F.lit(1))
-    capped = capped.persist()
-    rows, volume = capped.agg(F.count(F.lit(1)), F.coalesce(F.sum(total), F.lit(0))).first()
-    fits = rows <= max_rows and volume <= max_bytes
-    found = capped.toArrow() if fits else None
-    capped.unpersist()
-    return found
-
-
-def grid_shape(left_rows: int, right_rows: int, block_rows: int, cores: int) -> tuple[int, int]:
-    """Blocks per side: at most ``block_rows`` rows each, and cells for every core."""
-    n_left = max(1, math.ceil(left_rows / block_rows))
-    n_right = max(1, math.ceil(right_rows / block_rows))
+    rows, volume = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(total), F.lit(0))).first()
+    return rows, volume
+
+
+def bounded_arrow(df: DataFrame, max_rows: int, max_bytes: int) -> pa.Table | None:
+    """The whole frame as Arrow, or None if it is larger: counted before a row is moved."""
+    rows, volume = extent(df)
+    return df.toArrow() if rows <= max_rows and volume <= max_bytes else None
+
+
+def in_pieces(kernel: Kernel, combine: Callable[[list[pa.Table]], pa.Table], cells: int) -> Kernel:
+    """The kernel over slices of the left block, so that at most ``cells`` pairs are held at once."""
+
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        step = max(1, cells // max(1, b.num_rows))
+        found = [kernel(a.slice(0, step), b)]
+        for start in range(step, a.num_rows, step):
+            found.append(kernel(a.slice(start, step), b))
+            if len(found) >= 16:
+                found = [combine(found)]
+        return found[0] if len(found) == 1 else combine(found)
+
+    return run
+
+
+def grid_shape(
+    left_rows: int, right_rows: int, block_rows: int, cores: int, left_bytes: int = 0, right_bytes: int = 0
+) -> tuple[int, int]:
+    """Blocks per side: at most ``block_rows`` rows and ``BLOCK_BYTES`` each, and cells for every core."""
+    n_left = max(1, math.ceil(left_rows / block_rows), math.ceil(left_bytes / BLOCK_BYTES))
+    n_right = max(1, math.ceil(right_rows / block_rows), math.ceil(right_bytes / BLOCK_BYTES))
     while n_left * n_right < 2 * cores and max(left_rows / n_left, right_rows / n_right) > 512:
         if left_rows / n_left > right_rows / n_right:
             n_left += 1
@@ -85,12 +104,16 @@ def pair_blocks(
     broadcast_rows: int = BROADCAST_ROWS,
     broadcast_bytes: int = BROADCAST_BYTES,
     block_rows: int = BLOCK_ROWS,
+    chunk_cells: int | None = CHUNK_CELLS,
 ) -> DataFrame:
     """Run ``kernel`` over every pair of a left and a right block.
 
     ``kernel`` must return rows that ``combine`` can merge in any grouping; the
-    caller finishes the merge with an ordinary aggregate or window.
+    caller finishes the merge with an ordinary aggregate or window. ``chunk_cells`` None is
+    for kernels that bound what they hold by themselves.
     """
+    if chunk_cells:
+        kernel = in_pieces(kernel, combine, chunk_cells)
     small = bounded_arrow(left, broadcast_rows, broadcast_bytes)
     if small is not None:
         if small.num_rows == 0:
@@ -110,7 +133,9 @@ def pair_blocks(
         return right.mapInArrow(scan, schema)
 
     cores = left.sparkSession.sparkContext.defaultParallelism
-    n_left, n_right = grid_shape(left.count(), right.count(), block_rows, cores)
+    left, right = durable(left), durable(right)  # sized and then dealt: two passes each
+    (left_rows, left_bytes), (right_rows, right_bytes) = extent(left), extent(right)
+    n_left, n_right = grid_shape(left_rows, right_rows, block_rows, cores, left_bytes, right_bytes)
     tasks = min(n_left * n_right, 64 * cores)
     left_cells = left.withColumn(
         "__lb", F.pmod(F.xxhash64(left_key), F.lit(n_left)).cast("int")

@@ -39,6 +39,11 @@ BROADCAST_KEYS = 1_000_000
 MAX_MASKS = 4_096
 
 
+def fitting_bits(n_items: int, per_bucket: int = 32, least: int = 4, most: int = 24) -> int:
+    """Key bits with which a bucket holds about ``per_bucket`` items, if they spread evenly."""
+    return min(most, max(least, (n_items // per_bucket).bit_length()))
+
+
 def hyperplanes(n_bits: int, dim: int, seed: int = 42) -> np.ndarray:
     """Seeded Gaussian planes, one row per bit."""
     if not 1 <= n_bits <= MAX_BITS:

@@ -156,8 +156,18 @@ def few_valued(queries: DataFrame, catalog: DataFrame, columns: Sequence[str], m
 def infer_schema(
     queries: DataFrame, catalog: DataFrame, q: Roles, c: Roles
 ) -> tuple[DataFrame, DataFrame, FeatureSchema]:
-    """Roles of the shared columns; falls back to the title as the only text feature."""
+    """Roles of the shared columns; falls back to the title.
+
+    Where no column is shared, the title is the one shared column and is typed like any
+    other: few short values make it a category. Where columns are shared but none is
+    usable, it is text.
+    """
+    def titled(df: DataFrame, roles: Roles) -> DataFrame:
+        return df.withColumn(TITLE_FEATURE, F.col(roles.title).cast("string"))
+
     shared = shared_features(queries, catalog, q, c)
+    if not shared:
+        queries, catalog, shared = titled(queries, q), titled(catalog, c), [TITLE_FEATURE]
     schema = FeatureSchema()
     if shared:
         text = infer_text_columns(queries, shared, q.id)
@@ -177,8 +187,7 @@ def infer_schema(
             text=tuple(text + [n for n in strings if n not in few]),
         )
     if not schema.all_columns:
-        queries = queries.withColumn(TITLE_FEATURE, F.col(q.title).cast("string"))
-        catalog = catalog.withColumn(TITLE_FEATURE, F.col(c.title).cast("string"))
+        queries, catalog = titled(queries, q), titled(catalog, c)
         schema = FeatureSchema(text=(TITLE_FEATURE,))
     return queries, catalog, schema
 

@@ -171,6 +171,6 @@ def top_scored(queries: DataFrame, catalog: DataFrame, k: int, **block_options)
         schema=result_schema(q, c),
         left_key="qid",
         right_key="item_id",
-        **block_options,
+        **{"chunk_cells": None} | block_options,
     )
     return found.withColumn("rank", F.row_number().over(rank_window())).where(F.col("rank") <= k)

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -29,7 +30,7 @@ class Settings:
     max_iter: int | None = None
     max_text_features: int | None = features.MAX_TEXT_FEATURES
     min_text_df: int = features.MIN_TEXT_DF
-    ann_bits: int = 24
+    ann_bits: int | None = None  # as many as suit the catalog
     seed: int = SEED
 
 
@@ -39,7 +40,7 @@ class Trained:
     space: features.FeatureSpace
     model: dictionary.Dictionary
     codes: DataFrame
-    planes: np.ndarray
+    planes: np.ndarray | None
     items: DataFrame
     settings: Settings = field(default_factory=Settings)
 
@@ -51,10 +52,10 @@ class Trained:
         return self.items
 
 
-def keyed_catalog(pair: PreparedPair, codes: DataFrame, planes: np.ndarray) -> DataFrame:
-    coded = codes.where("domain = 'c'").select(
-        "item_id", F.col("code").alias("vec"), lsh.lsh_key(F.col("code"), planes).alias("key")
-    )
+def keyed_catalog(pair: PreparedPair, codes: DataFrame, planes: np.ndarray | None) -> DataFrame:
+    """The catalog with ``vec``, and with bucket keys if there are planes."""
+    key = [] if planes is None else [lsh.lsh_key(F.col("code"), planes).alias("key")]
+    coded = codes.where("domain = 'c'").select("item_id", F.col("code").alias("vec"), *key)
     return pair.catalog.join(coded, "item_id")
 
 
@@ -73,7 +74,8 @@ def train(pair: PreparedPair, settings: Settings = Settings()) -> Trained:
         settings.max_iter,
     )
     codes = durable(dictionary.encode(rows, model))
-    planes = lsh.hyperplanes(settings.ann_bits, settings.n_components, settings.seed)
+    bits = settings.ann_bits or lsh.fitting_bits(pair.catalog.count())
+    planes = lsh.hyperplanes(bits, settings.n_components, settings.seed)
     items = durable(keyed_catalog(pair, codes, planes))
     return Trained(pair, space, model, codes, planes, items, settings)
 
@@ -89,7 +91,8 @@ def training_summary(trained: Trained) -> DataFrame:
             F.sum(F.size(F.filter("code", lambda x: x == 0))) / F.sum(F.size("code")) * 100.0
         ).alias("sparsity_pct"),
     )
-    buckets = trained.items.select("key").distinct().count()
+    indexed = trained.planes is not None
+    buckets = trained.items.select("key").distinct().count() if indexed else 0
     objective = trained.model.objective[-1] if trained.model.objective else None
     return counts.withColumns(
         {
@@ -97,7 +100,7 @@ def training_summary(trained: Trained) -> DataFrame:
             "feature_dim": F.lit(trained.space.n_features),
             "n_components": F.lit(s.n_components),
             "alpha": F.lit(s.alpha),
-            "ann_bits": F.lit(s.ann_bits),
+            "ann_bits": F.lit(len(trained.planes) if indexed else 0),
             "objective": F.lit(objective).cast("double"),
         }
     )
@@ -105,38 +108,41 @@ def training_summary(trained: Trained) -> DataFrame:
 
 def save(trained: Trained, folder: str) -> None:
     spark = trained.codes.sparkSession
-    schema = trained.pair.schema
+    schema, space = trained.pair.schema, trained.space
     roles = {"categorical": schema.categorical, "numeric": schema.numeric, "text": schema.text}
-    catalog = trained.catalog()
+    roles |= {"source_type": trained.pair.source_type}
+    config = {"title_only": space.title_only, "n_features": space.n_features, "vocab_bytes": space.vocab_bytes}
+    fitted = {"alpha": trained.model.alpha, "objective": trained.model.objective, "settings": asdict(trained.settings)}
+    summary = training_summary(trained).withColumns(
+        {name: F.lit(json.dumps(value, sort_keys=True)) for name, value in (("schema", roles), ("feature_config", config), ("scales", space.scales))}
+    )
+    index = {}
+    if trained.planes is not None:
+        index["ann"] = trained.catalog().select("item_id", "key")
+        index["hyperplanes"] = artifacts.matrix_table(spark, trained.planes, "bit", "plane")
     artifacts.save(
         {
             "atoms": artifacts.matrix_table(spark, trained.model.atoms, "atom", "weights"),
             "codes": trained.codes,
-            "model": artifacts.json_row(
-                spark, {"alpha": trained.model.alpha, "objective": trained.model.objective}
-            ),
+            "model": artifacts.json_row(spark, fitted),
             "item_keys": trained.codes.select("domain", "item_id"),
-            "vocab": trained.space.vocab,
-            "scales": artifacts.json_row(spark, trained.space.scales),
-            "feature_config": artifacts.json_row(
-                spark,
-                {
-                    "title_only": trained.space.title_only,
-                    "n_features": trained.space.n_features,
-                    "vocab_bytes": trained.space.vocab_bytes,
-                },
-            ),
-            "schema": artifacts.json_row(spark, roles | {"source_type": trained.pair.source_type}),
-            "ann": catalog.select("item_id", "key", vectors.unit(F.col("vec")).alias("unit")),
-            "hyperplanes": artifacts.matrix_table(spark, trained.planes, "bit", "plane"),
-            "training_metadata": training_summary(trained),
+            "vocab": space.vocab,
+            "scales": artifacts.json_row(spark, space.scales),
+            "feature_config": artifacts.json_row(spark, config),
+            "schema": artifacts.json_row(spark, roles),
+            "training_metadata": summary,
+            **index,
         },
         folder,
     )
 
 
 def load(spark: SparkSession, folder: str, pair: PreparedPair) -> Trained:
-    """Trained state for the given tables; fails when they are not the trained ones."""
+    """Trained state for the given tables; fails when they are not the trained ones.
+
+    Bucket keys and the planes behind them come together or not at all; without them
+    there is no index and every recommendation is exact.
+    """
     found = artifacts.load(spark, folder)
     current = features.union_domains(pair.queries, pair.catalog).select("domain", "item_id")
     artifacts.require_same_items(found["item_keys"], current)
@@ -157,19 +163,14 @@ def load(spark: SparkSession, folder: str, pair: PreparedPair) -> Trained:
         config.get("title_only", False),
         config.get("vocab_bytes"),
     )
-    planes = (
-        artifacts.table_matrix(found["hyperplanes"], "bit", "plane")
-        if "hyperplanes" in found
-        else lsh.hyperplanes(24, len(atoms), SEED)
-    )
-    settings = Settings(n_components=len(atoms), alpha=model["alpha"], ann_bits=len(planes))
-    if "ann" in found:
-        coded = found["codes"].where("domain = 'c'").select("item_id", F.col("code").alias("vec"))
-        items = pair.catalog.join(coded, "item_id").join(found["ann"].select("item_id", "key"), "item_id")
-    else:
-        items = keyed_catalog(pair, found["codes"], planes)
+    planes = artifacts.table_matrix(found["hyperplanes"], "bit", "plane") if "hyperplanes" in found else None
+    items = keyed_catalog(pair, found["codes"], None)
+    if planes is not None:
+        items = items.join(found["ann"].select("item_id", "key"), "item_id")
+    settings = Settings(**model.get("settings", {"n_components": len(atoms), "alpha": model["alpha"]}))
     fitted = dictionary.Dictionary(atoms, model["alpha"], model["objective"])
-    return Trained(pair, space, fitted, found["codes"], planes, items, settings)
+    # Joined once: every later request reads the catalog several times.
+    return Trained(pair, space, fitted, found["codes"], planes, durable(items), settings)
 
 
 def recommend(

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import time
+from uuid import uuid4
 
 import numpy as np
 from pyspark.errors import AnalysisException
@@ -11,40 +13,46 @@ from pyspark.sql import functions as F
 
 REQUIRED = ("atoms", "codes", "model", "item_keys")
 OPTIONAL = ("vocab", "scales", "feature_config", "ann", "hyperplanes", "training_metadata", "schema")
-# The index is laid out by the lowest bits of its key, so probes prune folders.
-PREFIX_BITS = 6
+# Tables that are only of use together.
+INDEX = ("ann", "hyperplanes")
 
 
 def save(tables: dict[str, DataFrame], folder: str) -> None:
+    """Write a new version beside the older ones, and name it the current one last.
+
+    A save that fails, or one that reads what an older version holds, leaves that version
+    as it is.
+    """
     unknown = set(tables) - set(REQUIRED) - set(OPTIONAL)
     if unknown:
         raise ValueError(f"Unknown artifacts: {sorted(unknown)}.")
+    version = f"{time.time_ns():020d}-{uuid4().hex}"
     for name, df in tables.items():
-        writer = df.write.mode("overwrite")
-        if name == "ann":
-            # Ranges include the item, so a bucket with most of the items is still
-            # written by many tasks.
-            prefix = F.pmod(F.col("key"), F.lit(1 << PREFIX_BITS)).alias("key_prefix")
-            laid_out = df.select("*", prefix).repartitionByRange("key_prefix", "key", "item_id")
-            writer = laid_out.write.mode("overwrite").partitionBy("key_prefix")
-        writer.parquet(f"{folder}/{name}")
+        df.write.parquet(f"{folder}/versions/{version}/{name}")
+    spark = next(iter(tables.values())).sparkSession
+    spark.createDataFrame([(version,)], "version string").write.mode("append").parquet(f"{folder}/current")
+
+
+def _table(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
 
 
 def load(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    """All artifacts present; an error naming every required one that is missing."""
-    found: dict[str, DataFrame] = {}
-    missing = []
-    for name in REQUIRED + OPTIONAL:
-        try:
-            found[name] = spark.read.parquet(f"{folder}/{name}")
-        except AnalysisException as error:
-            if error.getCondition() != "PATH_NOT_FOUND":
-                raise
-            if name in REQUIRED:
-                missing.append(name)
+    """All artifacts of the newest version; an error naming every required one that is missing."""
+    versions = _table(spark, f"{folder}/current")
+    newest = "none" if versions is None else versions.agg(F.max("version")).first()[0]
+    found = {name: _table(spark, f"{folder}/versions/{newest}/{name}") for name in REQUIRED + OPTIONAL}
+    missing = [name for name in REQUIRED if found[name] is None]
     if missing:
         raise FileNotFoundError(f"Missing artifacts in {folder}: {', '.join(missing)}. Train first.")
-    return found
+    if any(found[name] is None for name in INDEX):
+        found |= dict.fromkeys(INDEX)
+    return {name: df for name, df in found.items() if df is not None}
 
 
 def key_differences(trained: DataFrame, current: DataFrame, keys: list[str]) -> DataFrame:

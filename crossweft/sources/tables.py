@@ -22,7 +22,9 @@ Table = str | DataFrame
 class SourceSpec:
     """Where the data is: a direct pair, or raw ratings plus a listening log.
 
-    Entries are paths (CSV with header, or anything Spark reads by suffix) or frames.
+    Entries are frames or paths. A path is read as ``format``, else by its suffix, else as
+    CSV with a header; ``schemas`` (by entry name) saves the pass that infers types. CSV is
+    split over tasks unless ``multi_line`` says that values hold line breaks.
     A complete direct pair wins over the bridge.
     """
 
@@ -34,6 +36,9 @@ class SourceSpec:
     listens: Table | None = None
     tag_order: list[str] | None = None
     max_catalog: int = MAX_CATALOG
+    format: str | None = None
+    schemas: dict[str, str] = field(default_factory=dict)
+    multi_line: bool = False
 
 
 @dataclass(frozen=True)
@@ -45,44 +50,39 @@ class PreparedPair:
     fills: dict[str, float] = field(default_factory=dict)
 
 
-def read_table(spark: SparkSession, table: Table) -> DataFrame:
-    if isinstance(table, DataFrame):
-        return table
-    suffix = table.rstrip("/").rsplit(".", 1)[-1].lower()
-    if suffix in ("parquet", "orc", "json"):
-        return spark.read.format(suffix).load(table)
-    return (
-        spark.read.option("header", True)
-        .option("inferSchema", True)
-        .option("multiLine", True)
-        .option("escape", '"')
-        .csv(table)
-    )
+def read_table(spark: SparkSession, spec: SourceSpec, entry: str) -> DataFrame:
+    given = getattr(spec, entry)
+    if isinstance(given, DataFrame):
+        return given
+    suffix = given.rstrip("/").rsplit(".", 1)[-1].lower()
+    kind = spec.format or (suffix if suffix in ("parquet", "orc", "json") else "csv")
+    schema = spec.schemas.get(entry)
+    reader = spark.read.schema(schema) if schema else spark.read
+    if kind == "csv":
+        reader = reader.options(header=True, inferSchema=schema is None, multiLine=spec.multi_line, escape='"')
+    return reader.format(kind).load(given)
 
 
 def load_raw(spark: SparkSession, spec: SourceSpec) -> tuple[DataFrame, DataFrame, str]:
     if spec.queries is not None and spec.catalog is not None:
-        return read_table(spark, spec.queries), read_table(spark, spec.catalog), DIRECT
+        return read_table(spark, spec, "queries"), read_table(spark, spec, "catalog"), DIRECT
     if spec.rated is None or spec.listens is None:
         raise FileNotFoundError(
             "Give both tables of a direct pair, or the rated items and the listening log."
         )
 
-    def optional(table: Table | None) -> DataFrame | None:
-        return None if table is None else read_table(spark, table)
+    def optional(entry: str) -> DataFrame | None:
+        return None if getattr(spec, entry) is None else read_table(spark, spec, entry)
 
-    queries = rated_items(
-        read_table(spark, spec.rated), optional(spec.tags), optional(spec.ratings), spec.tag_order
-    )
-    return queries, listened_items(read_table(spark, spec.listens), spec.max_catalog), BRIDGE
+    queries = rated_items(read_table(spark, spec, "rated"), optional("tags"), optional("ratings"), spec.tag_order)
+    return queries, listened_items(read_table(spark, spec, "listens"), spec.max_catalog), BRIDGE
 
 
 def load_pair(spark: SparkSession, spec: SourceSpec) -> PreparedPair:
     """Resolve columns, infer roles over the shared ones, and fill the gaps."""
     raw_q, raw_c, source_type = load_raw(spark, spec)
-    if source_type == BRIDGE:
-        # Several passes follow; the raw logs behind these item tables are read once.
-        raw_q, raw_c = durable(raw_q), durable(raw_c)
+    # Several passes follow; the raw tables and logs behind them are read once.
+    raw_q, raw_c = durable(raw_q), durable(raw_c)
     reject_empty(raw_q, "The query table")
     reject_empty(raw_c, "The catalog table")
     roles_q = S.resolve_roles(raw_q, S.QUERY_TITLES)

@@ -7,11 +7,11 @@ import duckdb
 import pytest
 
 import __spark_entry__ as contract
+from crossweft.checks import all_queries
 
 from .conftest import SMALL
 
 SQL = contract.oracle_sql()
-SLOW = {"holdout_evaluation"}
 
 
 @pytest.fixture(scope="module")
@@ -35,9 +35,10 @@ def rows(table):
 
 def test_entry(spark):
     assert contract.entry(spark).count() > 0
+    assert set(all_queries()) <= set(contract.queries()) and set(SQL) <= set(contract.queries())
 
 
-@pytest.mark.parametrize("name", [n for n in contract.queries() if n not in SLOW])
+@pytest.mark.parametrize("name", list(all_queries()))
 def test_query(spark, con, name):
     got = contract.queries()[name](spark, SMALL).toArrow()
     if name in SQL:

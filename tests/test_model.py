@@ -15,21 +15,48 @@ from crossweft.sources import artifacts
 from crossweft.sources.tables import PreparedPair
 
 
-@given(st.integers(0, 10_000), st.sampled_from([0.01, 0.1, 0.5]), st.integers(2, 9))
-@settings(max_examples=40, deadline=None)
-def test_lasso_optimality(seed, alpha, k):
+@given(st.integers(0, 10_000), st.sampled_from([0.01, 0.1, 0.25, 1.0]), st.integers(2, 12), st.sampled_from(["", "twins", "near twins", "opposite", "zero"]))
+@settings(max_examples=150, deadline=None, derandomize=True)
+def test_lasso_optimality(seed, alpha, k, kind):
+    """Default arguments; more atoms than features, and atoms that depend on each other."""
     rng = np.random.default_rng(seed)
     atoms = rng.normal(size=(k, 7))
     atoms /= np.linalg.norm(atoms, axis=1, keepdims=True)
+    if kind:
+        atoms[1] = {"twins": atoms[0], "near twins": atoms[0] + 1e-7 * rng.normal(size=7), "opposite": -atoms[0], "zero": np.zeros(7)}[kind]
     x = rng.normal(size=(20, 7))
     gram = atoms @ atoms.T
-    codes = dictionary.lasso_codes(x @ atoms.T, gram, alpha, sweeps=20_000)
+    codes = dictionary.lasso_codes(x @ atoms.T, gram, alpha)
     slope = (codes @ gram) - x @ atoms.T
     active = codes != 0
     assert np.all(np.abs(slope[active] + alpha * np.sign(codes[active])) < 1e-6)
     assert np.all(np.abs(slope[~active]) <= alpha + 1e-6)
 
 
+def test_every_item_contributes(spark):
+    """An epoch's sums are those of all rows, however few steps it is given."""
+    pair = small_pair(spark)
+    items = features.union_domains(pair.queries, pair.catalog)
+    space = features.fit(items, pair.schema)
+    rows = features.transform(items, space)
+    seen = []
+    real = dictionary.coding_statistics
+
+    def counted(part, atoms, alpha):
+        found = real(part, atoms, alpha)
+        seen.append(found[3])
+        return found
+
+    dictionary.coding_statistics = counted
+    try:
+        for steps, batch in ((3, 20), (8, 20), (1, 20)):
+            seen.clear()
+            dictionary.fit(rows, space.n_features, 4, 0.1, batch_size=batch, max_iter=steps)
+            assert sum(seen) == 160 and len(seen) <= steps
+    finally:
+        dictionary.coding_statistics = real
+
+
 @given(st.integers(0, 1_000))
 @settings(max_examples=20, deadline=None)
 def test_atoms_stay_in_the_unit_ball(seed):
@@ -137,11 +164,27 @@ def test_save_and_load(spark, trained, tmp_path):
         if kit is trained:
             first = rows
     assert [tuple(r) for r in rows] == [tuple(r) for r in first]
+    assert back.settings == trained.settings
+    model.save(back, folder)  # reads the version before while a new one is written
+    assert model.load(spark, folder, trained.pair).codes.count() == 160
     other = PreparedPair(trained.pair.queries.where("item_id > 0"), trained.pair.catalog, trained.pair.schema, "direct_pair")
     with pytest.raises(ValueError, match="Train again"):
         model.load(spark, folder, other)
 
 
+@pytest.mark.parametrize("lacking", ["ann", "hyperplanes", "training_metadata", "vocab"])
+def test_optional_artifacts(spark, trained, tmp_path, monkeypatch, lacking):
+    """Without half of the index there is none; other optional tables only cost their use."""
+    folder = str(tmp_path / "model")
+    whole = artifacts.save
+    monkeypatch.setattr(artifacts, "save", lambda tables, to: whole({k: v for k, v in tables.items() if k != lacking}, to))
+    model.save(trained, folder)
+    back = model.load(spark, folder, trained.pair)
+    asked = back.query_vectors().where("qid < 3")
+    methods = {r.method for r in model.recommend(asked, back.catalog(), back.planes, top_n=3, search_k=20).select("method").collect()}
+    assert (methods == {"exact"}) == (lacking in artifacts.INDEX) and (back.planes is None) == (lacking in artifacts.INDEX)
+
+
 def test_missing_artifacts(spark, tmp_path):
     artifacts.save({"codes": spark.range(1)}, str(tmp_path))
     with pytest.raises(FileNotFoundError, match="atoms, model, item_keys"):

@@ -69,7 +69,20 @@ def test_vectors(spark):
 def test_rules():
     texts = ["era=2010s|1990s", "x", "=v", "a=", "a=b=c", "era= 1990s "]
     assert steering.parse_rules(texts) == {"era": ["2010s", "1990s", "1990s"], "a": ["b=c"]}
-    assert steering.normalize_rules({" era ": [" B", "a", "A ", ""], "x": None, "y": [" "]}) == {"era": ["a", "b"]}
+    assert steering.is_empty({"x": None, "y": [" "]}) and not steering.is_empty({"era": ["", "a"]})
+
+
+def values_of(df, column):
+    return [r[0] for r in df.select(column).collect()]
+
+
+def test_rules_meet_columns(spark):
+    df = spark.createDataFrame([("B ", "a"), ("b", "A")], "Era string, genre string")
+    assert values_of(df, steering.wanted([" B", "a", "A ", ""])) == [["a", "b"]] * 2
+    assert [c for c, _ in steering.resolved(df, {" era ": ["b"], "x": ["y"], "GENRE": ["a"]})] == ["Era", "genre"]
+    assert values_of(df, steering.match_score(df, {" era ": [" B"], "GENRE": ["a"], "x": ["y"], "Era": []})) == [1.0, 2.0]
+    assert values_of(df, steering.term_hits(["Era", "genre"], ["B", " a", "", "b", "%"])) == [3.0, 3.0]
+    assert values_of(df, steering.term_hits([], ["b"])) == [0.0, 0.0]
 
 
 def test_fixed_profiles():
