@@ -4,8 +4,8 @@ Stretches of text that can hold repeated strings (``repeats``: first fragments w
 has other fragments too) are dealt by anchor, so that equal strings meet in one task. A task
 lays a bounded number of them end to end, sorts the suffixes by their first ``width`` bytes
 and takes the Burrows-Wheeler transform. An interval is the rows whose suffixes share a
-prefix. Starting from single bytes, all intervals of one level are extended backward at
-once: row ``r`` goes to the interval of (its first byte, the interval of the row that
+prefix. Starting from the longest prefixes that sorting has told apart, all intervals of one
+level are extended backward at once: row ``r`` goes to the interval of (its first byte, the interval of the row that
 follows it in the text), the step that the transform's last-to-first mapping gives. So
 common prefixes come in increasing length, intervals of one row are dropped at once, and the
 expansion stops at ``width``; longer prefixes cover the same bytes and are never derived.
@@ -38,52 +38,88 @@ WIDTH = 100
 SEED = 32
 HOT_KINDS = 32_768
 #: Bytes of fragments whose suffixes are sorted together.
-BATCH_BYTES = 1 << 20
-_PER_KEY = 7  # symbols of 9 bits in one sort key
+BATCH_BYTES = 1 << 19
+SEPARATOR = 0xFF  # no byte of UTF-8
 
 
-def suffix_rows(symbols: np.ndarray, depth: int) -> np.ndarray:
-    """Starts of all suffixes in the order of their first ``depth`` symbols, by prefix doubling."""
+def _ranked(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the keys, and each key's rank, equal keys having equal ranks."""
+    order = np.argsort(key)
+    ordered = key[order]
+    rank = np.empty(len(key), np.int64)
+    rank[order] = np.cumsum(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+    return order, rank
+
+
+def suffix_rows(symbols: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """(order, rank, known): starts of all suffixes by their first ``depth`` symbols or more.
+
+    Prefix doubling from 8 symbols on, three ranks to a key while they fit. ``rank`` numbers
+    the prefixes of ``known`` symbols, the last step that was not beyond ``depth``.
+    """
     n = len(symbols)
-    key = np.zeros(n, np.int64)
-    ahead = np.concatenate([symbols.astype(np.int64), np.zeros(_PER_KEY, np.int64)])
-    for k in range(_PER_KEY):
-        key = (key << 9) | ahead[k : k + n]
-    rank = np.unique(key, return_inverse=True)[1].astype(np.int64)
-    reach = _PER_KEY
+    ahead = np.concatenate([symbols, np.zeros(8, np.uint8)])
+    key = np.zeros(n, np.uint64)
+    for k in range(8):
+        key = (key << np.uint64(8)) | ahead[k : k + n]
+    order, rank = _ranked(key)
+    known = reach = 8
+    kept = rank
     while reach < depth:
-        after = np.zeros(n, np.int64)
-        after[: max(0, n - reach)] = rank[reach:] + 1
-        rank = np.unique(rank * (n + 1) + after, return_inverse=True)[1].astype(np.int64)
-        reach *= 2
-    return np.argsort(rank, kind="stable")
+        parts = 3 if n < 1 << 21 and reach * 2 < depth else 2
+        key = rank
+        for k in range(1, parts):
+            after = np.zeros(n, np.int64)
+            after[: max(0, n - reach * k)] = rank[reach * k :]
+            key = key * (n + 1) + after
+        order, rank = _ranked(key)
+        reach *= parts
+        if reach <= depth:
+            known, kept = reach, rank
+    return order, kept, known
 
 
 def expand_intervals(symbols: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """(starts, interval): suffixes that share their first ``width`` symbols with others.
 
-    Symbol 0 separates texts and is equal to nothing.
+    ``SEPARATOR`` is equal to nothing; the last symbol must be one. Sorting leaves the
+    intervals of some length behind, from which the expansion goes on symbol by symbol.
     """
-    order = suffix_rows(symbols, width)
-    transform = symbols[order - 1]  # of the suffix at 0: the last symbol, a separator
-    follower = np.argsort(transform, kind="stable")  # the row that comes next in the text
-    first = np.sort(symbols)
-    interval = np.cumsum(np.concatenate([[True], first[1:] != first[:-1]]))
-    rows = np.flatnonzero(first != 0)
-    held = np.full(len(symbols), -1, np.int64)
-    held[rows] = interval[rows]
-    for _ in range(width - 1):
+    if width < 8:
+        order, held_all, known = suffix_rows(symbols, width)[0], None, 1
+    else:
+        order, rank, known = suffix_rows(symbols, width)
+        held_all = rank[order]
+    first = symbols[order]
+    if held_all is None:
+        held_all = np.cumsum(np.concatenate([[True], first[1:] != first[:-1]]))
+    cuts = np.flatnonzero(symbols == SEPARATOR)
+    room = np.repeat(cuts, np.diff(cuts, prepend=-1)) - np.arange(len(symbols))  # symbols to the next separator
+    follower = np.argsort(symbols[order - 1], kind="stable").astype(np.int32)  # the row that comes next in the text
+
+    def several(interval: np.ndarray) -> np.ndarray:
+        new = np.concatenate([[True], interval[1:] != interval[:-1], [True]])
+        return ~(new[:-1] & new[1:])
+
+    rows = np.flatnonzero(room[order] >= known).astype(np.int32)
+    if not len(rows):
+        return order[rows], rows
+    rows = rows[several(held_all[rows])]
+    held = np.full(len(symbols), -1, np.int32)
+    held[rows] = held_all[rows]
+    for _ in range(width - known):
         behind = held[follower[rows]]
         going = behind >= 0
-        held_now, behind = held[rows[going]], behind[going]
+        now, behind = held[rows[going]], behind[going]
         held[rows] = -1
         rows = rows[going]
         if not len(rows):
             break
-        new = np.concatenate([[True], (held_now[1:] != held_now[:-1]) | (behind[1:] != behind[:-1])])
-        several = ~(new & np.concatenate([new[1:], [True]]))
-        rows, new = rows[several], new[several]
-        held[rows] = np.cumsum(new)
+        new = np.concatenate([[True], (now[1:] != now[:-1]) | (behind[1:] != behind[:-1])])
+        interval = np.cumsum(new, dtype=np.int32)
+        more = several(interval)
+        rows = rows[more]
+        held[rows] = interval[more]
     return order[rows], held[rows]
 
 
@@ -91,8 +127,8 @@ def repeated_windows(pieces: list[tuple[tuple, int, bytes]], width: int) -> list
     """(piece, at, bytes): stretches of windows that occur earlier; pieces are (doc, at, bytes)."""
     lengths = np.array([len(p[2]) + 1 for p in pieces])
     begin = np.cumsum(lengths) - lengths
-    symbols = np.frombuffer(b"\0".join(p[2] for p in pieces) + b"\0", np.uint8).astype(np.uint16) + 1
-    symbols[begin + lengths - 1] = 0
+    between = bytes([SEPARATOR])
+    symbols = np.frombuffer(between.join(p[2] for p in pieces) + between, np.uint8)
     starts, interval = expand_intervals(symbols, width)
     if not len(starts):
         return []
