@@ -177,7 +177,9 @@ def repeated_fragments(rows: DataFrame, cut: Callable[[list[bytes]], Units], wid
     first fragments of their kind whose anchor has other kinds too, a list for each document.
     """
     found = found_fragments(rows, cut, width, seed)
-    repeated = found.select("anchor").groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
+    # Counts are stored before they are joined: Spark splits a hot key only between two shuffles.
+    counts = found.select("anchor").groupBy("anchor").agg(F.count(F.lit(1)).alias("n"))
+    repeated = stored(counts.where("n > 1").select("anchor"), "repeat-anchors")
     kept = stored(found.join(repeated, "anchor", "left_semi"), "repeats")
     kinds = stored(
         kept.groupBy("anchor", "fragment").agg(F.min(F.struct("doc", "at", "units")).alias("first"), F.count(F.lit(1)).alias("n")), "repeat-kinds"
@@ -187,7 +189,7 @@ def repeated_fragments(rows: DataFrame, cut: Callable[[list[bytes]], Units], wid
         .where((F.col("doc") != F.col("first.doc")) | (F.col("at") != F.col("first.at")))
         .select("doc", "at", "units")
     )
-    several = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+    several = stored(kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1"), "repeat-several")
     parts = kinds.join(several, "anchor").select("anchor", "kinds", "first.*")
     return whole, parts.groupBy("doc").agg(F.collect_list(F.struct("anchor", "kinds", "at", "units")).alias("parts"))
 
@@ -201,8 +203,8 @@ def window_hashes(units: np.ndarray, spans: list[tuple[int, int]], width: int) -
 
 def not_first(windows: DataFrame) -> DataFrame:
     """(doc, at) of the windows (h1, h2, doc, at) that occur earlier too."""
-    first = windows.groupBy("h1", "h2").agg(F.min(F.struct("doc", "at")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    return windows.join(first, ["h1", "h2"]).where(F.struct("doc", "at") != F.col("first")).select("doc", "at")
+    first = windows.groupBy("h1", "h2").agg(F.min(F.struct("doc", "at")).alias("first"), F.count(F.lit(1)).alias("n"))
+    return windows.join(stored(first.where("n > 1"), "repeat-firsts"), ["h1", "h2"]).where(F.struct("doc", "at") != F.col("first")).select("doc", "at")
 
 
 def packed(rows: DataFrame) -> DataFrame:
