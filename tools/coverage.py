@@ -24,7 +24,7 @@ TESTED = {
     "C19": "tests/test_text.py::test_rules",
     "F5": "tests/test_retrieval.py::test_ring_cutoff_equals_the_radius_loop",
     "J1": "tests/test_model.py::test_fit_lowers_the_objective, test_atoms_stay_in_the_unit_ball",
-    "J2": "tests/test_model.py::test_lasso_optimality (fails on nearly dependent atoms), test_codes_do_not_depend_on_partitioning",
+    "J2": "tests/test_model.py::test_lasso_optimality (defaults, dependent atoms), test_every_item_contributes, test_codes_do_not_depend_on_partitioning",
     "J3": "tests/test_model.py::test_summary",
     "K1": "tests/test_retrieval.py::test_keys",
     "K6": "tests/test_retrieval.py::test_policy_labels",
