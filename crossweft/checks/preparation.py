@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import replace
+from uuid import uuid4
 
 from pyspark.sql import functions as F
 
@@ -11,6 +12,7 @@ from crossweft.checks.text_columns import ERA_SQL
 from crossweft.operators import features, ordering
 from crossweft.operators import schema as S
 from crossweft.sources import artifacts, bridges
+from crossweft.session import checkpoint_folder
 from crossweft.sources.tables import SourceSpec, load_pair, load_raw
 
 # ---- stand-in source tables -------------------------------------------------
@@ -346,6 +348,67 @@ def title_fallback(spark, folder):
     return pair.queries.select("item_id", "title", S.TITLE_FEATURE)
 
 
+@query(
+    "fallback_roles",
+    """
+    WITH t AS (SELECT event_type AS title FROM events UNION ALL SELECT n_name FROM nation)
+    SELECT '__title_text' AS "column", CASE WHEN count(DISTINCT title) <= 250 THEN 'categorical' ELSE 'text' END AS role FROM t
+    UNION ALL SELECT '__title_text (long)', 'text'
+    """,
+    "B6",
+)
+def fallback_roles(spark, folder):
+    """Without shared columns the title is typed like any column: short ones are a category."""
+    events = table(spark, folder, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("name"))
+    nations = table(spark, folder, "nation").select(F.col("n_nationkey").alias("key"), F.col("n_name").alias("title"))
+    benchmark = table(spark, folder, "benchmark").select("item_id", F.col("text").alias("title"))
+    pages = table(spark, folder, "pages").select(F.col("page_id").alias("id"), F.col("url").alias("name"))
+    rows = []
+    for suffix, left, right in (("", events, nations), (" (long)", benchmark, pages)):
+        schema = load_pair(spark, SourceSpec(queries=left, catalog=right)).schema
+        rows += [(c + suffix, role) for role in ("categorical", "numeric", "text") for c in getattr(schema, role)]
+    return spark.createDataFrame(rows, "column string, role string")
+
+
+@query(
+    "csv_pair",
+    f"WITH {PAIR_SQL} SELECT domain, item_id, title, region, round(acctbal, 6) AS acctbal, summary, artist FROM pair",
+    "A1 B9",
+)
+def csv_pair(spark, folder):
+    """Both tables written as CSV to the shared folder and loaded again by path and schema."""
+    place = f"{checkpoint_folder(spark)}/csv-{uuid4().hex}"
+    frames = {"queries": customers(spark, folder), "catalog": suppliers(spark, folder)}
+    for name, df in frames.items():
+        df.write.option("header", True).option("escape", '"').csv(f"{place}/{name}")
+    kinds = {name: df.schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " ") for name, df in frames.items()}
+    pair = load_pair(spark, SourceSpec(queries=f"{place}/queries", catalog=f"{place}/catalog", format="csv", schemas=kinds))
+    both = features.union_domains(pair.queries, pair.catalog)
+    return both.select("domain", "item_id", "title", "region", F.round("acctbal", 6).alias("acctbal"), "summary", "artist")
+
+
+@query(
+    "refused_inputs",
+    """
+    SELECT 'empty' AS input, 'The catalog table is empty.' AS message FROM (SELECT count(*) AS n FROM supplier) WHERE n > 0
+    UNION ALL SELECT 'unnamed', 'no title' FROM (SELECT count(*) AS n FROM customer) WHERE n > 0
+    """,
+    "A5 B11",
+)
+def refused_inputs(spark, folder):
+    """What loading says of an empty table, and of one without a title column."""
+    rows = []
+    for name, left, right in (
+        ("empty", customers(spark, folder), suppliers(spark, folder).where("item_id IS NULL")),
+        ("unnamed", customers(spark, folder).select("id", "acctbal"), suppliers(spark, folder)),
+    ):
+        try:
+            load_pair(spark, SourceSpec(queries=left, catalog=right))
+        except ValueError as error:
+            rows.append((name, "no title" if "title" in str(error) else str(error)))
+    return spark.createDataFrame(rows, "input string, message string")
+
+
 @query(
     "stale_items",
     """

@@ -64,6 +64,14 @@ def bounded_arrow(df: DataFrame, max_rows: int, max_bytes: int) -> pa.Table | No
     return df.toArrow() if rows <= max_rows and volume <= max_bytes else None
 
 
+def sent_if_small(df: DataFrame, n_rows: int | None) -> DataFrame:
+    """``df``, stored and marked for broadcast if it is known to have few rows and its bytes fit."""
+    if n_rows is None or n_rows > 10 * BROADCAST_ROWS:
+        return df
+    df = durable(df)
+    return F.broadcast(df) if extent(df)[1] <= BROADCAST_BYTES else df
+
+
 def in_pieces(kernel: Kernel, combine: Callable[[list[pa.Table]], pa.Table], cells: int) -> Kernel:
     """The kernel over slices of the left block, so that at most ``cells`` pairs are held at once."""
 

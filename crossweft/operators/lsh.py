@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from crossweft.operators.blocks import BLOCK_ROWS
+from crossweft.operators.blocks import BLOCK_ROWS, pair_blocks
 from crossweft.operators.similarity import (
     item_rows,
     keep_best,
@@ -97,32 +97,23 @@ def near_buckets(keys: DataFrame, buckets: DataFrame, n_bits: int, radius: int)
         )
         return probes.join(buckets, "key").select("qkey", "key", "dist", "cnt")
 
-    # Keys at most ``radius`` bits apart agree on one of radius + 1 pieces of the key.
-    pieces = radius + 1
-    width = math.ceil(n_bits / pieces)
-
-    def piece(key: Column) -> Column:
-        return F.explode(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(i).alias("i"),
-                        F.shiftright(key, i * width)
-                        .bitwiseAND(F.lit((1 << width) - 1))
-                        .alias("bits"),
-                    )
-                    for i in range(math.ceil(n_bits / width))
-                ]
-            )
+    # Too many masks to spell out: blocks of keys meet blocks of buckets in a kernel, and
+    # only the pairs within the radius become rows.
+    def within(a: pa.Table, b: pa.Table) -> pa.Table:
+        asked, held = a["qkey"].to_numpy().astype(np.uint64), b["key"].to_numpy().astype(np.uint64)
+        dist = np.bitwise_count(asked[:, None] ^ held[None, :])
+        row, col = np.nonzero(dist <= radius)
+        return pa.table(
+            {
+                "qkey": a["qkey"].take(pa.array(row)),
+                "key": b["key"].take(pa.array(col)),
+                "dist": pa.array(dist[row, col].astype(np.int32)),
+                "cnt": b["cnt"].take(pa.array(col)),
+            }
         )
 
-    dist = F.bit_count(F.col("qkey").bitwiseXOR(F.col("key")))
-    return (
-        keys.withColumn("p", piece(F.col("qkey")))
-        .join(buckets.withColumn("p", piece(F.col("key"))), "p")
-        .where(dist <= radius)
-        .select("qkey", "key", dist.alias("dist"), "cnt")
-        .distinct()
+    return pair_blocks(
+        keys.select("qkey"), buckets.select("key", "cnt"), within, pa.concat_tables, "qkey bigint, key bigint, dist int, cnt bigint", "qkey", "key"
     )
 
 

@@ -11,7 +11,6 @@ from crossweft.functions.text import to_number
 from crossweft.session import durable
 
 SINGLE_SORT_ROWS = 500_000
-MAX_SLICES = 200
 
 
 def global_row_number(
@@ -26,50 +25,33 @@ def global_row_number(
 
     ``n``, when the caller knows it, is the number of rows or an upper bound of it.
 
-    A small input is sorted in one task. A large one is cut into key ranges by
-    sampled boundaries (literals, so a re-run task cuts the same way), numbered
-    inside each range, and shifted by the counts of the ranges before it.
+    A small input is sorted in one task. A large one is dealt into key ranges of about
+    ``single_sort_rows`` rows, numbered inside each range, and shifted by the counts of the
+    ranges before it. The ranges are stored before they are counted, so a task that is run
+    again cannot cut them differently.
     """
     order = [F.col(c).asc() if up else F.col(c).desc() for c, up in keys]
     n = df.count() if n is None else n
     if n <= single_sort_rows:
         return df.withColumn(name, F.row_number().over(Window.orderBy(*order)))
 
-    df = durable(df)  # sampled, counted and numbered: three passes over the same rows
-    slices = slices or min(MAX_SLICES, n // single_sort_rows + 2)
-    fraction = min(1.0, 50.0 * slices / n)
-    picked = df.select(*[c for c, _ in keys]).sample(fraction, seed=17).orderBy(*order).collect()
-    step = max(1, len(picked) // slices)
-    cuts = [picked[i] for i in range(step, len(picked), step)]
-
-    def at_or_after(cut) -> Column:
-        reached = F.lit(True)
-        for (c, up), value in reversed(list(zip(keys, cut))):
-            beyond = F.col(c) > F.lit(value) if up else F.col(c) < F.lit(value)
-            reached = beyond | ((F.col(c) == F.lit(value)) & reached)
-        return reached
-
-    slot = F.lit(0)
-    for cut in cuts:
-        slot = slot + at_or_after(cut).cast("int")
-    cut_up = df.withColumn("__slot", slot)
-    counts = cut_up.groupBy("__slot").count()
-    offsets = counts.select(
-        "__slot",
-        F.coalesce(
-            F.sum("count").over(Window.orderBy("__slot").rowsBetween(Window.unboundedPreceding, -1)),
-            F.lit(0),
-        ).alias("__offset"),
-    )
-    within = F.row_number().over(Window.partitionBy("__slot").orderBy(*order))
+    dealt = _in_ranges(df, order, slices or n // single_sort_rows + 2)
+    counts = dealt.groupBy("__slot").count()
+    before = Window.orderBy("__slot").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("__slot", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__before"))
+    inside = F.row_number().over(Window.partitionBy("__slot").orderBy(*order))
     return (
-        cut_up.withColumn("__within", within)
-        .join(F.broadcast(offsets), "__slot")
-        .withColumn(name, F.col("__offset") + F.col("__within"))
-        .drop("__slot", "__within", "__offset")
+        dealt.join(offsets, "__slot")
+        .withColumn(name, (inside + F.col("__before")).cast("bigint"))
+        .drop("__slot", "__before")
     )
 
 
+def _in_ranges(df: DataFrame, order: Sequence[Column], slices: int) -> DataFrame:
+    """``df`` with ``__slot``, the number of the key range that a row lies in; stored."""
+    return durable(df.repartitionByRange(slices, *order).withColumn("__slot", F.spark_partition_id()))
+
+
 def exact_medians(
     df: DataFrame, columns: Sequence[str], collect_rows: int = SINGLE_SORT_ROWS
 ) -> dict[str, float | None]:
@@ -111,10 +93,19 @@ def exact_median(df: DataFrame, column: Column, collect_rows: int = SINGLE_SORT_
         if inside > before // 2:
             break  # repeats of a few values fill the bracket; grouping removes them
     span = values if lo is None else values.where(F.col("v").between(lo, hi))
-    counted = span.groupBy("v").count()
-    running = F.sum("count").over(Window.orderBy("v"))
-    ordered = counted.select("v", running.alias("upto"))
-    hits = [
-        ordered.where(F.col("upto") > rank - below).agg(F.min("v")).first()[0] for rank in ranks
-    ]
+    # Values repeat, or the bracket is small: order the distinct ones, range by range.
+    counted = durable(span.groupBy("v").count())
+    dealt = _in_ranges(counted, [F.col("v").asc()], counted.count() // collect_rows + 1)
+    sums = sorted((r["__slot"], r["n"]) for r in dealt.groupBy("__slot").agg(F.sum("count").alias("n")).collect())
+    hits = []
+    for rank in ranks:
+        left = rank - below
+        slot = None
+        for slot, size in sums:
+            if left < size:
+                break
+            left -= size
+        upto = F.sum("count").over(Window.orderBy("v"))
+        part = dealt.where(F.col("__slot") == slot).select("v", upto.alias("upto"))
+        hits.append(part.where(F.col("upto") > left).agg(F.min("v")).first()[0])
     return float(sum(hits) / len(hits))

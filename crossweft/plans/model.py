@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from crossweft.functions import vectors
 from crossweft.operators import arc, dictionary, explain, features, lsh, metrics, relevance, rerank, steering, titles
+from crossweft.operators.blocks import sent_if_small
 from crossweft.operators.schema import FeatureSchema
 from crossweft.operators.similarity import top_scored
 from crossweft.session import durable
@@ -216,8 +217,7 @@ def _bounded(queries: DataFrame, per_query: int) -> int:
 
 def _attach(rows: DataFrame, catalog: DataFrame, n_rows: int) -> DataFrame:
     """Catalog columns for result rows; results of known small size go to the scan."""
-    small = n_rows <= 10 * rerank.BROADCAST_ROWS
-    return catalog.join(F.broadcast(rows) if small else rows, "item_id")
+    return catalog.join(sent_if_small(rows, n_rows), "item_id")
 
 
 def recommend_titles(
