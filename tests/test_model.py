@@ -242,6 +242,8 @@ def test_metric_values(spark):
     assert all(rows[(2, 5)][m] == 0 for m in ("precision", "recall", "f1", "ndcg", "diversity", "serendipity"))
     cov = {r.K: r.coverage for r in metrics.coverage(judged, 6, (1, 5)).collect()}
     assert cov == {1: 1 / 6, 5: 0.5}
+    empty = metrics.query_metrics(judged.limit(0), counts.limit(0), (5,), 2)
+    assert [tuple(r) for r in metrics.summary(empty, metrics.coverage(judged.limit(0), 6, (5,))).collect()] == [(5, *[0.0] * 7)]
 
 
 def test_evaluation_bounds(spark):
