@@ -34,6 +34,8 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 #: Bytes of records a micro-batch takes in; a long input becomes many batches.
 BATCH_BYTES = 16 << 30
+#: Native memory that the stores of one executor share; state beyond it is read from disk.
+STATE_MEMORY_MB = "128"
 
 
 def sha256(text: Column) -> Column:
@@ -78,6 +80,8 @@ def remember(stream: DataFrame, checkpoint: str) -> DataFrame:
     with (
         _setting(spark, "spark.sql.streaming.stateStore.providerClass", ROCKSDB),
         _setting(spark, "spark.sql.streaming.stateStore.rocksdb.allowFAllocate", "false"),
+        _setting(spark, "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage", "true"),
+        _setting(spark, "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB", STATE_MEMORY_MB),
     ):
         run = (
             state.writeStream.format("noop")

@@ -43,7 +43,7 @@ from crossweft.llm.exact_dedup import located
 from crossweft.llm.graph import components
 from crossweft.llm.registry import query
 from crossweft.llm.repeats import mixed
-from crossweft.llm.tables import UPPER, stored, table
+from crossweft.llm.tables import UPPER, give_back, one_by_one, stored, table
 
 #: Most nodes of a key that are compared in one piece, and nodes compared without a search.
 CELL = 4096
@@ -105,8 +105,9 @@ def fingerprints(rows: DataFrame, setting: Setting) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = [fingerprint(shingle_hashes(t, setting.shingle), setting.lanes) for t in batch.column(len(kept)).to_pylist()]
+            prints = [fingerprint(shingle_hashes(t, setting.shingle), setting.lanes) for t in one_by_one(batch.column(len(kept)))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(prints, pa.binary())], [*kept, "print"])
+        give_back()
 
     return rows.mapInArrow(run, rows.select(*kept).schema.add("print", T.BinaryType()))
 

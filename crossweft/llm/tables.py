@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Iterator
 from uuid import uuid4
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,8 +22,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the driver and all executors share."""
-    return f"{checkpoint_folder(spark)}/{name}-{uuid4().hex}"
+    """A new path in the folder that the driver and all executors share.
+
+    Results are lazy and read these tables, so none is deleted here; all of an application
+    lie in one folder of its name, to be dropped when it has ended.
+    """
+    return f"{checkpoint_folder(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid4().hex}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -36,3 +43,19 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.octet_length(whole) == F.char_length(whole), F.lower(whole)).otherwise(
         F.translate(whole, UPPER, UPPER.lower())
     )
+
+
+def one_by_one(column: pa.Array) -> Iterator:
+    """The values of a column as Python objects, of which one at a time is held."""
+    return (value.as_py() for value in column)
+
+
+def give_back() -> None:
+    """Return a worker's freed memory to the system when its task ends.
+
+    Idle workers stay alive for a while beside those of the next stage.
+    """
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)

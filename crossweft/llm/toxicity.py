@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crossweft.llm.registry import query
-from crossweft.llm.tables import table
+from crossweft.llm.tables import give_back, one_by_one, table
 
 #: Labelled documents of each class that are learned from, and features kept.
 SAMPLE = 6_000
@@ -164,8 +164,9 @@ def score(docs: DataFrame, model: Classifier, to: str = "score", text: str = "te
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = pa.array([model.score(t) for t in batch.column(text).to_pylist()], pa.float64())
+            scores = pa.array([model.score(t) for t in one_by_one(batch.column(text))], pa.float64())
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], scores], [*kept, to])
+        give_back()
 
     return docs.mapInArrow(run, schema)
 

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from crossweft.llm.registry import query
-from crossweft.llm.tables import table
+from crossweft.llm.tables import give_back, one_by_one, table
 
 #: Unicode's White_Space, spelled out because regular expression libraries differ on it.
 SPACE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -40,7 +40,7 @@ SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N
 CACHED_WORDS = 600_000
 CACHED_PAIRS = 500_000
 CACHED_CHARS = 8_000_000
-SLICE_CHARS = 2_000_000
+SLICE_CHARS = 1_000_000
 
 
 def byte_letters() -> list[str]:
@@ -68,7 +68,7 @@ class Vocabulary:
         self.at_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.words: dict[str, bytes] = {}
         self.cached_chars = 0
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         #: By token: rank of the merge that forms it (-1: a byte), its two parts, and whether
         #: merging its own bytes gives it (0: not tried, 1: yes, 2: no).
         last_id = max(self.names) + 1
@@ -148,11 +148,12 @@ class Vocabulary:
                     token = ids.get(prefix[k:])
                     if token is not None:
                         before = last[k]
-                        known = pairs.get((before, token))
+                        pair = before << 32 | token
+                        known = pairs.get(pair)
                         if known is None:
                             if len(pairs) >= CACHED_PAIRS:
                                 pairs.clear()
-                            known = pairs[before, token] = self.follows(before, token)
+                            known = pairs[pair] = self.follows(before, token)
                         if known:
                             last.append(token)
                             size.append(depth - k)
@@ -206,13 +207,14 @@ def vocabulary(path: str | None) -> Vocabulary:
 
 def slices(batch: pa.RecordBatch, text: str) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """A batch in runs of rows with about ``SLICE_CHARS`` characters; null texts as empty."""
-    texts = [t or "" for t in batch.column(text).to_pylist()]
+    texts: list[str] = []
     start, chars = 0, 0
-    for k, t in enumerate(texts):
-        chars += len(t)
-        if chars >= SLICE_CHARS or k + 1 == len(texts):
-            yield batch.slice(start, k + 1 - start), texts[start : k + 1]
-            start, chars = k + 1, 0
+    for k, t in enumerate(one_by_one(batch.column(text))):
+        texts.append(t or "")
+        chars += len(texts[-1])
+        if chars >= SLICE_CHARS or k + 1 == batch.num_rows:
+            yield batch.slice(start, k + 1 - start), texts
+            texts, start, chars = [], k + 1, 0
 
 
 def _with(df: DataFrame, name: str, kind: T.DataType) -> tuple[T.StructType, list[str]]:
@@ -232,6 +234,7 @@ def encode(docs: DataFrame, text: str = "text", to: str = "ids", path: str | Non
                 ends = np.cumsum([0, *[len(i) // 4 for i in ids]]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), np.int32)))
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], lists], [*kept, to])
+        give_back()
 
     return docs.mapInArrow(run, schema)
 
@@ -248,6 +251,7 @@ def decode(tokens: DataFrame, ids: str = "ids", to: str = "decoded", path: str |
             held = column.is_valid().to_numpy(zero_copy_only=False)
             texts = [words.decode(flat[a:b]).decode("utf-8", "replace") if ok else "" for a, b, ok in zip(ends, ends[1:], held)]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(texts, pa.string())], [*kept, to])
+        give_back()
 
     return tokens.mapInArrow(run, schema)
 
