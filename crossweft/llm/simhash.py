@@ -14,10 +14,14 @@ forest of its close nodes. A key with more than ``CELL`` nodes is cut into piece
 pair of pieces is a group of its own, so no task holds a hot key. Joins back to the
 documents are equi-joins of narrow rows, which Spark splits where a fingerprint is hot.
 
-For pairs of five-word shingles with similarity 0.8 or more 64 bits are too few: such pairs
-differ in up to 17. ``WIDE`` uses 384 bits in 24 blocks of 16; pairs that agree on one block
-are compared by all bits, at most 58 of which differ at similarity 0.8. By the rates measured for
-random hyperplanes a pair meets with probability 0.83 at similarity 0.8, 0.99 at 0.9.
+For near copies, five-word shingles with similarity (Jaccard, of the shingle sets) 0.8 or
+more, ``WIDE`` decides in two steps. Candidates meet by min-hashes of the set, ``rows`` to a
+key and ``bands`` keys: a pair of similarity s shares a min-hash with probability s, so 24
+keys of 5 bring it together with probability 1 - (1 - s^5)^24, which is 0.99993 at 0.8 for
+sets of any size. Those that differ in more than ``bits`` of 384 fingerprint bits (mean 58 at
+similarity 0.8, deviation 7; small sets up to 72) go no further. Then each component of candidates
+is compared by its shingle sets themselves, and only pairs of ``percent`` or more are linked.
+Sets count a repeated shingle once, and so does a wide fingerprint.
 
 Defined cases: null and empty texts have fingerprint zero, linked like any other; fewer words
 than a shingle form one. ``component_id`` is the smallest id reachable; null ids are passed
@@ -28,7 +32,7 @@ their names, are kept by ``drop_near_copies`` and ignored by ``near_groups``.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from itertools import combinations
 
@@ -48,6 +52,8 @@ from crossweft.llm.tables import UPPER, give_back, one_by_one, stored, table
 #: Most nodes of a key that are compared in one piece, and nodes compared without a search.
 CELL = 4096
 FEW = 8
+#: Most shingles of a component that are compared in one piece, on the average.
+CELL_SHINGLES = 1 << 19
 SEED = 42
 _LOWER = bytes.maketrans(UPPER.encode(), UPPER.lower().encode())
 _RUN = 255  # rows of bits whose sums fit a byte
@@ -57,18 +63,20 @@ _RUN = 255  # rows of bits whose sums fit a byte
 class Setting:
     """shingle: words; lanes: 64-bit words of a fingerprint; bits: most that may differ.
 
-    ``blocks`` 0: as many as the number of nodes asks for, agreeing on all but ``bits``.
+    ``percent`` above 0: nodes meet by ``bands`` keys of ``rows`` min-hashes, and are linked
+    if their sets are as similar; else they meet by blocks of the fingerprint.
     """
 
     shingle: int
     lanes: int
     bits: int
-    blocks: int = 0
-    agree: int = 1
+    percent: int = 0
+    bands: int = 0
+    rows: int = 0
 
 
 NARROW = Setting(shingle=3, lanes=1, bits=3)
-WIDE = Setting(shingle=5, lanes=6, bits=58, blocks=24, agree=1)
+WIDE = Setting(shingle=5, lanes=6, bits=100, percent=80, bands=24, rows=5)
 
 
 def shingle_hashes(text: str | None, size: int) -> np.ndarray:
@@ -99,13 +107,34 @@ def fingerprint(hashes: np.ndarray, lanes: int) -> bytes:
     return b"".join(out)
 
 
+def band_keys(hashes: np.ndarray, bands: int, rows: int) -> bytes:
+    """8 bytes a band, each from the smallest hashes of the set under ``rows`` functions."""
+    if not len(hashes):
+        return bytes(8 * bands)
+    factors = mixed(np.arange(1, bands * rows + 1, dtype=np.uint64)) | np.uint64(1)
+    least = np.full(bands * rows, np.iinfo(np.uint64).max)
+    for at in range(0, len(hashes), _RUN):
+        np.minimum(least, (hashes[at : at + _RUN, None] * factors).min(axis=0), out=least)
+    keys = np.zeros(bands, np.uint64)
+    for column in least.reshape(bands, rows).T:
+        keys = mixed(keys + column)
+    return keys.astype(">u8").tobytes()
+
+
 def fingerprints(rows: DataFrame, setting: Setting) -> DataFrame:
-    """The rows (.., text) with ``print`` in place of the text."""
+    """The rows (.., text) with ``print`` in place of the text: fingerprint, then band keys."""
     kept = rows.columns[:-1]
 
+    def printed(text: str | None) -> bytes:
+        hashes = shingle_hashes(text, setting.shingle)
+        if not setting.percent:
+            return fingerprint(hashes, setting.lanes)
+        hashes = np.unique(hashes)
+        return fingerprint(hashes, setting.lanes) + band_keys(hashes, setting.bands, setting.rows)
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = [fingerprint(shingle_hashes(t, setting.shingle), setting.lanes) for t in one_by_one(batch.column(len(kept)))]
+            prints = [printed(t) for t in one_by_one(batch.column(len(kept)))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(prints, pa.binary())], [*kept, "print"])
         give_back()
 
@@ -115,12 +144,10 @@ def fingerprints(rows: DataFrame, setting: Setting) -> DataFrame:
 def masks(setting: Setting, nodes: int) -> list[list[int]]:
     """For every choice of blocks that a key is made of: the mask of each lane's bits."""
     width = 64 * setting.lanes
-    blocks, agree = setting.blocks, setting.agree
-    if not blocks:
-        blocks = setting.bits + 2
-        while (blocks - setting.bits) * width // blocks < max(1, nodes).bit_length() and blocks < 16:
-            blocks += 1
-        agree = blocks - setting.bits
+    blocks = setting.bits + 2
+    while (blocks - setting.bits) * width // blocks < max(1, nodes).bit_length() and blocks < 16:
+        blocks += 1
+    agree = blocks - setting.bits
     edges = [width * k // blocks for k in range(blocks + 1)]
     whole = [((1 << (b - a)) - 1) << (width - b) for a, b in zip(edges, edges[1:])]
     out = []
@@ -162,22 +189,40 @@ def close_pairs(prints: np.ndarray, group: np.ndarray, bits: int) -> tuple[np.nd
 def links(nodes: DataFrame, setting: Setting, cell: int = CELL) -> DataFrame:
     """(a, b): close pairs of the nodes (node, print) that join all that belongs together."""
     lanes = setting.lanes
-    choices = masks(setting, nodes.count())
-    lane = lambda k: F.conv(F.hex(F.substring("print", 8 * k + 1, 8)), 16, -10).cast("long")
-    words = nodes.select("node", "print", *[lane(k).alias(f"lane{k}") for k in range(lanes)])
-    keys = [F.xxhash64(F.lit(c), *[F.col(f"lane{k}").bitwiseAND(F.lit(m)) for k, m in enumerate(mask) if m]) for c, mask in enumerate(choices)]
-    keyed = words.select("node", "print", F.explode(F.array(*keys)).alias("key"))
+    if setting.percent:
+        words = nodes.select("node", F.substring("print", 1, 8 * lanes).alias("print"), F.substring("print", 8 * lanes + 1, 8 * setting.bands).alias("bands"))
+        keys = [F.xxhash64(F.lit(c), F.substring("bands", 8 * c + 1, 8)) for c in range(setting.bands)]
+    else:
+        choices = masks(setting, nodes.count())
+        lane = lambda k: F.conv(F.hex(F.substring("print", 8 * k + 1, 8)), 16, -10).cast("long")
+        words = nodes.select("node", "print", *[lane(k).alias(f"lane{k}") for k in range(lanes)])
+        keys = [F.xxhash64(F.lit(c), *[F.col(f"lane{k}").bitwiseAND(F.lit(m)) for k, m in enumerate(mask) if m]) for c, mask in enumerate(choices)]
+    keyed = words.select(F.explode(F.array(*keys)).alias("key"), "node", "print")
     # Stored, as Spark splits a hot key only between two shuffles.
     shared = stored(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "simhash-keys")
-    pieces = F.ceil(F.col("n") / cell).cast("int")
+
+    def found(rows: pa.Table, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        prints = np.frombuffer(b"".join(rows["print"].to_pylist()), ">u8").astype(np.uint64).reshape(-1, lanes)
+        return close_pairs(prints, marks, setting.bits)
+
+    return pairs_in_cells(keyed, shared.select("key", F.ceil(F.col("n") / cell).cast("int").alias("pieces")), found)
+
+
+def pairs_in_cells(keyed: DataFrame, pieces: DataFrame, found: Callable[[pa.Table, np.ndarray], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """(a, b): what ``found`` links among the rows (key, node, value) of a key, by pairs of its pieces."""
+    value = keyed.columns[2]
     met = (
-        keyed.join(shared, "key")
-        .withColumn("pieces", pieces)
+        keyed.join(pieces, "key")
         .withColumn("piece", F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
-        .select("key", F.least("piece", "other").alias("p"), F.greatest("piece", "other").alias("q"), "node", "print")
+        .select("key", F.least("piece", "other").alias("p"), F.greatest("piece", "other").alias("q"), "node", value)
     )
-    n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def linked(rows: pa.Table, marks: np.ndarray) -> pa.RecordBatch:
+        a, b = found(rows, marks)
+        node = rows["node"].to_numpy()
+        return pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], ["a", "b"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -187,21 +232,72 @@ def links(nodes: DataFrame, setting: Setting, cell: int = CELL) -> DataFrame:
             marks = _marks(held)
             last = int(np.flatnonzero(np.concatenate([[True], marks[1:] != marks[:-1]]))[-1]) if len(marks) else 0
             if last:
-                yield found(held.slice(0, last), marks[:last])
+                yield linked(held.slice(0, last), marks[:last])
                 held = held.slice(last)
         if held is not None and held.num_rows:
-            yield found(held, _marks(held))
-
-    def found(rows: pa.Table, marks: np.ndarray) -> pa.RecordBatch:
-        prints = np.frombuffer(b"".join(rows["print"].to_pylist()), ">u8").astype(np.uint64).reshape(-1, lanes)
-        a, b = close_pairs(prints, marks, setting.bits)
-        node = rows["node"].to_numpy()
-        return pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], ["a", "b"])
+            yield linked(held, _marks(held))
+        give_back()
 
     groups = met.repartition(n, "key", "p", "q").sortWithinPartitions("key", "p", "q")
     return groups.mapInArrow(run, "a long, b long")
 
 
+def close_sets(flat: np.ndarray, edges: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the sets ``flat[edges[k]:edges[k + 1]]`` with that similarity or more."""
+    n, size = len(edges) - 1, np.diff(edges)
+    values, ids = np.unique(flat, return_inverse=True)
+    seen, alive = np.zeros(len(values), bool), np.ones(n, bool)
+    owner, rest = np.repeat(np.arange(n), size), ids
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for first in range(n):
+        front = [first] if alive[first] else []
+        alive[first] = False
+        while front and alive.any():
+            u = front.pop()
+            keep = alive[owner]
+            owner, rest = owner[keep], rest[keep]
+            own = ids[edges[u] : edges[u + 1]]
+            seen[own] = True
+            shared = np.bincount(owner[seen[rest]], minlength=n)
+            seen[own] = False
+            near = np.flatnonzero(alive & (100 * shared >= percent * (size[u] + size - shared)))
+            alive[near] = False
+            left.append(np.full(len(near), u))
+            right.append(near)
+            front.extend(near.tolist())
+    return np.concatenate(left), np.concatenate(right)
+
+
+def similar(candidates: DataFrame, rows: DataFrame, setting: Setting, cell: int = CELL, shingles: int = CELL_SHINGLES) -> DataFrame:
+    """(a, b): links of the ``candidates`` (root, node, locator) whose sets are as similar as asked.
+
+    ``rows`` (locator, .., text) has their texts. All members of a root are compared.
+    """
+    texts = candidates.join(rows.select("locator", rows.columns[-1]), "locator").select(F.col("root").alias("key"), "node", rows.columns[-1])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t, setting.shingle)).tobytes() for t in one_by_one(batch.column(2))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(sets, pa.binary())], ["key", "node", "hashes"])
+        give_back()
+
+    sets = stored(texts.mapInArrow(run, "key long, node long, hashes binary"), "simhash-sets")
+    total = F.greatest(F.ceil(F.count(F.lit(1)) / cell), F.ceil(F.sum(F.octet_length("hashes")) / (8 * shingles)), F.lit(1))
+    pieces = stored(sets.groupBy("key").agg(total.cast("int").alias("pieces")), "simhash-pieces")
+
+    def found(rows: pa.Table, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        start = np.flatnonzero(np.concatenate([[True], marks[1:] != marks[:-1]]))
+        for at, stop in zip(start.tolist(), [*start[1:].tolist(), len(marks)]):
+            members = [np.frombuffer(h.as_buffer(), np.uint64) for chunk in rows["hashes"].slice(at, stop - at).chunks for h in chunk]
+            a, b = close_sets(np.concatenate(members), np.cumsum([0, *map(len, members)]), setting.percent)
+            left.append(a + at)
+            right.append(b + at)
+        return np.concatenate(left), np.concatenate(right)
+
+    return pairs_in_cells(sets, pieces, found)
+
+
 def _marks(rows: pa.Table) -> np.ndarray:
     """The number of the group that each row belongs to."""
     columns = [rows[c].to_numpy() for c in ("key", "p", "q")]
@@ -212,10 +308,14 @@ def _marks(rows: pa.Table) -> np.ndarray:
 
 
 def grouped(rows: DataFrame, setting: Setting) -> DataFrame:
-    """The rows (.., doc_id, text) with print, component (a node) and component_id."""
+    """The rows (locator if sets are compared, doc_id, text) with print, component (a node) and component_id."""
     printed = stored(fingerprints(rows, setting).withColumn("uid", F.monotonically_increasing_id()), "simhash-prints")
     nodes = stored(printed.groupBy("print").agg(F.min("uid").alias("node"), F.min("doc_id").alias("least")), "simhash-nodes")
-    roots = components(links(nodes.select("node", "print"), setting), "simhash-links")
+    near = links(nodes.select("node", "print"), setting)
+    if setting.percent:
+        loose = components(near, "simhash-candidates").join(printed.select(F.col("uid").alias("node"), "locator"), "node")
+        near = similar(loose, rows, setting)
+    roots = components(near, "simhash-links")
     placed = nodes.join(roots, "node", "left").select("print", "least", F.coalesce("root", "node").alias("component"))
     named = placed.groupBy("component").agg(F.min("least").alias("component_id"))
     # Only this table of nodes, never the documents, is grouped by component.

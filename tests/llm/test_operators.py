@@ -116,6 +116,33 @@ def test_simhash_odd_rows(odd, none):
     assert simhash.drop_near_copies(none).count() == 0
 
 
+def test_near_copies_near_the_required_similarity(spark):
+    """Pairs at 0.80 to 0.85 are found, those below are not: sets of 90 and of 9 shingles, and a repeated one."""
+    rng = np.random.default_rng(3)
+    rows, brute = [], {}
+    for k in range(240):
+        n, new = (90, 8 + k % 5) if k % 2 else (9, 1 + k // 2 % 2)
+        words = [f"v{v}" for v in rng.integers(1 << 40, size=n + 4)]
+        other = words[: n + 4 - new] + [f"v{v}" for v in rng.integers(1 << 40, size=new)]
+        pair = [words * 3 if n == 90 and k % 3 == 0 else words, other]
+        a, b = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in pair)
+        brute[2 * k + 1] = 10 * len(a & b) >= 8 * len(a | b)
+        rows += [(2 * k, " ".join(pair[0])), (2 * k + 1, " ".join(pair[1]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r["doc_id"] for r in simhash.drop_near_copies(docs).collect()}
+    assert {i for i in range(480) if i not in kept} == {i for i, close in brute.items() if close} and 80 < sum(brute.values()) < 200
+
+
+def test_near_copies_compare_sets_across_cells(spark):
+    """Chains of sets, each close to the next only, stay whole however small the pieces are."""
+    rows = [(10 * c + k, " ".join(f"c{c}w{w}" for w in range(4 * k, 4 * k + 60))) for c in range(3) for k in range(10)]
+    docs = spark.createDataFrame(rows, "locator long, text string")
+    candidates = docs.select(F.lit(0).cast("long").alias("root"), F.col("locator").alias("node"), "locator")
+    for cell, shingles in ((4, 1 << 19), (4096, 100), (4096, 1 << 19)):
+        found = components(simhash.similar(candidates, docs, simhash.WIDE, cell, shingles)).collect()
+        assert {r["node"]: r["root"] for r in found} == {i: i // 10 * 10 for i, _ in rows}
+
+
 def test_simhash_cuts_hot_keys(spark):
     """A chain of near fingerprints in small cells is still one component, and the same one."""
     rng = np.random.default_rng(1)
