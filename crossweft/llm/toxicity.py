@@ -5,7 +5,9 @@ is hashed to a bucket. A bucket present in a document is a feature. On a bounded
 labelled documents (``SAMPLE`` of each class, those with the smallest hash of their id) the
 log-count ratio ``r = log((p + 1) / |p|) - log((q + 1) / |q|)`` of each bucket is counted;
 ``FEATURES`` buckets with the largest weighted ratio become the inputs ``r * presence`` of a
-logistic regression with an L2 penalty. Counts are summed by Spark; what reaches the driver
+logistic regression with an L2 penalty. All labelled ids of each class outside the held-out fold
+are counted, and a sampled row weighs as many as it stands for, so the threshold means the same
+whether a class is sampled or not. Counts are summed by Spark; what reaches the driver
 is bounded by the two parameters. Scoring is one scan of all texts without a shuffle.
 
 Defined cases: a null or empty text has no features and gets the score of the intercept.
@@ -73,15 +75,19 @@ def fold(identity: Column) -> Column:
     return F.pmod(F.crc32(F.encode(identity.cast("string"), "UTF-8")), F.lit(FOLDS))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int, identity: str, text: str) -> DataFrame:
-    """(text, toxic) of at most ``sample`` rows a class; the list of ids is bounded, so it travels."""
-    known = (
+def known_labels(labels: DataFrame, identity: str) -> DataFrame:
+    """(_id, _toxic) of the labelled ids outside the held-out fold."""
+    return (
         labels.where(F.col(identity).isNotNull() & F.col("toxic").isin(0, 1))
         .groupBy(F.col(identity).alias("_id"))
         .agg(F.max("toxic").alias("_toxic"))
         .where(fold(F.col("_id")) != 0)
-        .withColumn("_order", F.xxhash64("_id"))
     )
+
+
+def labelled_sample(docs: DataFrame, known: DataFrame, sample: int, identity: str, text: str) -> DataFrame:
+    """(text, toxic) of at most ``sample`` rows a class; the list of ids is bounded, so it travels."""
+    known = known.withColumn("_order", F.xxhash64("_id"))
     pick = [known.where(F.col("_toxic") == k).orderBy("_order", "_id").limit(sample) for k in (0, 1)]
     ids = F.broadcast(pick[0].unionByName(pick[1]))
     return docs.select(F.col(identity).alias("_id"), F.col(text).alias("_text")).join(ids, "_id").select("_text", "_toxic")
@@ -104,14 +110,18 @@ def fit(
     identity: str = "doc_id",
     text: str = "text",
 ) -> Classifier:
-    rows = labelled_sample(docs, labels, sample, identity, text)
+    known = known_labels(labels, identity)
+    rows = labelled_sample(docs, known, sample, identity, text)
     counts = rows.mapInArrow(_counts, "bucket long, p long, q long").groupBy("bucket").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
     sizes = {r["_toxic"]: r["n"] for r in rows.groupBy("_toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     nothing = Classifier(np.full(1 << BUCKET_BITS, -1, np.int32), np.zeros(0), 0.0, False)
     if not sizes.get(0) or not sizes.get(1):
         return nothing
+    # How many labelled ids a sampled one stands for.
+    stands_for = {r["_toxic"]: max(1.0, r["n"] / sample) for r in known.groupBy("_toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    clean, toxic = stands_for[0], stands_for[1]
     # How far presence tells the classes apart: difference of the rates over its deviation.
-    rate = (F.col("p") + F.col("q")) / (sizes[0] + sizes[1])
+    rate = (F.col("p") * toxic + F.col("q") * clean) / (sizes[0] * clean + sizes[1] * toxic)
     apart = F.abs(F.col("p") / sizes[1] - F.col("q") / sizes[0]) / F.sqrt(rate * (1 - rate) + 1e-4)
     best = counts.where("p + q >= 3").withColumn("apart", apart).orderBy(F.col("apart").desc(), "bucket").limit(features).toArrow()
     chosen = best["bucket"].to_numpy()
@@ -131,21 +141,27 @@ def fit(
     y = seen["toxic"].to_numpy().astype(float)
     hits = seen["hits"].combine_chunks()
     at = np.repeat(np.arange(len(y)), np.diff(hits.offsets.to_numpy()))
-    coefficients, intercept = logistic(at, hits.values.to_numpy(), y, ratio)
+    coefficients, intercept = logistic(at, hits.values.to_numpy(), y, ratio, np.where(y > 0, toxic, clean))
     return Classifier(feature, ratio * coefficients, intercept, True)
 
 
-def logistic(row: np.ndarray, column: np.ndarray, y: np.ndarray, scale: np.ndarray, steps: int = 400) -> tuple[np.ndarray, float]:
-    """L2-penalised logistic regression on presence times ``scale``, by accelerated gradient steps."""
+def logistic(
+    row: np.ndarray, column: np.ndarray, y: np.ndarray, scale: np.ndarray, weight: np.ndarray, steps: int = 400
+) -> tuple[np.ndarray, float]:
+    """L2-penalised logistic regression on presence times ``scale``, by accelerated gradient steps.
+
+    Rows count by ``weight``.
+    """
     n, k = len(y), len(scale)
+    weight = weight / weight.sum()
     value = scale[column]
     squares = np.bincount(row, value * value, n)
-    rate = 1 / (0.25 * (squares.mean() * 4 + 1) + PENALTY)
+    rate = 1 / (0.25 * (squares @ weight * 4 + 1) + PENALTY)
     w, b = np.zeros(k), 0.0
     ahead_w, ahead_b, t = w, b, 1.0
     for _ in range(steps):
         z = ahead_b + np.bincount(row, value * ahead_w[column], n)
-        gap = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y) / n
+        gap = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y) * weight
         new_w = ahead_w - rate * (np.bincount(column, value * gap[row], k) + PENALTY * ahead_w)
         new_b = ahead_b - rate * gap.sum()
         t_next = (1 + np.sqrt(1 + 4 * t * t)) / 2

@@ -377,6 +377,26 @@ def test_toxicity_learns_and_never_sees_the_held_out(spark):
     assert np.array_equal(again.weights, model.weights) and again.intercept == model.intercept
 
 
+def test_toxicity_keeps_the_prior_when_classes_are_sampled(spark):
+    """One document in eight is toxic. A word that half of the toxic and a quarter of the clean ones hold proves nothing, sampled or not."""
+    rng = np.random.default_rng(6)
+    rows = []
+    for k in range(1600):
+        text = list(rng.choice(["calm", "river", "stone", "green", "paper"], 20))
+        toxic = k % 8 == 0
+        if rng.random() < (0.5 if toxic else 0.25):
+            text[5] = "hothead"
+        rows.append((k, " ".join(text), int(toxic)))
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    mean = []
+    for sample in (100, 6000):
+        scores = [r["score"] for r in toxicity.score(docs, toxicity.fit(docs, labels, sample)).collect()]
+        assert np.mean([s >= 0.5 for s in scores]) < 0.1
+        mean.append(np.mean(scores))
+    assert abs(mean[1] - 0.125) < 0.02 and abs(mean[0] - mean[1]) < 0.05
+
+
 def test_toxicity_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([(6, 1), (6, 0), (9, 0), (1, 0), (2, 0), (7, 1), (None, 1), (3, 5)], "doc_id long, toxic int")
     scored = toxicity.score(odd, toxicity.fit(odd, labels)).toArrow().to_pylist()
