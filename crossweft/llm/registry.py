@@ -18,6 +18,9 @@ MODULES = (
     "personal_data",
     "trie_bpe",
     "suffix_dedup",
+    "chosen_path",
+    "hard_negatives",
+    "spelling_variants",
 )
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
