@@ -67,14 +67,16 @@ vocab AS (SELECT feature, (row_number() OVER (ORDER BY block, ord, feature) - 1)
 
 @query("document_frequency", f"WITH {ITEMS_SQL} SELECT term, df, cf FROM freq", "E7")
 def document_frequency(spark, folder):
-    items = features.by_item(text_items(spark, folder))
+    items = text_items(spark, folder)
     space = features.FeatureSpace(SCHEMA, items, {}, 0)
     return features.document_frequency(features.term_counts(items, space.text()))
 
 
 @query("capped_vocabulary", f"WITH {ITEMS_SQL} SELECT term, df, cf FROM kept", "G2")
 def capped_vocabulary(spark, folder):
-    return features.cap_vocabulary(document_frequency(spark, folder), features.MAX_TEXT_FEATURES, 1)
+    items = text_items(spark, folder)
+    text = features.FeatureSpace(SCHEMA, items, {}, 0).text()
+    return features.frequent_terms(items, text, True, features.MAX_TEXT_FEATURES, 1)
 
 
 @query(

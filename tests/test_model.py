@@ -254,3 +254,48 @@ def test_evaluation_bounds(spark):
         assert all(0 <= r[m] <= 1 for m in ("precision", "recall", "f1", "ndcg", "serendipity", "coverage"))
         assert 0 <= r.diversity <= 2
     assert json.dumps({k: list(r) for k, r in rows.items()})
+
+
+def test_terms_are_counted_without_a_shuffle(spark):
+    """No exchange lies under the tokeniser, when fitting or transforming; sparse rows move once."""
+    pair = small_pair(spark)
+    items = features.union_domains(pair.queries, pair.catalog)
+    space = features.fit(items, pair.schema)
+    plan = features.transform(items, space)._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" in plan and "Repartition" not in plan
+    physical = features.transform(items, space)._jdf.queryExecution().sparkPlan().toString()
+    assert physical.count("regexp_extract_all") == 1 and "SortMergeJoin" not in physical  # one pass over the texts
+    counts = features.term_counts(items, space.text())
+    assert "Exchange" not in counts._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("buckets", [None, 7])
+def test_frequent_terms_are_exact(spark, buckets):
+    """Whatever the sketch's width, the vocabulary is that of a full count; ties go by term."""
+    rng = np.random.default_rng(7)
+    rows = [("c", i, " ".join(f"w{int(v)}" for v in rng.zipf(1.3, size=40) if v < 400)) for i in range(120)] + [("q", 1, ""), ("q", 2, None)]
+    items = spark.createDataFrame(rows, "domain string, item_id long, t string")
+    full = features.document_frequency(features.term_counts(items, F.col("t")))
+    for cap, least in ((5, 1), (40, 3), (10_000, 2), (0, 1)):
+        want = {tuple(r) for r in features.cap_vocabulary(full, cap, least).collect()}
+        assert {tuple(r) for r in features.frequent_terms(items, F.col("t"), True, cap, least, buckets).collect()} == want
+
+
+def test_terms_of_an_item_are_counted_in_its_row(spark):
+    rows = [("c", 1, "aa bb aa aa"), ("c", 2, ""), ("c", 3, None), ("q", 1, "Aa")]
+    items = spark.createDataFrame(rows, "domain string, item_id long, t string")
+    got = {tuple(r) for r in features.term_counts(items, F.col("t")).collect()}
+    assert got == {("c", 1, "aa", 3), ("c", 1, "bb", 1), ("c", 1, "aa bb", 1), ("c", 1, "bb aa", 1), ("c", 1, "aa aa", 1), ("q", 1, "aa", 1)}
+
+
+def test_large_vocabularies_are_split(spark):
+    """Beyond the limit the common features are answered from a broadcast, the others by a join: same rows."""
+    pair = small_pair(spark)
+    items = features.union_domains(pair.queries, pair.catalog)
+    space = features.fit(items, pair.schema)
+    whole = {(r.domain, r.item_id): (r.idx, r.val) for r in features.transform(items, space).collect()}
+    split = features.transform(items, space, limit=space.vocab_bytes // 3)
+    assert {(r.domain, r.item_id): (r.idx, r.val) for r in split.collect()} == whole
+    plan = split._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" in plan and "LeftOuter" in plan
+    assert features.transform(items, space, limit=0).count() == 160
