@@ -4,10 +4,11 @@ A text is cut into words by the vocabulary's splitting pattern. The distinct wor
 slice of documents go into a trie. The trie is walked depth first, and every node gets its
 *last-token state*: the token in which the encoding of the node's prefix ends. That token is
 the one token ending here that forms a valid pair with the last token of the prefix before
-it; "valid" means that merging the two tokens' bytes by rank gives the two tokens back.
+it; "valid" means that merging the two tokens' bytes by rank gives the two tokens back. An
+Aho-Corasick automaton of the vocabulary walks along and lists the tokens that end at a node.
 A prefix shared by many words is so encoded once, and a word's tokens are read off by walking
 back from its end, token by token. Nothing depends on other documents, so there is no
-shuffle; words met before are kept in a bounded cache of the worker.
+shuffle; words met before are kept in a bounded cache, which is emptied when a task ends.
 
 Defined cases: a null text counts as empty and has no tokens. The special token's string in
 a text becomes that token, as the tokenizers library does. An empty table gives an empty
@@ -61,9 +62,7 @@ class Vocabulary:
         self.rank = {(a, b): i for i, (a, b) in enumerate(merges)}
         self.special = {t["content"]: t["id"] for t in model["added_tokens"]}
         self.names = {i: t for t, i in {**self.ids, **self.special}.items()}
-        self.longest = max(map(len, self.ids))
         letters = byte_letters()
-        self.letters = {chr(b): letter for b, letter in enumerate(letters)}
         self.split = regex.compile(SPLIT)
         self.at_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.words: dict[str, bytes] = {}
@@ -82,6 +81,46 @@ class Vocabulary:
         self.spelled = np.frombuffer(b"".join(spelled), np.uint8)
         self.width = np.array([len(s) for s in spelled], np.int64)
         self.begin = np.cumsum(self.width) - self.width
+        self._automaton({i: spelled[i] for i in self.ids.values()})
+
+    def _automaton(self, tokens: dict[int, bytes]) -> None:
+        """``goto`` (state and byte to state), ``fail`` (state to the longest other suffix) and
+        ``ending``: (bytes, token) of all tokens that end in a state, longest first."""
+        self.goto: dict[int, int] = {}
+        self.ending: list[tuple[tuple[int, int], ...]] = [()]
+        made: list[list[tuple[int, int, int]]] = []  # by depth: state, parent, byte
+        for token, name in tokens.items():
+            state = 0
+            for depth, byte in enumerate(name):
+                after = self.goto.get(state << 8 | byte)
+                if after is None:
+                    after = self.goto[state << 8 | byte] = len(self.ending)
+                    self.ending.append(())
+                    if depth == len(made):
+                        made.append([])
+                    made[depth].append((after, state, byte))
+                state = after
+            if name:
+                self.ending[state] = ((len(name), token),)
+        self.fail = [0] * len(self.ending)
+        for level in made:
+            for state, parent, byte in level:
+                suffix = self.after(self.fail[parent], byte) if parent else 0
+                self.fail[state] = suffix
+                self.ending[state] = self.ending[state] + self.ending[suffix] if self.ending[state] else self.ending[suffix]
+
+    def after(self, state: int, byte: int) -> int:
+        """The state of the longest suffix that the automaton knows, one byte on."""
+        goto, fail = self.goto, self.fail
+        found = goto.get(state << 8 | byte)
+        while found is None and state:
+            state = fail[state]
+            found = goto.get(state << 8 | byte)
+        return found or 0
+
+    def forget(self) -> None:
+        """Give up the words and pairs remembered, which idle workers would hold on to."""
+        self.words, self.pairs, self.cached_chars = {}, {}, 0
 
     def merged(self, text: str) -> list[str]:
         """Merge by rank, leftmost first; for strings of one or two tokens only."""
@@ -126,43 +165,38 @@ class Vocabulary:
     def learn(self, words: Iterable[str]) -> None:
         """Encode new words: a trie of their bytes, walked depth first."""
         root: dict = {}
-        letters = self.letters
         for word in words:
             node = root
-            for byte in word if word.isascii() else word.encode().decode("latin-1"):
-                letter = letters[byte]
-                child = node.get(letter)
+            for byte in word.encode():
+                child = node.get(byte)
                 if child is None:
-                    child = node[letter] = {}
+                    child = node[byte] = {}
                 node = child
-            node[""] = word
-        ids, pairs, longest = self.ids, self.pairs, self.longest
+            node[-1] = word
+        after, ending, pairs = self.after, self.ending, self.pairs
         last, size = [-1], [0]
-        todo = [(root, "")]
+        todo = [(root, 0, 0)]
         while todo:
-            node, prefix = todo.pop()
-            depth = len(prefix)
+            node, depth, state = todo.pop()
             if depth:
                 del last[depth:], size[depth:]
-                for k in range(depth - longest if depth > longest else 0, depth):
-                    token = ids.get(prefix[k:])
-                    if token is not None:
-                        before = last[k]
-                        pair = before << 32 | token
-                        known = pairs.get(pair)
-                        if known is None:
-                            if len(pairs) >= CACHED_PAIRS:
-                                pairs.clear()
-                            known = pairs[pair] = self.follows(before, token)
-                        if known:
-                            last.append(token)
-                            size.append(depth - k)
-                            break
+                for length, token in ending[state]:
+                    before = last[depth - length]
+                    pair = before << 32 | token
+                    known = pairs.get(pair)
+                    if known is None:
+                        if len(pairs) >= CACHED_PAIRS:
+                            pairs.clear()
+                        known = pairs[pair] = self.follows(before, token)
+                    if known:
+                        last.append(token)
+                        size.append(length)
+                        break
                 else:
-                    raise ValueError(f"The vocabulary has no token for {prefix[-1]!r}.")
-            for key, child in node.items():
-                if key:
-                    todo.append((child, prefix + key))
+                    raise ValueError("The vocabulary has no token for a byte of the text.")
+            for byte, child in node.items():
+                if byte >= 0:
+                    todo.append((child, depth + 1, after(state, byte)))
                 else:
                     tokens, at = [], depth
                     while at:
@@ -234,6 +268,7 @@ def encode(docs: DataFrame, text: str = "text", to: str = "ids", path: str | Non
                 ends = np.cumsum([0, *[len(i) // 4 for i in ids]]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), np.int32)))
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], lists], [*kept, to])
+        words.forget()
         give_back()
 
     return docs.mapInArrow(run, schema)
