@@ -34,7 +34,7 @@ kept. An empty table gives an empty result. Other columns, whatever their names,
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -52,6 +52,8 @@ from crossweft.llm.tables import give_back, one_by_one, stored, table
 #: Bits of a sketch, and 64-bit words that hold them.
 BITS, LANES = 256, 4
 SKETCH = [f"s{k}" for k in range(LANES)]
+#: Ids, of 8 bytes, and nodes, of 50, that are sent to every executor at most.
+FEW_IDS, FEW_NODES = 1_000_000, 100_000
 #: Most values of a batch of shingles under all hash functions that are held at once.
 _CHUNK = 255
 
@@ -67,7 +69,7 @@ class Join:
     percent: int = 80
     recall: float = 0.99999
     branch: int = 2
-    limit: int = 1024
+    limit: int = CELL
     levels: int = 8
 
     @property
@@ -113,30 +115,51 @@ def sketch(least: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8)).view(">i8").astype(np.int64)
 
 
+def shingles(text: str | None, join: Join) -> np.ndarray:
+    return np.unique(shingle_hashes(text, join.shingle))
+
+
 def printed(rows: DataFrame, join: Join) -> DataFrame:
-    """(doc_id, size, digest, sketch lanes, minima, hashes) of rows (doc_id, text); digest null: empty."""
-    names = ["doc_id", "size", "digest", *SKETCH, "minima", "hashes"]
+    """(doc_id, text, size, digest, sketch lanes, minima) of rows (doc_id, text); digest null: empty."""
+    names = ["doc_id", "text", "size", "digest", *SKETCH, "minima"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         factors = _factors(max(BITS, join.functions))
         for batch in batches:
-            sizes, digests, lanes, tokens, sets = [], [], [], [], []
+            sizes, digests, lanes, tokens = [], [], [], []
             for text in one_by_one(batch.column(1)):
-                hashes = np.unique(shingle_hashes(text, join.shingle))
+                hashes = shingles(text, join)
                 least = minima(hashes, factors)
                 sizes.append(len(hashes))
                 digests.append(xxhash.xxh3_128_digest(hashes) if len(hashes) else None)
                 lanes.append(sketch(least))
                 tokens.append(least[: join.functions].astype(">u4").tobytes())
-                sets.append(hashes.tobytes())
             by_lane = np.array(lanes, np.int64).reshape(-1, LANES).T
-            columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary())]
-            columns += [*map(pa.array, np.ascontiguousarray(by_lane)), pa.array(tokens, pa.binary()), pa.array(sets, pa.binary())]
+            columns = [*batch.columns, pa.array(sizes, pa.int64()), pa.array(digests, pa.binary())]
+            columns += [*map(pa.array, np.ascontiguousarray(by_lane)), pa.array(tokens, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names)
         give_back()
 
     lanes = ", ".join(f"{s} long" for s in SKETCH)
-    return rows.mapInArrow(run, f"doc_id long, size long, digest binary, {lanes}, minima binary, hashes binary")
+    return rows.mapInArrow(run, f"doc_id long, text string, size long, digest binary, {lanes}, minima binary")
+
+
+def only(nodes: DataFrame, uids: DataFrame) -> DataFrame:
+    """The nodes of some uids. Few ids go to the scan of the nodes, so only nodes that are asked for move."""
+    wanted = stored(uids.distinct(), "path-wanted")
+    return nodes.join(F.broadcast(wanted) if wanted.count() <= FEW_IDS else wanted, "uid", "left_semi")
+
+
+def sets_of(uids: DataFrame, nodes: DataFrame, join: Join) -> DataFrame:
+    """(uid, hashes): the whole sets of some nodes (uid, text), stored."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingles(text, join).tobytes() for text in one_by_one(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["uid", "hashes"])
+        give_back()
+
+    return stored(only(nodes.select("uid", "text"), uids).mapInArrow(run, "uid long, hashes binary"), "path-sets")
 
 
 def differing(prefix: str) -> Column:
@@ -157,20 +180,24 @@ def children(rows: DataFrame, join: Join, level: int) -> DataFrame:
     return rows.select(picks, "uid", *SKETCH).select("pick.node", "pick.place", "uid", *SKETCH)
 
 
-def compared_with_pivots(large: DataFrame, sets: DataFrame, join: Join) -> tuple[DataFrame, DataFrame]:
-    """(links, rest): links of each node's sets with its pivot, and the rows that may have further ones."""
+def compared_with_pivots(large: DataFrame, nodes: DataFrame, join: Join, sent: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """(links, rest): links of each node's sets with its pivot, and the rows that may have further ones.
+
+    ``sent`` is how a table with a row for each node meets the rows.
+    """
     ones = [F.sum(F.shiftrightunsigned("s0", k).bitwiseAND(F.lit(1))).alias(f"b{k}") for k in range(64)]
     counted = large.groupBy("node").agg(F.count(F.lit(1)).alias("n"), *ones)
     # Bits are disjoint, so their sum is their union; the highest one is the sign.
     bits = [F.when(2 * F.col(f"b{k}") > F.col("n"), F.lit((1 << k) - ((1 << 64) if k == 63 else 0))).otherwise(F.lit(0)) for k in range(64)]
     majority = stored(counted.select("node", sum(bits[1:], bits[0]).cast("long").alias("usual")), "path-majorities")
     middle = F.struct(F.bit_count(F.col("s0").bitwiseXOR(F.col("usual"))).alias("off"), "uid", *SKETCH)
-    pivots = stored(large.join(majority, "node").groupBy("node").agg(F.min(middle).alias("pivot")), "path-pivots")
+    pivots = stored(large.join(sent(majority), "node").groupBy("node").agg(F.min(middle).alias("pivot")), "path-pivots")
 
     reach = 2 * join.percent / 100 - 1  # similarity at twice the allowed distance
-    close = large.join(pivots, "node").where((differing("pivot") <= join.most_bits(reach)) & (F.col("uid") != F.col("pivot.uid")))
+    close = large.join(sent(pivots), "node").where((differing("pivot") <= join.most_bits(reach)) & (F.col("uid") != F.col("pivot.uid")))
     pairs = stored(close.select("uid", F.col("pivot.uid").alias("pivot")).distinct(), "path-pivot-pairs")
-    of_pivot = stored(sets.join(pairs.select(F.col("pivot").alias("uid")).distinct(), "uid", "left_semi").select(F.col("uid").alias("pivot"), F.col("hashes").alias("theirs")), "path-pivot-sets")
+    sets = sets_of(pairs.select(F.explode(F.array("uid", "pivot")).alias("uid")), nodes, join)
+    of_pivot = sets.select(F.col("uid").alias("pivot"), F.col("hashes").alias("theirs"))
 
     def shared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -183,51 +210,77 @@ def compared_with_pivots(large: DataFrame, sets: DataFrame, join: Join) -> tuple
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n.copy()), pa.array(union.copy())], ["uid", "pivot", "shared", "union"])
         give_back()
 
-    joined = pairs.join(sets.select("uid", "hashes"), "uid").join(of_pivot, "pivot").select("uid", "pivot", "hashes", "theirs")
+    joined = pairs.join(sets, "uid").join(of_pivot, "pivot").select("uid", "pivot", "hashes", "theirs")
     judged = stored(joined.mapInArrow(shared, "uid long, pivot long, shared long, union long"), "path-judged")
     linked = F.expr(f"100 * shared >= {join.percent} * union")
     links = judged.where(linked).select(F.col("uid").alias("a"), F.col("pivot").alias("b"))
 
     itself = F.col("uid") == F.col("pivot")
-    rows = large.join(pivots.select("node", F.col("pivot.uid").alias("pivot")), "node").join(judged, ["uid", "pivot"], "left")
+    rows = large.join(sent(pivots.select("node", F.col("pivot.uid").alias("pivot"))), "node").join(judged, ["uid", "pivot"], "left")
     rows = rows.withColumn("inside", itself | F.coalesce(linked, F.lit(False))).withColumn("distance", F.when(itself, 0.0).otherwise(1 - F.col("shared") / F.col("union")))
     allowed = 1 - join.percent / 100
     ring = stored(rows.where(f"NOT inside AND distance <= {2 * allowed + 1e-9}").groupBy("node").agg(F.min("distance").alias("nearest")), "path-rings")
-    rest = rows.join(ring, "node", "left").where(f"NOT inside OR coalesce(distance >= nearest - {allowed + 1e-9}, false)")
+    rest = rows.join(sent(ring), "node", "left").where(f"NOT inside OR coalesce(distance >= nearest - {allowed + 1e-9}, false)")
     return links, rest.select("node", "place", "uid", *SKETCH)
 
 
+def close_members(rows: pa.Table, marks: np.ndarray, join: Join) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (leader, member): the least set of each group of close sketches in a leaf, with all of the group."""
+    prints = pa.concat_arrays(rows["lanes"].chunks).flatten().to_numpy().view(np.uint64).reshape(-1, LANES)
+    a, b = close_pairs(prints, marks, join.most_bits(join.percent / 100))
+    order = np.argsort(rows["node"].to_numpy(), kind="stable")
+    least = np.empty_like(order)
+    least[order] = np.arange(len(order))
+    before = None
+    while before is None or not np.array_equal(before, least):
+        before = least.copy()
+        low = np.minimum(least[a], least[b])
+        np.minimum.at(least, a, low)
+        np.minimum.at(least, b, low)
+    linked = np.union1d(a, b)
+    return order[least[linked]], linked
+
+
 def leaf_groups(leaves: DataFrame, join: Join) -> DataFrame:
-    """(leader, uid): sets of the leaves (node, uid, lanes, n) with those whose sketches are close, by their least member."""
+    """(leader, uid): sets of the leaves (node, uid, lanes) with those whose sketches are close, by their least member."""
     keyed = leaves.select(F.col("node").alias("key"), F.col("uid").alias("node"), F.array(*SKETCH).alias("lanes"))
-    pieces = leaves.select(F.col("node").alias("key"), F.ceil(F.col("n") / F.greatest(F.lit(CELL), F.lit(join.limit))).cast("int").alias("pieces")).distinct()
-    most = join.most_bits(join.percent / 100)
 
-    def found(rows: pa.Table, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        prints = pa.concat_arrays(rows["lanes"].chunks).flatten().to_numpy().view(np.uint64).reshape(-1, LANES)
-        a, b = close_pairs(prints, marks, most)
+    def grouped(rows: pa.Table, marks: np.ndarray) -> pa.RecordBatch:
+        leader, member = close_members(rows, marks, join)
         uid = rows["node"].to_numpy()
-        order = np.argsort(uid, kind="stable")
-        rank = np.empty_like(order)
-        rank[order] = np.arange(len(order))
-        least = rank.copy()  # of each row's group, by uid
-        while len(a):
-            low = np.minimum(least[a], least[b])
-            before = least.copy()
-            np.minimum.at(least, a, low)
-            np.minimum.at(least, b, low)
-            # A set that lies in several leaves has a row, and a group, in each of them.
-            if np.array_equal(before, least):
-                break
-        linked = np.union1d(a, b)
-        return order[least[linked]], linked
-
-    return pairs_in_cells(keyed, stored(pieces, "path-pieces"), found).select(F.col("a").alias("leader"), F.col("b").alias("uid")).distinct()
-
-
-def confirmed(groups: DataFrame, sets: DataFrame, join: Join, cell: int = CELL, shingles: int = CELL_SHINGLES) -> DataFrame:
+        return pa.RecordBatch.from_arrays([pa.array(uid[leader]), pa.array(uid[member])], ["leader", "uid"])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            more = pa.Table.from_batches([batch])
+            held = more if held is None else pa.concat_tables([held, more])
+            key = held["key"].to_numpy()
+            starts = np.flatnonzero(key[1:] != key[:-1]) + 1
+            if len(starts):  # the last node may go on
+                last = int(starts[-1])
+                yield grouped(held.slice(0, last), np.searchsorted(starts, np.arange(last), side="right"))
+                held = held.slice(last)
+        if held is not None and held.num_rows:
+            yield grouped(held, np.zeros(held.num_rows, np.int64))
+        give_back()
+
+    n = int(leaves.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return keyed.repartition(n, "key").sortWithinPartitions("key").mapInArrow(run, "leader long, uid long")
+
+
+def stubborn_groups(rows: DataFrame, join: Join) -> DataFrame:
+    """The same of nodes (node, uid, lanes, n) that are still large, compared piece by piece."""
+    keyed = rows.select(F.col("node").alias("key"), F.col("uid").alias("node"), F.array(*SKETCH).alias("lanes"))
+    pieces = stored(rows.select(F.col("node").alias("key"), F.ceil(F.col("n") / CELL).cast("int").alias("pieces")).distinct(), "path-pieces")
+    found = pairs_in_cells(keyed, pieces, lambda rows, marks: close_members(rows, marks, join))
+    return found.select(F.col("a").alias("leader"), F.col("b").alias("uid"))
+
+
+def confirmed(groups: DataFrame, nodes: DataFrame, join: Join, cell: int = CELL, shingles: int = CELL_SHINGLES) -> DataFrame:
     """(a, b): a spanning forest of the links inside each group (leader, uid), by the whole sets."""
-    held = stored(groups.join(sets.select("uid", "hashes"), "uid").select(F.col("leader").alias("key"), F.col("uid").alias("node"), "hashes"), "path-sets")
+    sets = sets_of(groups.select("uid"), nodes, join)
+    held = stored(groups.join(sets, "uid").select(F.col("leader").alias("key"), F.col("uid").alias("node"), "hashes"), "path-members")
     total = F.greatest(F.ceil(F.count(F.lit(1)) / cell), F.ceil(F.sum(F.octet_length("hashes")) / (8 * shingles)), F.lit(1))
     pieces = stored(held.groupBy("key").agg(total.cast("int").alias("pieces")), "path-set-pieces")
 
@@ -244,29 +297,46 @@ def confirmed(groups: DataFrame, sets: DataFrame, join: Join, cell: int = CELL,
     return pairs_in_cells(held, pieces, found)
 
 
-def links(nodes: DataFrame, join: Join = Join()) -> DataFrame:
-    """(a, b): links of the sets (uid, lanes, minima, hashes) that join all that belongs together."""
-    sets = nodes.select("uid", "hashes")
+def links(nodes: DataFrame, distinct: DataFrame, join: Join = Join()) -> DataFrame:
+    """(a, b): links of the nodes (uid, text, lanes, minima) that join all that belongs together.
+
+    ``distinct`` (uid): one node of each set.
+    """
     roots = nodes.select(F.lit(0).cast("long").alias("node"), F.explode(F.sequence(F.lit(0), F.lit(join.trees - 1))).alias("place"), "uid", *SKETCH, "minima")
-    rows, found, leaves = children(roots, join, 1), [], []
+    rows = stored(children(only(roots, distinct), join, 1), "path-rows")
+    found, leaves, groups = [], [], []
+
+    def large_nodes(rows: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame], bool]:
+        """(node, n) of those above the limit, how such a table meets the rows, and whether there is any."""
+        large = stored(rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where(f"n > {join.limit}"), "path-large-nodes")
+        count = large.count()
+        return large, F.broadcast if count <= FEW_NODES else lambda df: df, count > 0
+
     for level in range(1, join.levels + 1):
-        sizes = stored(rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "path-sizes")
-        last = level == join.levels
-        leaves.append(rows.join(sizes if last else sizes.where(f"n <= {join.limit}"), "node").select("node", "uid", *SKETCH, "n"))
-        if last or sizes.where(f"n > {join.limit}").isEmpty():
+        nodes_, sent, some = large_nodes(rows)
+        leaves.append(rows.join(sent(nodes_), "node", "left_anti"))
+        if some and level == join.levels:
+            groups.append(stubborn_groups(rows.join(sent(nodes_), "node"), join))
+        if not some or level == join.levels:
             break
-        large = stored(rows.join(sizes.where(f"n > {join.limit}").select("node"), "node", "left_semi"), "path-large")
-        with_pivot, rest = compared_with_pivots(large, sets, join)
+        large = stored(rows.join(sent(nodes_), "node", "left_semi"), "path-large")
+        with_pivot, rest = compared_with_pivots(large, nodes, join, sent)
         found.append(with_pivot)
         rest = stored(rest, "path-rest")
-        left = stored(rest.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "path-left")
-        leaves.append(rest.join(left.where(f"n <= {join.limit}"), "node").select("node", "uid", *SKETCH, "n"))
-        more = rest.join(left.where(f"n > {join.limit}").select("node"), "node", "left_semi")
-        rows = stored(children(more.join(nodes.select("uid", "minima"), "uid"), join, level + 1), "path-rows")
-    every = leaves[0]
+        nodes_, sent, some = large_nodes(rest)
+        leaves.append(rest.join(sent(nodes_), "node", "left_anti"))
+        if not some:
+            break
+        more = rest.join(sent(nodes_), "node", "left_semi")
+        tokens = only(nodes.select("uid", "minima"), more.select("uid"))
+        rows = stored(children(more.join(tokens, "uid"), join, level + 1), "path-rows")
+    every = leaves[0].select("node", "uid", *SKETCH)
     for more in leaves[1:]:
-        every = every.unionByName(more)
-    edges = confirmed(stored(leaf_groups(every, join), "path-groups"), sets, join)
+        every = every.unionByName(more.select("node", "uid", *SKETCH))
+    close = leaf_groups(every, join)
+    for more in groups:
+        close = close.unionByName(more)
+    edges = confirmed(stored(close.distinct(), "path-groups"), nodes, join)
     for more in found:
         edges = edges.unionByName(more)
     return edges
@@ -277,8 +347,7 @@ def near_groups(docs: DataFrame, join: Join = Join(), identity: str = "doc_id",
     rows = docs.select(F.col(identity).cast("long").alias("doc_id"), F.col(text).alias("text"))
     documents = stored(printed(rows, join).withColumn("uid", F.monotonically_increasing_id()), "path-prints")
     firsts = stored(documents.where("size > 0").groupBy("digest").agg(F.min("uid").alias("node"), F.min("doc_id").alias("least")), "path-firsts")
-    nodes = documents.join(firsts.select(F.col("node").alias("uid")), "uid", "left_semi")
-    roots = components(links(nodes, join), "path-links")
+    roots = components(links(documents, firsts.select(F.col("node").alias("uid")), join), "path-links")
     placed = firsts.join(roots, "node", "left").select("digest", "least", F.coalesce("root", "node").alias("component"))
     named = placed.groupBy("component").agg(F.min("least").alias("component_id"))
     of_digest = stored(placed.join(named, "component").select("digest", "component_id"), "path-components")

@@ -86,10 +86,10 @@ def near(spark):
     return [(int(i), texts[i]) for i in order]
 
 
-@pytest.mark.parametrize("limit", [4, 1024])
-def test_chosen_path_brute_force(spark, near, limit):
-    """The same links whether nodes are compared whole or branch down to small leaves."""
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows_of(chosen_path.near_groups(frame(spark, near), Join(limit=limit)))}
+@pytest.mark.parametrize("limit, levels", [(4, 8), (4, 2), (4096, 8)])
+def test_chosen_path_brute_force(spark, near, limit, levels):
+    """The same links whether nodes are compared whole, branch down to small leaves, or stay large at the last level."""
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows_of(chosen_path.near_groups(frame(spark, near), Join(limit=limit, levels=levels)))}
     assert got == {i: x for (i, _), x in zip(near, brute_components(near))}
     assert len({c for _, c in got.values()}) < len(near) - 100
 
