@@ -163,46 +163,48 @@ class Vocabulary:
                 return True
 
     def learn(self, words: Iterable[str]) -> None:
-        """Encode new words: a trie of their bytes, walked depth first."""
-        root: dict = {}
-        for word in words:
-            node = root
-            for byte in word.encode():
-                child = node.get(byte)
-                if child is None:
-                    child = node[byte] = {}
-                node = child
-            node[-1] = word
-        after, ending, pairs = self.after, self.ending, self.pairs
-        last, size = [-1], [0]
-        todo = [(root, 0, 0)]
-        while todo:
-            node, depth, state = todo.pop()
-            if depth:
-                del last[depth:], size[depth:]
+        """Encode new words: a trie of their bytes, walked depth first.
+
+        The sorted words are the trie: what a word has in common with the one before is the path
+        already walked, the rest of it are new nodes.
+        """
+        goto, fail, ending, pairs = self.goto, self.fail, self.ending, self.pairs
+        state_at, last, size = [0], [-1], [0]  # of the nodes on the path
+        path = b""
+        for name, word in sorted((word.encode(), word) for word in words):
+            depth = 0
+            for x, y in zip(path, name):
+                if x != y:
+                    break
+                depth += 1
+            del state_at[depth + 1 :], last[depth + 1 :], size[depth + 1 :]
+            state, path = state_at[depth], name
+            for byte in name[depth:]:
+                depth += 1
+                after = goto.get(state << 8 | byte)
+                while after is None and state:
+                    state = fail[state]
+                    after = goto.get(state << 8 | byte)
+                state = after or 0
                 for length, token in ending[state]:
-                    before = last[depth - length]
-                    pair = before << 32 | token
+                    pair = last[depth - length] << 32 | token
                     known = pairs.get(pair)
                     if known is None:
                         if len(pairs) >= CACHED_PAIRS:
                             pairs.clear()
-                        known = pairs[pair] = self.follows(before, token)
+                        known = pairs[pair] = self.follows(last[depth - length], token)
                     if known:
-                        last.append(token)
-                        size.append(length)
                         break
                 else:
-                    raise ValueError("The vocabulary has no token for a byte of the text.")
-            for byte, child in node.items():
-                if byte >= 0:
-                    todo.append((child, depth + 1, after(state, byte)))
-                else:
-                    tokens, at = [], depth
-                    while at:
-                        tokens.append(last[at])
-                        at -= size[at]
-                    self.words[child] = array("i", tokens[::-1]).tobytes()
+                    raise ValueError(f"The vocabulary has no token for byte {byte}.")
+                state_at.append(state)
+                last.append(token)
+                size.append(length)
+            tokens, at = [], len(name)
+            while at:
+                tokens.append(last[at])
+                at -= size[at]
+            self.words[word] = array("i", tokens[::-1]).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as int32 bytes."""
