@@ -23,6 +23,8 @@ MAX_TEXT_FEATURES = 3_000
 MIN_TEXT_DF = 1
 # Vocabularies up to this many bytes are sent to every executor; of larger ones the heaviest part.
 BROADCAST_VOCAB = 32 << 20
+# Inputs up to so many bytes a core may be scanned by fewer tasks than there are cores.
+SPREAD_BYTES = 64 << 20
 # Buckets of the frequency sketch for each term of the cap, and buckets first looked at.
 SKETCH_BUCKETS, FIRST_BUCKETS = 64, 2
 # An entry that every item has, so that items without any feature keep a row.
@@ -63,9 +65,17 @@ def computed(rows: DataFrame, name: str, value: Column) -> DataFrame:
     return rows.select(*[c for c in rows.columns if c != name], F.explode(F.array(value)).alias(name))
 
 
+def spread(items: DataFrame) -> DataFrame:
+    """Small inputs, by the size of what they read, dealt to all cores; larger ones stay where they are."""
+    leaves = items._jdf.queryExecution().optimizedPlan().collectLeaves()
+    volume = sum(int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size()))
+    cores = items.sparkSession.sparkContext.defaultParallelism
+    return items.repartition(cores) if volume <= SPREAD_BYTES * cores else items
+
+
 def tokenised(items: DataFrame, text: Column, bigrams: bool, *keep: Column | str) -> DataFrame:
     """(keep.., __terms): every term of an item, repeats included."""
-    found = items.select(*keep, F.explode(F.array(words(text))).alias("__words"))
+    found = spread(items).select(*keep, F.explode(F.array(words(text))).alias("__words"))
     terms = with_bigrams(F.col("__words")) if bigrams else F.col("__words")
     return found.select(*found.columns[:-1], terms.alias("__terms"))
 
