@@ -1,9 +1,12 @@
 """Exact and hashed retrieval against brute force, on both physical paths."""
 
 import itertools
+import random
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from crossweft.operators import lsh, rerank, similarity, titles
@@ -191,6 +194,59 @@ def test_titles(spark, options):
     assert len(a) == 5 and not any(r.accepted for r in rows if r.qid == "b")
 
 
+def title_score(a, b):
+    def edit(x, y):
+        return 1 - edit_distance(x, y) / max(len(x), len(y), 1)
+
+    words, others = set(a.split()), set(b.split())
+    loose = max(edit(*(" ".join(sorted(t.split())) for t in (a, b))), len(words & others) / max(len(words | others), 1))
+    return round(100 * max(edit(a, b), 0.95 * loose), 6)
+
+
+@settings(max_examples=150, deadline=None)
+@given(
+    st.lists(st.text("abé x\U0001F600", max_size=9), min_size=1, max_size=40, unique=True),
+    st.text("abé x\U0001F600", max_size=9),
+    st.integers(1, 5),
+)
+def test_title_index_loses_nothing(names, text, limit):
+    names.sort()
+    block = titles.TitleBlock(names)
+    exact = [title_score(text, n) for n in names]
+    assert all(bound >= 1 - edit_distance(text, n) / max(len(text), len(n), 1) for bound, n in zip(block.raw_index.bound(text), names))
+    want = sorted(range(len(names)), key=lambda i: (-exact[i], i))[:limit]
+    for floor in (0.0, exact[want[-1]]):
+        best, scores, _ = block.closest(text, limit, floor)
+        assert list(best) == want and list(scores) == [exact[i] for i in want]
+
+
+def scored_share(names, texts, n_blocks=4):
+    blocks = [titles.TitleBlock(names[i::n_blocks]) for i in range(n_blocks)]
+    scored = 0
+    for text in texts:
+        looks = [block.closest(text, 5, first_look=True) for block in blocks]
+        floor = sorted(s for _, scores, _ in looks for s in scores)[-5]
+        scored += sum(n for _, _, n in looks) + sum(block.closest(text, 5, floor)[2] for block in blocks)
+    return scored / len(texts) / len(names)
+
+
+def test_title_index_scores_few_pairs():
+    rng = random.Random(7)
+    words = ["".join(rng.choices("abcdefghijklmnoprstu", k=rng.randint(3, 8))) for _ in range(400)]
+    names = sorted({" ".join(rng.sample(words, rng.randint(2, 4))) for _ in range(3000)})
+    # Nothing is like these titles but themselves: the fifth best is a chance likeness.
+    assert scored_share(names, [n[:3] + n[4:] for n in names[::60]]) < 0.4
+    series = sorted(f"{n} {part}" for n in names[::6] for part in ("I", "II", "III", "IV", "V", "VI"))
+    assert scored_share(series, [n[:3] + n[4:] for n in series[::60]]) < 0.05
+
+
+def test_null_titles_and_texts(spark):
+    items = spark.createDataFrame([(1, None), (2, ""), (3, "Heat")], "item_id int, title string")
+    texts = spark.createDataFrame([("a", None), ("b", "")], "qid string, text string")
+    rows = titles.match_titles(texts, items).orderBy("rank").collect()
+    assert [(r.qid, r.item_id, r.match_score) for r in rows] == [("b", 2, 100.0), ("b", 3, 0.0)]
+
+
 def test_playlist_has_no_repeats_and_needs_picks(spark):
     _, _, _, queries, catalog = frames(spark, 4)
     planes = lsh.hyperplanes(6, 6)
