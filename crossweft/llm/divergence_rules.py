@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from crossweft.llm.registry import query
-from crossweft.llm.tables import table
+from crossweft.llm.tables import stored, table
 
 COMMON = 64
 LANGUAGES = 256
@@ -114,11 +114,13 @@ def references(docs: DataFrame, language: str = "lang", text: str = "text") -> d
     All documents are counted. Only the most frequent words of the ``LANGUAGES`` largest
     languages come to the driver, a number bounded by the two parameters.
     """
-    counts = (
+    # Stored: both the words and their totals are read from it.
+    counts = stored(
         docs.select(F.col(language).cast("string").alias("lang"), F.col(text).alias("text"))
         .mapInArrow(_tally, "lang string, kind string, item binary, n long")
         .groupBy("lang", "kind", "item")
-        .agg(F.sum("n").alias("n"))
+        .agg(F.sum("n").alias("n")),
+        "rules-counts",
     )
     by_kind = Window.partitionBy("lang", "kind").orderBy(F.col("n").desc(), "item")
     top = counts.withColumn("at", F.row_number().over(by_kind)).where(F.col("at") <= max(COMMON, N_CLASSES))

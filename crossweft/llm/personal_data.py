@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crossweft.llm.registry import query
-from crossweft.llm.tables import table
+from crossweft.llm.tables import sampled_rows, table
 
 SAMPLE = 4_000
 SAMPLE_WORDS = 200
@@ -286,14 +286,13 @@ def pseudolikelihood(rows: list[list[int]], steps: int = 300, penalty: float = 1
 
 def fit(docs: DataFrame, sample: int = SAMPLE, identity: str = "doc_id", text: str = "text") -> Field | None:
     rows = docs.select(F.col(identity).alias("_id"), F.col(text).alias("_text")).where(F.col("_id").isNotNull() & F.col("_text").rlike("[0-9@+]"))
-    ids = rows.select("_id").distinct().withColumn("_order", F.xxhash64("_id")).orderBy("_order", "_id").limit(sample)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             examples = [e for t in batch.column(0).to_pylist() for e in _examples(t)]
             yield pa.RecordBatch.from_arrays([pa.array(examples, pa.list_(pa.int32()))], ["example"])
 
-    seen = rows.join(F.broadcast(ids), "_id").select("_text").mapInArrow(run, "example array<int>")
+    seen = sampled_rows(rows, sample).select("_text").mapInArrow(run, "example array<int>")
     return pseudolikelihood(sorted(seen.toArrow()["example"].to_pylist()))
 
 

@@ -10,8 +10,8 @@ its blocks in whole rounds, and the rest goes to blocks in seeded order.
 
 Defined cases: a null or empty text has size 0 and nothing is taken from it. A null source
 is a source of its own, last in order. Equal quotients go to the earlier source or shard.
-Repeated rows are separate documents; rows that are equal in ``doc_id`` and size are
-interchangeable. An empty table gives an empty result. Other columns are ignored.
+Repeated rows are separate documents; rows that are equal in ``doc_id`` and text are
+interchangeable. Shards are dealt by id and text, so many null or repeated ids spread too. An empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -102,7 +102,7 @@ def apportion(parties: DataFrame, group: str, party: str, votes: str, seats: str
 
 
 def _allocate(rows: DataFrame, block_tokens: int, shard_tokens: int) -> tuple[DataFrame, DataFrame]:
-    """(laid, chosen) for rows (row, doc_id, source, size).
+    """(laid, chosen) for rows (row, doc_id, source, size, digest).
 
     ``laid``: every document's place in its shard; ``chosen``: every block with the times it
     is taken, and the sum of those times over the blocks before it.
@@ -114,10 +114,10 @@ def _allocate(rows: DataFrame, block_tokens: int, shard_tokens: int) -> tuple[Da
         sizes.join(targets.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")))
         .drop("_s")
         .withColumn("shards", F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_tokens)).cast("long"))
-        .withColumn("h", _hash32(F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
+        .withColumn("h", _hash32(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("digest")))
         .withColumn("shard", F.pmod("h", "shards"))
     )
-    in_shard = Window.partitionBy("s_ix", "shard").orderBy("h", "doc_id", "size", "row").rowsBetween(Window.unboundedPreceding, 0)
+    in_shard = Window.partitionBy("s_ix", "shard").orderBy("h", "doc_id", "digest", "row").rowsBetween(Window.unboundedPreceding, 0)
     laid = stored(
         placed.withColumn("stop", F.sum("size").over(in_shard))
         .withColumn("start", F.col("stop") - F.col("size"))
@@ -131,10 +131,12 @@ def _allocate(rows: DataFrame, block_tokens: int, shard_tokens: int) -> tuple[Da
     shard_sizes = laid.groupBy("s_ix", "shard").agg(F.sum("size").alias("tokens"))
     by_shard = apportion(shard_sizes.join(by_source, "s_ix"), "s_ix", "shard", "tokens", "source_seats")
 
-    quotas = (
+    # Stored: a repartition by the keys of the join above would be optimised away.
+    quotas = stored(
         by_shard.where("tokens > 0")
         .withColumn("blocks", F.ceil(F.col("tokens") / block_tokens).cast("long"))
-        .withColumn("won", F.least("won", F.col("blocks") * MAX_REPEATS))
+        .withColumn("won", F.least("won", F.col("blocks") * MAX_REPEATS)),
+        "mix-quotas",
     )
     lottery = Window.partitionBy("s_ix", "shard").orderBy("ticket", "block")
     in_order = Window.partitionBy("s_ix", "shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
@@ -156,6 +158,7 @@ def _sized(identity: str, text: str, source: str) -> list[Column]:
         F.col(identity).cast("long").alias("doc_id"),
         F.col(source).cast("string").alias("source"),
         F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        F.md5(F.coalesce(F.col(text), F.lit(""))).alias("digest"),
     ]
 
 
@@ -247,7 +250,7 @@ def _sql(block: int = BLOCK_TOKENS, shard: int = SHARD_TOKENS, documents: str =
 
     return f"""
     WITH sizes AS (
-      SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '{WORD}')), 0) AS size FROM {documents}),
+      SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '{WORD}')), 0) AS size, md5(coalesce(text, '')) AS digest FROM {documents}),
     named AS (
       SELECT *, [5, 2, 1][(s_ix - 1) % 3 + 1] AS w, 2 * source_size AS cap, 0 AS one FROM (
         SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS s_ix
@@ -263,11 +266,11 @@ def _sql(block: int = BLOCK_TOKENS, shard: int = SHARD_TOKENS, documents: str =
     {won('sources', 'seats', 'one', 's_ix', 'target', 'all_seats')},
     placed AS (
       SELECT *, h % greatest(1, CAST(ceil(source_size / {shard}) AS BIGINT)) AS shard FROM (
-        SELECT d.doc_id, d.source, d.size, t.source_size, t.target, t.s_ix, {hash32("coalesce(CAST(d.doc_id AS VARCHAR), 'null')")} AS h
+        SELECT d.doc_id, d.source, d.size, d.digest, t.source_size, t.target, t.s_ix, {hash32("coalesce(CAST(d.doc_id AS VARCHAR), 'null')", "d.digest")} AS h
         FROM sizes d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source)),
     laid AS (
       SELECT *, CAST(sum(size) OVER w AS BIGINT) AS stop, row_number() OVER w AS pos
-      FROM placed WINDOW w AS (PARTITION BY s_ix, shard ORDER BY h, doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+      FROM placed WINDOW w AS (PARTITION BY s_ix, shard ORDER BY h, doc_id NULLS FIRST, digest ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
     shards AS (
       SELECT a.s_ix, a.shard, a.tokens, b.won AS source_seats
       FROM (SELECT s_ix, shard, CAST(sum(size) AS BIGINT) AS tokens FROM laid GROUP BY ALL) a JOIN sources b ON a.s_ix = b.s_ix),

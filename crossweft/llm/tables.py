@@ -37,6 +37,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def sampled_rows(rows: DataFrame, sample: int) -> DataFrame:
+    """At most ``sample`` of the rows (_id, _text, ...), in the order of hashed ids.
+
+    The rows are bounded, not the ids: equal rows count once, and an id that many rows share
+    gives no more of them than the sample has room for.
+    """
+    keyed = rows.withColumn("_key", F.xxhash64("_text"))
+    keys = keyed.select("_id", "_key").distinct().orderBy(F.xxhash64("_id"), "_id", "_key").limit(sample)
+    return keyed.join(F.broadcast(keys), ["_id", "_key"]).dropDuplicates(["_id", "_key"]).drop("_key")
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z only; null becomes empty. Pure ASCII texts take the fast built-in."""
     whole = F.coalesce(text, F.lit(""))

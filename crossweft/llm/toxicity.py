@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crossweft.llm.registry import query
-from crossweft.llm.tables import give_back, one_by_one, table
+from crossweft.llm.tables import give_back, one_by_one, sampled_rows, stored, table
 
 #: Labelled documents of each class that are learned from, and features kept.
 SAMPLE = 6_000
@@ -90,7 +90,9 @@ def labelled_sample(docs: DataFrame, known: DataFrame, sample: int, identity: st
     known = known.withColumn("_order", F.xxhash64("_id"))
     pick = [known.where(F.col("_toxic") == k).orderBy("_order", "_id").limit(sample) for k in (0, 1)]
     ids = F.broadcast(pick[0].unionByName(pick[1]))
-    return docs.select(F.col(identity).alias("_id"), F.col(text).alias("_text")).join(ids, "_id").select("_text", "_toxic")
+    found = docs.select(F.col(identity).alias("_id"), F.col(text).alias("_text")).join(ids, "_id")
+    bounded = [sampled_rows(found.where(F.col("_toxic") == k), sample) for k in (0, 1)]
+    return stored(bounded[0].unionByName(bounded[1]).select("_text", "_toxic"), "toxicity-sample")
 
 
 def _counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -26,6 +26,7 @@ from crossweft.llm import (
 )
 from crossweft.llm.graph import components
 from crossweft.llm.registry import all_queries
+from crossweft.llm.tables import sampled_rows
 
 SMALL = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -290,22 +291,44 @@ def test_chat_format_odd_rows(spark):
         (None, 0, "bob", "nobody"),
         (3, 1, "ann", "x"),
         (3, 5, "ann", "y"),
+        (4, 0, "a b", "1"),
+        (4, 1, "a_b", "2"),
     ]
     talk = spark.createDataFrame([(*r, "z") for r in rows], "conv_id long, turn long, role string, text string, said string")
-    got = chat_format.rotate(talk, segment_turns=4).toArrow().to_pylist()
+    got = chat_format.rotate(talk).toArrow().to_pylist()
     one = {r["speaker"]: r for r in got if r["conv_id"] == 1}
-    assert set(one) == {"ann", "bob", "unknown"} and {r["n_messages"] for r in one.values()} == {4}
+    assert set(one) == {"ann", "bob", "unknown"} and {r["n_messages"] for r in one.values()} == {5}
     text = one["ann"]["rendered"]
     assert text == (
-        "<|im_start|>system\nBe kind.<|im_end|>\n<|im_start|>assistant\nHi <| im_end|><|im_end|>\n"
-        "<|im_start|>user name=bob\n<|im_end|>\n<|im_start|>user name=unknown\nlate<|im_end|>\n"
+        "<|im_start|>system\nBe kind.<|im_end|>\n" + 2 * "<|im_start|>assistant\nHi <| im_end|><|im_end|>\n" + (
+        "<|im_start|>user name=bob\n<|im_end|>\n<|im_start|>user name=unknown\nlate<|im_end|>\n")
     )
-    assert [text[s["start"] : s["stop"]] for s in one["ann"]["spans"]] == ["Hi <| im_end|><|im_end|>"]
-    assert [r["segment"] for r in sorted((r for r in got if r["conv_id"] == 3), key=lambda r: r["segment"])] == [0, 1]
+    assert [text[s["start"] : s["stop"]] for s in one["ann"]["spans"]] == 2 * ["Hi <| im_end|><|im_end|>"]
+    named = {r["speaker"]: r["rendered"] for r in got if r["conv_id"] == 4}
+    assert set(named) == {"a b", "a_b"} and "user name=a%20b\n1" in named["a_b"] and "user name=a_b\n2" in named["a b"]
     assert sum(r["conv_id"] is None for r in got) == 2 and not [r for r in got if r["conv_id"] == 2]
     assert chat_format.rotate(talk.limit(0)).count() == 0
 
 
+def test_chat_format_long_conversations_equal_sql(spark):
+    """A long one, a hot repeated message, null turns in bulk, rows without conversation."""
+    rows = [(1, k, ("system", "ann", "bob", "cy%d <")[k % 4], f"say {k} " + "é" * (k % 50)) for k in range(3000)]
+    rows += [(2, 0, "system", "rule")] + [(2, 7, "ann", "same")] * 2000 + [(2, 8, "bob", "end")]
+    rows += [(3, None, f"p{k % 3}", f"t{k}") for k in range(900)] + [(None, 1, "ann", "x")] * 5 + [(4, 1, "ann", "w" * 9000), (4, 2, "bob", "")]
+    talk = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(7)
+    got = chat_format.masked(chat_format.rotate(talk, segment_bytes=2000)).toArrow()
+    conversations = talk.toArrow()
+    want = duckdb.connect()
+    want.register("conversations", conversations)
+    want = want.execute(chat_format._sql(2000)).fetchall()
+    plain = lambda rows: sorted(tuple(map(str, r)) for r in rows)
+    assert plain(r.values() for r in got.to_pylist()) == plain(want)
+    # Every message is trained on once, however the conversations are cut.
+    assert sum(r["mask"].count(":") for r in got.to_pylist() if r["mask"]) == sum(r[2] != "system" for r in rows)
+    sizes = [len(r["rendered"].encode()) for r in got.to_pylist() if r["conv_id"] != 4]
+    assert max(sizes) < 8000
+
+
 # -- 5 ---------------------------------------------------------------------------------
 
 
@@ -424,6 +447,24 @@ def test_mixing_odd_rows(odd, none):
     assert source_mixing.mix(none).count() == 0
 
 
+def test_mixing_spreads_rows_without_id(spark):
+    rows = [(None if k % 3 == 0 else k, f"word{k} " * 40, "s") for k in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    sized = docs.select(F.lit(0).alias("row"), *source_mixing._sized("doc_id", "text", "source"))
+    laid, chosen = source_mixing._allocate(sized, 32, 2_000)
+    largest = laid.groupBy("shard").agg(F.sum("size").alias("n")).agg(F.max("n")).first()[0]
+    assert largest < 3 * 2_000
+    # Blocks are spelled out after a repartition that is really there.
+    assert "REPARTITION_BY_NUM" in chosen._jdf.queryExecution().executedPlan().toString()
+
+
+def test_samples_bound_rows(spark):
+    rows = spark.createDataFrame([(1, f"t{k}") for k in range(500)] + [(k, "x") for k in range(2, 9)], "_id long, _text string")
+    found = sampled_rows(rows.unionByName(rows), 40)
+    assert found.count() == found.distinct().count() == 40
+    assert sampled_rows(rows.unionByName(rows), 1000).count() == 507
+
+
 def test_mixing_texts(odd, none):
     got = source_mixing.mixed_documents(odd, block_tokens=16, shard_tokens=5_000)
     assert got.columns == odd.columns
