@@ -126,6 +126,9 @@ def test_fit_lowers_the_objective(spark, minibatch):
     space = features.fit(items, pair.schema)
     rows = features.transform(items, space).persist()
     model_ = dictionary.fit(rows, space.n_features, 6, 0.1, use_minibatch=minibatch, batch_size=60, max_iter=6)
+    if minibatch:
+        with pytest.warns(UserWarning, match="not converged after 1 steps"):
+            assert not dictionary.fit(rows, space.n_features, 6, 0.1, max_iter=1).converged
     assert np.all(np.linalg.norm(model_.atoms, axis=1) <= 1 + 1e-9)
     assert model_.objective[-1] < model_.objective[0]
     if not minibatch:
