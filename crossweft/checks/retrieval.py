@@ -118,8 +118,8 @@ def bucket_sizes(spark, folder):
 def _probes(spark, folder, radius, search_k, bits=BITS):
     queries, catalog, planes = keyed(spark, folder, bits)
     asked = queries.withColumn("key", lsh.lsh_key(F.col("vec"), planes))
-    hits = lsh.probe_hits(asked, lsh.bucket_counts(catalog), bits, radius)
-    return lsh.ring_cutoff(hits, search_k), catalog
+    by_key = lsh.probe_rings(lsh.distinct_keys(asked), lsh.bucket_counts(catalog), bits, radius, search_k)
+    return lsh.per_query(asked, by_key), catalog
 
 
 @query(
@@ -147,7 +147,7 @@ def ring_cutoff(spark, folder):
     "K4 F5",
 )
 def wide_radius_probing(spark, folder):
-    """A radius with too many probe keys to spell out, joined on key pieces instead."""
+    """A radius with too many probe keys to spell out: ring by ring, the far ones joined on key pieces."""
     kept, _ = _probes(spark, folder, 7, 40, 24)
     return kept.groupBy("qid").agg(F.first("pool_size").alias("pool_size"), F.max("dist").cast("int").alias("dist"))
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from crossweft.operators.blocks import BLOCK_ROWS, pair_blocks
+from crossweft.operators.blocks import BLOCK_ROWS
 from crossweft.operators.similarity import (
     item_rows,
     keep_best,
@@ -30,6 +30,7 @@ from crossweft.operators.similarity import (
     top_scored,
     unit_rows,
 )
+from crossweft.session import durable
 
 MAX_BITS = 63
 POOL_COLUMNS = ("qid", "item_id", "similarity", "bias", "score", "method", "pool_size")
@@ -86,35 +87,82 @@ def mask_count(n_bits: int, radius: int) -> int:
 def near_buckets(keys: DataFrame, buckets: DataFrame, n_bits: int, radius: int) -> DataFrame:
     """(qkey, key, dist, cnt): the existing buckets within ``radius`` of each distinct ``qkey``."""
     radius = min(radius, n_bits)
-    if mask_count(n_bits, radius) <= MAX_MASKS:
-        masks = F.expr(
-            "array("
-            + ", ".join(f"struct({m}L as mask, {d} as dist)" for m, d in probe_masks(n_bits, radius))
-            + ")"
-        )
-        probes = keys.select("qkey", F.explode(masks).alias("m")).select(
-            "qkey", F.col("qkey").bitwiseXOR(F.col("m.mask")).alias("key"), "m.dist"
-        )
-        return probes.join(buckets, "key").select("qkey", "key", "dist", "cnt")
-
-    # Too many masks to spell out: blocks of keys meet blocks of buckets in a kernel, and
-    # only the pairs within the radius become rows.
-    def within(a: pa.Table, b: pa.Table) -> pa.Table:
-        asked, held = a["qkey"].to_numpy().astype(np.uint64), b["key"].to_numpy().astype(np.uint64)
-        dist = np.bitwise_count(asked[:, None] ^ held[None, :])
-        row, col = np.nonzero(dist <= radius)
-        return pa.table(
-            {
-                "qkey": a["qkey"].take(pa.array(row)),
-                "key": b["key"].take(pa.array(col)),
-                "dist": pa.array(dist[row, col].astype(np.int32)),
-                "cnt": b["cnt"].take(pa.array(col)),
-            }
-        )
-
-    return pair_blocks(
-        keys.select("qkey"), buckets.select("key", "cnt"), within, pa.concat_tables, "qkey bigint, key bigint, dist int, cnt bigint", "qkey", "key"
+    if mask_count(n_bits, radius) > MAX_MASKS:
+        return _verified(piece_candidates(keys, buckets, n_bits, radius), radius)
+    masks = _masks(probe_masks(n_bits, radius), ("mask", "dist"))
+    probes = keys.select("qkey", F.explode(masks).alias("m")).select(
+        "qkey", F.col("qkey").bitwiseXOR(F.col("m.mask")).alias("key"), "m.dist"
+    )
+    return probes.join(buckets, "key").select("qkey", "key", "dist", "cnt")
+
+
+def _masks(rows: list[tuple[int, int]], names: tuple[str, str]) -> Column:
+    return F.expr("array(" + ", ".join(f"struct({a}L as {names[0]}, {b} as {names[1]})" for a, b in rows) + ")")
+
+
+def key_pieces(n_bits: int, radius: int) -> tuple[list[tuple[int, int]], int]:
+    """((shift, bits) of each key piece, radius of a piece).
+
+    Two keys within ``radius`` bits are within ``radius // pieces`` bits in some piece. The fewest
+    pieces whose probe keys can be spelled out are taken: long pieces have short lists.
+    """
+    for n in range(2, n_bits + 1):
+        cuts = [i * n_bits // n for i in range(n + 1)]
+        pieces = [(low, high - low) for low, high in zip(cuts, cuts[1:])]
+        if sum(mask_count(bits, radius // n) for _, bits in pieces) <= MAX_MASKS:
+            break
+    return pieces, radius // n
+
+
+def piece_candidates(keys: DataFrame, buckets: DataFrame, n_bits: int, radius: int) -> DataFrame:
+    """(qkey, key, cnt): buckets that agree with a key in one of its pieces, each pair once.
+
+    An equi-join on (piece, its bits), near ones spelled out on the side of the asked keys. A pair
+    that meets in several pieces is kept at the first, so no distinct is needed.
+    """
+    pieces, near = key_pieces(n_bits, radius)
+    flips = [(i, mask << shift) for i, (shift, bits) in enumerate(pieces) for mask, _ in probe_masks(bits, near)]
+    own = F.expr("CASE piece " + " ".join(f"WHEN {i} THEN {((1 << bits) - 1) << shift}L" for i, (shift, bits) in enumerate(pieces)) + " END")
+    asked = (
+        keys.select("qkey", F.explode(_masks([(m, i) for i, m in flips], ("flip", "piece"))).alias("m"))
+        .select("qkey", "m.piece", "m.flip")
+        .select("qkey", "piece", F.col("qkey").bitwiseXOR(F.col("flip")).bitwiseAND(own).alias("part"))
     )
+    held = buckets.select("key", "cnt", F.explode(F.array(*[F.lit(i) for i in range(len(pieces))])).alias("piece"))
+    held = held.withColumn("part", F.col("key").bitwiseAND(own))
+    first = F.lit(True)
+    for i, (shift, bits) in enumerate(pieces):
+        apart = F.bit_count(F.col("qkey").bitwiseXOR(F.col("key")).bitwiseAND(F.lit(((1 << bits) - 1) << shift))) > near
+        first = first & ((F.col("piece") <= i) | apart)
+    return asked.join(held, ["piece", "part"]).where(first).select("qkey", "key", "cnt")
+
+
+def _verified(pairs: DataFrame, radius: int) -> DataFrame:
+    dist = F.bit_count(F.col("qkey").bitwiseXOR(F.col("key")))
+    return pairs.withColumn("dist", dist).where(F.col("dist") <= radius).select("qkey", "key", "dist", "cnt")
+
+
+def probe_rings(keys: DataFrame, buckets: DataFrame, n_bits: int, radius: int, search_k: int) -> DataFrame:
+    """``ring_cutoff`` of ``near_buckets`` by key; wide radii are reached ring by ring.
+
+    Rings whose probe keys can be spelled out come first. Only keys that found fewer than
+    ``search_k`` items there are asked again, two rings further each time, by key pieces.
+    """
+    radius = min(radius, n_bits)
+    if mask_count(n_bits, radius) <= MAX_MASKS:
+        return ring_cutoff(near_buckets(keys, buckets, n_bits, radius), search_k, by="qkey")
+    reach = max(r for r in range(radius) if mask_count(n_bits, r) <= MAX_MASKS)
+    short, found = durable(keys), None
+    while True:
+        near = durable(ring_cutoff(near_buckets(short, buckets, n_bits, reach), search_k, by="qkey"))
+        done = near if reach >= radius else near.where(F.col("pool_size") >= search_k)
+        found = done if found is None else found.unionByName(done)
+        if reach >= radius:
+            return found
+        short = durable(short.join(done.select("qkey").distinct(), "qkey", "left_anti"))
+        if short.isEmpty():
+            return found
+        reach = min(radius, reach + 2)
 
 
 def distinct_keys(queries: DataFrame) -> DataFrame:
@@ -247,8 +295,7 @@ def plan_probes(
     n_items = buckets.agg(F.coalesce(F.sum("cnt"), F.lit(0))).first()[0]
     # What a query may look into depends on its key alone, so keys shared by many
     # queries are probed once.
-    near = near_buckets(distinct_keys(keyed), buckets, len(planes), radius)
-    by_key = ring_cutoff(near, search_k, by="qkey").persist()
+    by_key = probe_rings(distinct_keys(keyed), buckets, len(planes), radius, search_k).persist()
     counts = by_key.groupBy(F.col("qkey").alias("key")).agg(F.first("pool_size").alias("found"))
     kept = per_query(keyed, by_key)
     size = F.coalesce("found", F.lit(n_items))

@@ -274,3 +274,39 @@ def test_plans(spark):
     for df in (lsh.candidates(kept, items), similarity.top_scored(queries, catalog, 5)):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+@pytest.mark.parametrize("n_bits,radius,search_k", [(12, 5, 30), (12, 12, 10_000), (17, 6, 200), (9, 4, 1)])
+def test_wide_rings_equal_a_loop(spark, monkeypatch, n_bits, radius, search_k):
+    """Rings beyond the spelled-out masks come by key pieces and stop where enough was found."""
+    monkeypatch.setattr(lsh, "MAX_MASKS", 100)
+    rng = np.random.default_rng(n_bits)
+    asked = sorted({0, *map(int, rng.integers(0, 1 << n_bits, 25))})
+    held = {0: 400, **{int(k): int(c) for k, c in zip(rng.integers(0, 1 << n_bits, 300), rng.integers(1, 4, 300))}}
+    keys = spark.createDataFrame([(k,) for k in asked], "qkey long")
+    buckets = spark.createDataFrame(list(held.items()), "key long, cnt long")
+    want = set()
+    for q in asked:
+        total = 0
+        for ring in range(radius + 1):
+            if total >= search_k:
+                break
+            near = [k for k in held if (q ^ k).bit_count() == ring]
+            want |= {(q, k, ring, held[k]) for k in near}
+            total += sum(held[k] for k in near)
+    got = [(r.qkey, r.key, r.dist, r.cnt) for r in lsh.probe_rings(keys, buckets, n_bits, radius, search_k).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_key_pieces_compare_few_pairs(spark):
+    """24 bits, radius 5: an equi-join that looks at a small part of all pairs and loses none."""
+    rng = np.random.default_rng(3)
+    asked, held = (sorted(set(map(int, rng.integers(0, 1 << 24, 2_000)))) for _ in range(2))
+    keys = spark.createDataFrame([(k,) for k in asked], "qkey long")
+    buckets = spark.createDataFrame([(k, 1) for k in held], "key long, cnt long")
+    pairs = lsh.piece_candidates(keys, buckets, 24, 5)
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan and "Arrow" not in plan
+    assert pairs.count() < 0.05 * len(asked) * len(held)
+    dist = np.bitwise_count(np.array(asked, np.uint64)[:, None] ^ np.array(held, np.uint64)[None, :])
+    assert lsh.near_buckets(keys, buckets, 24, 5).count() == (dist <= 5).sum()
