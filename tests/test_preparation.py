@@ -128,3 +128,14 @@ def test_exact_median_of_a_table_too_large_to_collect(spark, n, hot):
     df = spark.range(n).select(value.alias("v"))
     expected = statistics.median(r.v for r in df.collect())
     assert abs(ordering.exact_median(df, F.col("v"), collect_rows=40) - expected) < 1e-9
+
+
+def test_listening_log_is_read_once(spark, tmp_path):
+    log = [("a", "t", "x", "u"), ("a", "t", "y", "u"), ("a", "t", "y", ""), ("a", "t", "x", "v"), ("b", "t", "", "")]
+    spark.createDataFrame(log, "artist string, track string, album string, username string").withColumn(
+        "listen_year", F.lit(None).cast("int")
+    ).write.parquet(str(tmp_path / "log"))
+    groups = bridges.listen_groups(spark.read.parquet(str(tmp_path / "log")))
+    assert groups._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    got = {(r.artist, r.track, r.play_count, r.album, r.user_count, r.year) for r in groups.collect()}
+    assert got == {("a", "t", 4, "x", 2, None), ("b", "t", 1, "", 0, None)}
