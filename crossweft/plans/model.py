@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass, field
 
@@ -288,14 +289,54 @@ def in_holdout(key, share: float = 0.2, seed: int = SEED):
     return bucket < int(round(share * 10_000))
 
 
+# Most keys of the border group of an exact hold-out that are looked at on the driver.
+BORDER_KEYS = 10_000
+
+
+def exact_holdout(rows: DataFrame, key: str, share: float = 0.2, seed: int = SEED):
+    """True for exactly ``floor(share * n + 0.5)`` of ``n`` rows with unique keys, on any partitioning.
+
+    The keys with the smallest hashes are held out. The last of them is found by counting:
+    hashes are counted by their first 12 bits, then the group that holds it by the next 12, until
+    that group is small. Rows of one repeated key stay together; rows without a key stay in.
+    """
+    text = F.col(key).cast("string")
+    digest = F.conv(F.substring(F.md5(F.concat(text, F.lit(f":{seed}"))), 1, 15), 16, 10).cast("bigint")
+    group = rows.where(text.isNotNull()).select(digest.alias("h"), text.alias("key"))
+    left = int(math.floor(share * group.count() + 0.5))
+    if left <= 0:
+        return F.lit(False)
+    for shift in (48, 36, 24, 12, 0):
+        counts = sorted(group.groupBy(F.shiftright("h", shift).alias("part")).count().collect())
+        for part, size in counts:
+            if left <= size:
+                break
+            left -= size
+        group = group.where(F.shiftright("h", shift) == part)
+        if size <= BORDER_KEYS:
+            break
+    for h, last, size in sorted(group.groupBy("h", "key").count().collect()):
+        left -= size
+        if left <= 0:
+            break
+    return F.coalesce((digest < h) | ((digest == h) & (text <= last)), F.lit(False))
+
+
 def evaluate(
     pair: PreparedPair,
     settings: Settings = Settings(n_components=20, alpha=1.0),
     ks: Sequence[int] = metrics.DEFAULT_KS,
     share: float = 0.2,
+    exact_share: bool = False,
 ) -> tuple[DataFrame, int]:
-    """(metric rows per K, number of held-out items): fit without them, rank exactly."""
-    held = in_holdout(F.col("item_id"), share, settings.seed)
+    """(metric rows per K, number of held-out items): fit without them, rank exactly.
+
+    ``exact_share`` holds out exactly that share of the query items, at the cost of counting their keys.
+    """
+    if exact_share:
+        held = exact_holdout(pair.queries, "item_id", share, settings.seed)
+    else:
+        held = in_holdout(F.col("item_id"), share, settings.seed)
     test = pair.queries.where(held)
     trained = train(
         PreparedPair(pair.queries.where(~held), pair.catalog, pair.schema, pair.source_type, pair.fills), settings

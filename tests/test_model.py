@@ -302,3 +302,21 @@ def test_large_vocabularies_are_split(spark):
     plan = split._jdf.queryExecution().optimizedPlan().toString()
     assert "LeftAnti" in plan and "LeftOuter" in plan
     assert features.transform(items, space, limit=0).count() == 160
+
+
+@pytest.mark.parametrize("n,share", [(1, 0.2), (7, 0.5), (503, 0.2), (40, 0.0), (40, 1.0), (0, 0.2)])
+def test_exact_holdout(spark, monkeypatch, n, share):
+    monkeypatch.setattr(model, "BORDER_KEYS", 1)
+    rows = spark.range(n).select(F.when(F.col("id") >= 0, F.concat(F.lit("k"), "id")).alias("key"))
+    rows = rows.union(spark.createDataFrame([(None,)], "key string"))
+    held = rows.where(model.exact_holdout(rows, "key", share)).select("key")
+    picked = {r.key for r in held.collect()}
+    assert len(picked) == int(share * n + 0.5) and None not in picked
+    dealt = rows.repartition(5)
+    assert {r.key for r in dealt.where(model.exact_holdout(dealt, "key", share)).collect()} == picked
+
+
+def test_exact_holdout_keeps_repeated_keys_together(spark):
+    rows = spark.range(90).select((F.col("id") % 3).alias("key"))
+    counts = [r["count"] for r in rows.where(model.exact_holdout(rows, "key", 0.5)).groupBy("key").count().collect()]
+    assert counts == [30, 30]
