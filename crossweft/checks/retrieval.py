@@ -7,7 +7,8 @@ import uuid
 from pyspark.sql import functions as F
 
 from crossweft.checks.registry import query, table
-from crossweft.operators import lsh, titles
+from crossweft.operators import lsh, metrics, titles
+from crossweft.operators.rerank import rank_by_score
 from crossweft.operators.similarity import top_scored
 from crossweft.session import checkpoint_folder
 from crossweft.sources import artifacts
@@ -191,8 +192,6 @@ def _policy_query(name, top_n, search_k, radius, bits, covers):
         covers,
     )
     def run(spark, folder):
-        from crossweft.operators.rerank import rank_by_score
-
         queries, catalog, planes = keyed(spark, folder, bits)
         found = lsh.retrieve(queries, catalog, planes, top_n, search_k, radius)
         return rank_by_score(found, top_n).select(
@@ -206,6 +205,26 @@ _policy_query("ann_without_buckets", 5, 256, 0, 24, "K5 K6")
 _policy_query("ann_default_bits", 5, 256, 2, 24, "K5 K6")
 
 
+@query(
+    "hashed_recall",
+    f"""
+    WITH {policy_sql(10, 256, 2, BITS, 300)},
+    ours AS (SELECT qid, item_id FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(sim, 6) DESC, item_id) AS r
+                                       FROM pools) WHERE r <= 10),
+    best AS (SELECT qid, item_id FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(sim, 6) DESC, item_id) AS r
+                                       FROM sims) WHERE r <= 10)
+    SELECT b.qid, count(*) AS n_exact, count(o.item_id) AS n_found, count(o.item_id) / count(*) AS recall
+    FROM best b LEFT JOIN ours o ON o.qid = b.qid AND o.item_id = b.item_id GROUP BY b.qid
+    """,
+    "K5 K6",
+)
+def hashed_recall(spark, folder):
+    """Recall of the hashed first ten against the exact first ten, query by query."""
+    queries, catalog, planes = keyed(spark, folder)
+    found = rank_by_score(lsh.retrieve(queries, catalog, planes, 10, 256, 2), 10)
+    return metrics.list_recall(found, top_scored(queries, catalog, 10), 10)
+
+
 @query(
     "stored_index",
     f"WITH {U_SQL}, {planes_sql()} SELECT vec_id AS item_id, key FROM keys",

@@ -320,3 +320,10 @@ def test_exact_holdout_keeps_repeated_keys_together(spark):
     rows = spark.range(90).select((F.col("id") % 3).alias("key"))
     counts = [r["count"] for r in rows.where(model.exact_holdout(rows, "key", 0.5)).groupBy("key").count().collect()]
     assert counts == [30, 30]
+
+
+def test_list_recall(spark):
+    exact = spark.createDataFrame([(1, i, i) for i in (1, 2, 3, 4)] + [(2, 9, 1)], "qid long, item_id long, rank int")
+    found = spark.createDataFrame([(1, 2, 1), (1, 2, 1), (1, 7, 2), (1, 1, 3), (3, 1, 1)], "qid long, item_id long, rank int")
+    got = {(r.qid, r.n_exact, r.n_found, r.recall) for r in metrics.list_recall(found, exact, 2).collect()}
+    assert got == {(1, 2, 1, 0.5), (2, 1, 0, 0.0)}
