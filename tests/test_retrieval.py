@@ -4,12 +4,13 @@ import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from crossweft.operators import lsh, rerank, similarity, titles
+from crossweft.operators import blocks, lsh, rerank, similarity, titles
 from crossweft.plans import model
 
 
@@ -49,6 +50,16 @@ def test_exact_top_k_with_ties_and_bias(spark, options):
     assert lists(similarity.top_scored(queries, catalog, 7, **options), 7) == brute(q, c, 7, b[None, :])
 
 
+def test_cells_hold_many_blocks(spark, monkeypatch):
+    """Rows travel once a cell, not once a block; blocks inside a cell give the same lists."""
+    shape = blocks.grid_shape(900_000, 60_000, 400, 12)
+    assert shape == blocks.grid_shape(900_000, 60_000, 32_768, 12) and 900_000 * shape[1] + 60_000 * shape[0] < 4_000_000
+    q, c, b, queries, catalog = frames(spark, bias=True)
+    monkeypatch.setattr(blocks, "LEAST_BLOCK", 7)
+    got = similarity.top_scored(queries, catalog, 7, broadcast_rows=0, block_rows=7)
+    assert lists(got, 7) == brute(q, c, 7, b[None, :])
+
+
 @pytest.mark.parametrize("parts", [1, 5, 16])
 def test_exact_top_k_does_not_depend_on_partitioning(spark, parts):
     q, c, _, queries, catalog = frames(spark, 3)
@@ -102,6 +113,22 @@ def test_ring_cutoff_equals_the_radius_loop(spark, radius, search_k):
         assert sorted(got.get(r.qid, [])) == loop_candidates(r.key, keys, radius, search_k)
 
 
+def test_answers_stream_by(spark, monkeypatch):
+    """No task builds more answers at a time than allowed, and the lists are the same."""
+    q, c, b, queries, catalog = frames(spark, bias=True)
+    rows = similarity.item_rows(catalog).withColumn("cell", F.lit(1))
+    asked = similarity.query_rows(queries).withColumn("cell", F.lit(1))
+
+    def sizes(batches):
+        for a, held in blocks.met_in_cells(batches, ["cell"], 6):
+            yield pa.RecordBatch.from_pydict({"a": [a.num_rows], "b": [held.num_rows]})
+
+    met = blocks.dealt_in_cells(asked, rows, ["cell"]).mapInArrow(sizes, "a long, b long").collect()
+    assert sum(r.a for r in met) == len(q) and max(r.a for r in met) == 6 and {r.b for r in met} == {len(c)}
+    monkeypatch.setattr(blocks, "ANSWER_ROWS", 40)
+    assert lists(similarity.top_scored(queries, catalog, 7), 7) == brute(q, c, 7, b[None, :])
+
+
 @pytest.mark.parametrize("block_rows", [4_096, 16])
 def test_bucket_search_with_hot_buckets_split(spark, block_rows):
     q, c, _, queries, catalog = frames(spark, 7, zeros=90)
