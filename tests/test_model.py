@@ -327,3 +327,16 @@ def test_list_recall(spark):
     found = spark.createDataFrame([(1, 2, 1), (1, 2, 1), (1, 7, 2), (1, 1, 3), (3, 1, 1)], "qid long, item_id long, rank int")
     got = {(r.qid, r.n_exact, r.n_found, r.recall) for r in metrics.list_recall(found, exact, 2).collect()}
     assert got == {(1, 2, 1, 0.5), (2, 1, 0, 0.0)}
+
+
+def test_codes_do_not_depend_on_rows_coded_together(monkeypatch):
+    """Rows swept in pieces of any number have the same codes, bit by bit, and they are optimal."""
+    rng = np.random.default_rng(5)
+    atoms = rng.standard_normal((6, 20)) + 0.8 * rng.standard_normal((1, 20))
+    atoms /= np.linalg.norm(atoms, axis=1, keepdims=True)
+    q, gram = rng.standard_normal((50, 20)) @ atoms.T, atoms @ atoms.T
+    found = []
+    for rows in (3, 50):
+        monkeypatch.setattr(dictionary, "CODED_ROWS", rows)
+        found.append(dictionary.lasso_codes(q, gram, 0.2))
+    assert (found[0] == found[1]).all() and dictionary.optimality_gap(found[0], q, gram, 0.2).max() < 1e-6
