@@ -8,6 +8,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from crossweft.operators import blocks, lsh, rerank, similarity, titles
@@ -50,6 +51,35 @@ def test_exact_top_k_with_ties_and_bias(spark, options):
     assert lists(similarity.top_scored(queries, catalog, 7, **options), 7) == brute(q, c, 7, b[None, :])
 
 
+def test_a_table_in_one_partition_is_scanned_by_all_cores(spark):
+    """The scan of a small stored table is dealt out where its pairs are many, and only there."""
+    left = spark.range(900).withColumnRenamed("id", "qid")
+    right = spark.range(40_000).withColumnRenamed("id", "item_id").coalesce(1)
+
+    def kernel(a, b):
+        return pa.table({"task": pa.array([TaskContext.get().partitionId()], pa.int32()), "n": [a.num_rows * b.num_rows]})
+
+    def scanned(left):
+        found = blocks.pair_blocks(left, right, kernel, pa.concat_tables, "task int, n long", "qid", "item_id")
+        return found.groupBy("task").agg(F.sum("n").alias("n")).collect()
+
+    tasks = scanned(left)
+    assert len(tasks) > 4 and sum(r.n for r in tasks) == 36_000_000 and max(r.n for r in tasks) < 9_000_000
+    assert [r.n for r in scanned(left.limit(3))] == [120_000]
+
+
+def test_best_of_rows_with_many_ties():
+    rng = np.random.default_rng(5)
+    for levels in (1, 2, 9, 10**6):
+        for n, k in ((4, 5), (11, 10), (700, 3)):
+            scores = rng.integers(levels, size=(40, n)) / levels
+            scores[3] = np.nan
+            rows, cols = similarity.best_per_row(scores, k)
+            for row in set(range(40)) - {3}:
+                want = np.lexsort((np.arange(n), -scores[row]))[:k]
+                assert sorted(cols[rows == row]) == sorted(want)
+
+
 def test_cells_hold_many_blocks(spark, monkeypatch):
     """Rows travel once a cell, not once a block; blocks inside a cell give the same lists."""
     shape = blocks.grid_shape(900_000, 60_000, 400, 12)
