@@ -367,3 +367,15 @@ def test_key_pieces_compare_few_pairs(spark):
     assert pairs.count() < 0.05 * len(asked) * len(held)
     dist = np.bitwise_count(np.array(asked, np.uint64)[:, None] ^ np.array(held, np.uint64)[None, :])
     assert lsh.near_buckets(keys, buckets, 24, 5).count() == (dist <= 5).sum()
+
+
+def test_wide_rings_are_dealt_to_the_cores(spark):
+    """Keys are few bytes: in the one partition that they lie in, all their probes were one task."""
+    rng = np.random.default_rng(4)
+    held = sorted(set(map(int, rng.integers(0, 1 << 24, 6_000))))
+    keys = spark.createDataFrame([(k,) for k in held], "qkey long").coalesce(1)
+    buckets = spark.createDataFrame([(k, 1) for k in held], "key long, cnt long")
+    found = lsh.probe_rings(keys, buckets, 24, 5, 1)
+    assert found.select(F.spark_partition_id()).distinct().count() > 1
+    assert [(r.qkey, r.key, r.dist) for r in found.orderBy("qkey").collect()] == [(k, k, 0) for k in held]
+    assert lsh.probe_tasks(keys, 6_000, 24, 5) < lsh.probe_tasks(keys, 6_000, 24, 7) < lsh.probe_tasks(keys, 60_000, 24, 7)
