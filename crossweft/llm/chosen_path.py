@@ -36,6 +36,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -52,7 +53,7 @@ from crossweft.llm.tables import give_back, one_by_one, stored, table
 #: Bits of a sketch, and 64-bit words that hold them.
 BITS, LANES = 256, 4
 SKETCH = [f"s{k}" for k in range(LANES)]
-#: Ids, of 8 bytes, and nodes, of 50, that are sent to every executor at most.
+#: Ids, of 16 bytes, and nodes, of 50, that are sent to every executor at a time.
 FEW_IDS, FEW_NODES = 1_000_000, 100_000
 #: Most values of a batch of shingles under all hash functions that are held at once.
 _CHUNK = 255
@@ -144,22 +145,31 @@ def printed(rows: DataFrame, join: Join) -> DataFrame:
     return rows.mapInArrow(run, f"doc_id long, text string, size long, digest binary, {lanes}, minima binary")
 
 
-def only(nodes: DataFrame, uids: DataFrame) -> DataFrame:
-    """The nodes of some uids. Few ids go to the scan of the nodes, so only nodes that are asked for move."""
-    wanted = stored(uids.distinct(), "path-wanted")
-    return nodes.join(F.broadcast(wanted) if wanted.count() <= FEW_IDS else wanted, "uid", "left_semi")
+def met(nodes: DataFrame, asked: DataFrame, kept: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
+    """``kept`` of the nodes of the uids of ``asked``, with its other columns; stored.
+
+    Ids go to the scan, so no node moves. Many ids go in slices of about ``FEW_IDS``, one after
+    the other, each with a scan of its own: what is shuffled is the same at every size.
+    """
+    asked = stored(asked, "path-wanted")
+    slices = max(1, math.ceil(asked.count() / FEW_IDS))
+    parts = [asked.where(F.pmod(F.xxhash64("uid"), F.lit(slices)) == k) for k in range(slices)]
+    return reduce(DataFrame.unionByName, [stored(kept(nodes.join(F.broadcast(part), "uid")), name) for part in parts])
 
 
-def sets_of(uids: DataFrame, nodes: DataFrame, join: Join) -> DataFrame:
-    """(uid, hashes): the whole sets of some nodes (uid, text), stored."""
+def sets_of(asked: DataFrame, nodes: DataFrame, join: Join) -> DataFrame:
+    """The rows of ``asked`` (uid, key) with the whole sets of their nodes (uid, text): (key, uid, hashes), stored."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(text, join).tobytes() for text in one_by_one(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["uid", "hashes"])
+            sets = [shingles(text, join).tobytes() for text in one_by_one(batch.column(2))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.binary())], ["key", "uid", "hashes"])
         give_back()
 
-    return stored(only(nodes.select("uid", "text"), uids).mapInArrow(run, "uid long, hashes binary"), "path-sets")
+    def hashed(found: DataFrame) -> DataFrame:
+        return found.select("key", "uid", "text").mapInArrow(run, "key long, uid long, hashes binary")
+
+    return met(nodes.select("uid", "text"), asked, hashed, "path-sets")
 
 
 def differing(prefix: str) -> Column:
@@ -196,7 +206,8 @@ def compared_with_pivots(large: DataFrame, nodes: DataFrame, join: Join, sent: C
     reach = 2 * join.percent / 100 - 1  # similarity at twice the allowed distance
     close = large.join(sent(pivots), "node").where((differing("pivot") <= join.most_bits(reach)) & (F.col("uid") != F.col("pivot.uid")))
     pairs = stored(close.select("uid", F.col("pivot.uid").alias("pivot")).distinct(), "path-pivot-pairs")
-    sets = sets_of(pairs.select(F.explode(F.array("uid", "pivot")).alias("uid")), nodes, join)
+    named = pairs.select(F.explode(F.array("uid", "pivot")).alias("uid")).distinct()
+    sets = sets_of(named.select("uid", F.col("uid").alias("key")), nodes, join).select("uid", "hashes")
     of_pivot = sets.select(F.col("uid").alias("pivot"), F.col("hashes").alias("theirs"))
 
     def shared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,8 +290,7 @@ def stubborn_groups(rows: DataFrame, join: Join) -> DataFrame:
 
 def confirmed(groups: DataFrame, nodes: DataFrame, join: Join, cell: int = CELL, shingles: int = CELL_SHINGLES) -> DataFrame:
     """(a, b): a spanning forest of the links inside each group (leader, uid), by the whole sets."""
-    sets = sets_of(groups.select("uid"), nodes, join)
-    held = stored(groups.join(sets, "uid").select(F.col("leader").alias("key"), F.col("uid").alias("node"), "hashes"), "path-members")
+    held = sets_of(groups.select("uid", F.col("leader").alias("key")), nodes, join).withColumnRenamed("uid", "node")
     total = F.greatest(F.ceil(F.count(F.lit(1)) / cell), F.ceil(F.sum(F.octet_length("hashes")) / (8 * shingles)), F.lit(1))
     pieces = stored(held.groupBy("key").agg(total.cast("int").alias("pieces")), "path-set-pieces")
 
@@ -303,7 +313,7 @@ def links(nodes: DataFrame, distinct: DataFrame, join: Join = Join()) -> DataFra
     ``distinct`` (uid): one node of each set.
     """
     roots = nodes.select(F.lit(0).cast("long").alias("node"), F.explode(F.sequence(F.lit(0), F.lit(join.trees - 1))).alias("place"), "uid", *SKETCH, "minima")
-    rows = stored(children(only(roots, distinct), join, 1), "path-rows")
+    rows = met(roots, distinct, lambda found: children(found, join, 1), "path-rows")
     found, leaves, groups = [], [], []
 
     def large_nodes(rows: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame], bool]:
@@ -328,7 +338,7 @@ def links(nodes: DataFrame, distinct: DataFrame, join: Join = Join()) -> DataFra
         if not some:
             break
         more = rest.join(sent(nodes_), "node", "left_semi")
-        tokens = only(nodes.select("uid", "minima"), more.select("uid"))
+        tokens = met(nodes.select("uid", "minima"), more.select("uid").distinct(), lambda found: found, "path-tokens")
         rows = stored(children(more.join(tokens, "uid"), join, level + 1), "path-rows")
     every = leaves[0].select("node", "uid", *SKETCH)
     for more in leaves[1:]:

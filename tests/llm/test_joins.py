@@ -112,6 +112,17 @@ def test_chosen_path_hot_groups(spark):
     assert got == {i: x for (i, _), x in zip(rows, brute_components(rows))}
 
 
+def test_chosen_path_asks_in_slices(spark, monkeypatch):
+    """Sets and tokens are met at the scan however many ids there are: no node is shuffled, none lost."""
+    nodes = spark.createDataFrame([(k, f"a b c {k % 9}") for k in range(60)], "uid long, text string")
+    asked = spark.createDataFrame([(k, k % 4) for k in range(0, 60, 2)] + [(0, 3)], "uid long, key long")
+    monkeypatch.setattr(chosen_path, "FEW_IDS", 7)
+    plans = []
+    got = chosen_path.met(nodes, asked, lambda found: plans.append(found._jdf.queryExecution().executedPlan().toString()) or found, "slices")
+    assert sorted(map(tuple, got.select("uid", "key", "text").collect())) == sorted([(k, k % 4, f"a b c {k % 9}") for k in range(0, 60, 2)] + [(0, 3, "a b c 0")])
+    assert len(plans) == 5 and all("BroadcastHashJoin" in p and "Exchange hashpartitioning" not in p for p in plans)
+
+
 def test_chosen_path_odd_rows(spark):
     rows = [(3, "a b c"), (3, "a b c"), (None, "a  B c"), (None, None), (None, "alone here"), (5, None), (5, "")]
     got = rows_of(chosen_path.near_groups(frame(spark, rows)))
