@@ -15,13 +15,16 @@ pair of pieces is a group of its own, so no task holds a hot key. Joins back to
 documents are equi-joins of narrow rows, which Spark splits where a fingerprint is hot.
 
 For near copies, five-word shingles with similarity (Jaccard, of the shingle sets) 0.8 or
-more, ``WIDE`` decides in two steps. Candidates meet by min-hashes of the set, ``rows`` to a
-key and ``bands`` keys: a pair of similarity s shares a min-hash with probability s, so 24
-keys of 5 bring it together with probability 1 - (1 - s^5)^24, which is 0.99993 at 0.8 for
-sets of any size. Those that differ in more than ``bits`` of 384 fingerprint bits (mean 58 at
-similarity 0.8, deviation 7; small sets up to 72) go no further. Then each component of candidates
-is compared by its shingle sets themselves, and only pairs of ``percent`` or more are linked.
-Sets count a repeated shingle once, and so does a wide fingerprint.
+more, ``WIDE`` decides in two steps. Candidates meet by blocks of the 384 fingerprint bits, up
+to 24 of them and each 2 bits wider than the nodes are many: every pair that differs in fewer
+bits than there are blocks shares one. Similarity 0.8 is 58 bits (mean; deviation 7, small sets
+up to 72), where blocks so wide cannot meet for certain. Such pairs also meet by min-hashes of
+the set, ``rows`` to a key and ``bands`` keys: a pair of similarity s shares a min-hash with
+probability s, so 24 keys of 5 bring it together with probability 1 - (1 - s^5)^24, which is
+0.99993 at 0.8 for sets of any size. Candidates that differ in more than ``bits`` bits go no
+further. Then each component of candidates is compared by its shingle sets themselves, and only
+pairs of ``percent`` or more are linked. Sets count a repeated shingle once, and so does a wide
+fingerprint.
 
 Defined cases: null and empty texts have fingerprint zero, linked like any other; fewer words
 than a shingle form one. ``component_id`` is the smallest id reachable; null ids are passed
@@ -54,6 +57,8 @@ CELL = 4096
 FEW = 8
 #: Most shingles of a component that are compared in one piece, on the average.
 CELL_SHINGLES = 1 << 19
+#: Most blocks of a wide fingerprint; with fewer nodes they only get wider than they must be.
+MOST_BLOCKS = 24
 SEED = 42
 _LOWER = bytes.maketrans(UPPER.encode(), UPPER.lower().encode())
 _RUN = 255  # rows of bits whose sums fit a byte
@@ -63,8 +68,8 @@ _RUN = 255  # rows of bits whose sums fit a byte
 class Setting:
     """shingle: words; lanes: 64-bit words of a fingerprint; bits: most that may differ.
 
-    ``percent`` above 0: nodes meet by ``bands`` keys of ``rows`` min-hashes, and are linked
-    if their sets are as similar; else they meet by blocks of the fingerprint.
+    Nodes meet by blocks of the fingerprint. ``percent`` above 0: they also meet by ``bands``
+    keys of ``rows`` min-hashes, and are linked if their sets are as similar.
     """
 
     shingle: int
@@ -144,10 +149,13 @@ def fingerprints(rows: DataFrame, setting: Setting) -> DataFrame:
 def masks(setting: Setting, nodes: int) -> list[list[int]]:
     """For every choice of blocks that a key is made of: the mask of each lane's bits."""
     width = 64 * setting.lanes
-    blocks = setting.bits + 2
-    while (blocks - setting.bits) * width // blocks < max(1, nodes).bit_length() and blocks < 16:
-        blocks += 1
-    agree = blocks - setting.bits
+    if setting.percent:
+        blocks, agree = min(MOST_BLOCKS, width // (max(1, nodes).bit_length() + 2)), 1
+    else:
+        blocks = setting.bits + 2
+        while (blocks - setting.bits) * width // blocks < max(1, nodes).bit_length() and blocks < 16:
+            blocks += 1
+        agree = blocks - setting.bits
     edges = [width * k // blocks for k in range(blocks + 1)]
     whole = [((1 << (b - a)) - 1) << (width - b) for a, b in zip(edges, edges[1:])]
     out = []
@@ -189,14 +197,12 @@ def close_pairs(prints: np.ndarray, group: np.ndarray, bits: int) -> tuple[np.nd
 def links(nodes: DataFrame, setting: Setting, cell: int = CELL) -> DataFrame:
     """(a, b): close pairs of the nodes (node, print) that join all that belongs together."""
     lanes = setting.lanes
-    if setting.percent:
-        words = nodes.select("node", F.substring("print", 1, 8 * lanes).alias("print"), F.substring("print", 8 * lanes + 1, 8 * setting.bands).alias("bands"))
-        keys = [F.xxhash64(F.lit(c), F.substring("bands", 8 * c + 1, 8)) for c in range(setting.bands)]
-    else:
-        choices = masks(setting, nodes.count())
-        lane = lambda k: F.conv(F.hex(F.substring("print", 8 * k + 1, 8)), 16, -10).cast("long")
-        words = nodes.select("node", "print", *[lane(k).alias(f"lane{k}") for k in range(lanes)])
-        keys = [F.xxhash64(F.lit(c), *[F.col(f"lane{k}").bitwiseAND(F.lit(m)) for k, m in enumerate(mask) if m]) for c, mask in enumerate(choices)]
+    choices = masks(setting, nodes.count())
+    lane = lambda k: F.conv(F.hex(F.substring("print", 8 * k + 1, 8)), 16, -10).cast("long")
+    part = [F.substring("print", 1, 8 * lanes).alias("print"), F.substring("print", 8 * lanes + 1, 8 * setting.bands).alias("bands")]
+    words = nodes.select("node", *part, *[lane(k).alias(f"lane{k}") for k in range(lanes)])
+    keys = [F.xxhash64(F.lit(c), *[F.col(f"lane{k}").bitwiseAND(F.lit(m)) for k, m in enumerate(mask) if m]) for c, mask in enumerate(choices)]
+    keys += [F.xxhash64(F.lit(len(choices) + c), F.substring("bands", 8 * c + 1, 8)) for c in range(setting.bands)]
     keyed = words.select(F.explode(F.array(*keys)).alias("key"), "node", "print")
     # Stored, as Spark splits a hot key only between two shuffles.
     shared = stored(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "simhash-keys")

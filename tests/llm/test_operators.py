@@ -158,6 +158,28 @@ def test_simhash_cuts_hot_keys(spark):
         assert {r["root"] for r in found} == {0} and len(found) == len(rows)
 
 
+def test_wide_fingerprints_meet_by_their_blocks(spark):
+    """Whatever the min-hashes say: pairs with fewer differing bits than blocks are linked, unlike ones are not."""
+    rng = np.random.default_rng(5)
+    wide, n = simhash.WIDE, 60
+    radius = len(simhash.masks(wide, 2 * n)) - 1
+    rows = []
+    for k in range(n):
+        value = int.from_bytes(rng.bytes(8 * wide.lanes), "big")
+        # Spread as evenly as can be, or up to the last bit that a near copy may differ in but in one block.
+        at = range(0, 384, -(-384 // radius)) if k % 3 == 0 else rng.choice(384, radius, replace=False) if k % 3 == 1 else range(16, 16 + wide.bits + 1)
+        other = value ^ sum(1 << int(b) for b in at)
+        rows += [(2 * k, value), (2 * k + 1, other)]
+    nodes = [(k, bytearray(v.to_bytes(8 * wide.lanes, "big") + rng.bytes(8 * wide.bands))) for k, v in rows]
+    found = components(simhash.links(spark.createDataFrame(nodes, "node long, print binary"), wide)).collect()
+    assert {(r["root"], r["node"]) for r in found} == {(k // 2 * 2, k) for k in range(2 * n) if k // 2 % 3 < 2}
+    # Blocks follow the number of nodes, and take every bit once.
+    for nodes in (1, 10**5, 10**7, 10**9):
+        masks = simhash.masks(wide, nodes)
+        assert 10 < len(masks) <= 24 and min(sum((m & (1 << 64) - 1).bit_count() for m in mask) for mask in masks) > nodes.bit_length()
+        assert sum((m & (1 << 64) - 1).bit_count() for mask in masks for m in mask) == 384
+
+
 def test_components_long_path_and_star(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, 100 + k) for k in range(1, 60)] + [(7, 7)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
