@@ -332,6 +332,29 @@ def test_chat_format_odd_rows(spark):
     assert chat_format.rotate(talk.limit(0)).count() == 0
 
 
+def test_chat_format_whole_leaves_nothing_out(spark):
+    """Silent speakers, segments of system messages alone, repeated rows: put end to end, the dialogue uncut."""
+    rows = [(1, k, ("system", "ann", "bob", "cy%d <")[k % 4], f"say {k} " + "é" * (k % 50)) for k in range(300)] + [(1, 301, "late", "once")]
+    rows += [(1, 400 + k, "system", "rule" * 300) for k in range(5)] + [(2, 7, "ann", "same")] * 200 + [(2, 8, "system", "y" * 5000)]
+    rows += [(None, 1, "ann", "x")] * 3 + [(3, 0, "system", "alone")]
+    talk = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+
+    def dialogues(segment_bytes):
+        out, parts = {}, 0
+        for r in sorted(chat_format.rotate(talk, segment_bytes, whole=True).toArrow().to_pylist(), key=lambda r: r["segment"]):
+            if r["conv_id"] is not None:
+                text, spans, n = out.get((r["conv_id"], r["speaker"]), ("", [], 0))
+                out[r["conv_id"], r["speaker"]] = text + r["rendered"], spans + r["spans"], n + r["n_messages"]
+            parts += 1
+        return out, parts
+
+    (cut, many), (uncut, few) = dialogues(2000), dialogues(1 << 30)
+    assert cut == uncut and many > few == 8
+    assert {k: v[2] for k, v in cut.items()} == {(1, s): 306 for s in ("ann", "bob", "cy%d <", "late")} | {(2, "ann"): 201}
+    text, spans, _ = cut[1, "late"]
+    assert [text[s["start"] : s["stop"]] for s in spans] == ["once<|im_end|>"]
+
+
 def test_chat_format_long_conversations_equal_sql(spark):
     """A long one, a hot repeated message, null turns in bulk, rows without conversation."""
     rows = [(1, k, ("system", "ann", "bob", "cy%d <")[k % 4], f"say {k} " + "é" * (k % 50)) for k in range(3000)]
