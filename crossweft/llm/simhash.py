@@ -57,6 +57,8 @@ CELL = 4096
 FEW = 8
 #: Most shingles of a component that are compared in one piece, on the average.
 CELL_SHINGLES = 1 << 19
+#: Sets that a worker sends at once.
+SET_ROWS = 500
 #: Most blocks of a wide fingerprint; with fewer nodes they only get wider than they must be.
 MOST_BLOCKS = 24
 SEED = 42
@@ -283,8 +285,10 @@ def similar(candidates: DataFrame, rows: DataFrame, setting: Setting, cell: int
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [np.unique(shingle_hashes(t, setting.shingle)).tobytes() for t in one_by_one(batch.column(2))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(sets, pa.binary())], ["key", "node", "hashes"])
+            for at in range(0, batch.num_rows, SET_ROWS):  # sets are wider than their texts
+                part = batch.slice(at, SET_ROWS)
+                sets = [np.unique(shingle_hashes(t, setting.shingle)).tobytes() for t in one_by_one(part.column(2))]
+                yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(sets, pa.binary())], ["key", "node", "hashes"])
         give_back()
 
     sets = stored(texts.mapInArrow(run, "key long, node long, hashes binary"), "simhash-sets")

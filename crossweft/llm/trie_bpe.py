@@ -9,6 +9,7 @@ Aho-Corasick automaton of the vocabulary walks along and lists the tokens that e
 A prefix shared by many words is so encoded once, and a word's tokens are read off by walking
 back from its end, token by token. Nothing depends on other documents, so there is no
 shuffle; words met before are kept in a bounded cache, which is emptied when a task ends.
+Decoding loads the bytes of the tokens alone.
 
 Defined cases: a null text counts as empty and has no tokens. The special token's string in
 a text becomes that token, as the tokenizers library does. An empty table gives an empty
@@ -37,11 +38,13 @@ SPACE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Fixed value of byte-level vocabularies: how text is split before merging.
 SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 
-#: Bounds of what a worker remembers between slices, and characters in a slice.
-CACHED_WORDS = 600_000
-CACHED_PAIRS = 500_000
-CACHED_CHARS = 8_000_000
-SLICE_CHARS = 1_000_000
+#: Bounds of what a worker remembers between slices (words: twice as many, with those from before),
+#: and characters or tokens in a slice.
+CACHED_WORDS = 200_000
+CACHED_PAIRS = 300_000
+CACHED_CHARS = 4_000_000
+SLICE_CHARS = 500_000
+SLICE_TOKENS = 250_000
 
 
 def byte_letters() -> list[str]:
@@ -51,63 +54,93 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in shown else chr(next(hidden)) for b in range(256)]
 
 
-class Vocabulary:
-    """Token ids, merge ranks and the worker's bounded memory of words and pairs."""
+class Spelling:
+    """The bytes of every token, which is all that decoding needs."""
 
     def __init__(self, path: str):
+        self._spell(self._read(path))
+
+    def _read(self, path: str) -> dict:
         with open(path, encoding="utf-8") as file:
-            model = json.load(file)
-        self.ids: dict[str, int] = model["model"]["vocab"]
+            return json.load(file)
+
+    def _spell(self, model: dict) -> None:
+        names = {i: t for t, i in model["model"]["vocab"].items()} | {t["id"]: t["content"] for t in model["added_tokens"]}
+        back = {letter: b for b, letter in enumerate(byte_letters())}
+        spelled = [bytes(back[c] for c in names.get(i, "")) for i in range(max(names) + 1)]
+        self.spelled = np.frombuffer(b"".join(spelled), np.uint8)
+        self.width = np.array([len(s) for s in spelled], np.int64)
+        self.begin = np.cumsum(self.width) - self.width
+
+    def name(self, token: int) -> bytes:
+        return self.spelled[self.begin[token] : self.begin[token] + self.width[token]].tobytes()
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        width = self.width[ids]
+        starts = np.cumsum(width) - width
+        return self.spelled[np.repeat(self.begin[ids] - starts, width) + np.arange(width.sum())].tobytes()
+
+
+class Vocabulary(Spelling):
+    """Merge ranks, the automaton of the tokens, and the worker's bounded memory of words and pairs.
+
+    Every worker holds one beside the executor's own memory, so all is by token id: the names
+    and the merges as strings go when it is made.
+    """
+
+    def __init__(self, path: str):
+        model = self._read(path)
+        self._spell(model)
+        ids: dict[str, int] = model["model"]["vocab"]
         merges = (m.split(" ") if isinstance(m, str) else m for m in model["model"]["merges"])
-        self.rank = {(a, b): i for i, (a, b) in enumerate(merges)}
         self.special = {t["content"]: t["id"] for t in model["added_tokens"]}
-        self.names = {i: t for t, i in {**self.ids, **self.special}.items()}
-        letters = byte_letters()
         self.split = regex.compile(SPLIT)
         self.at_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        #: Words met, and those met before the last time there was no room: rare ones go, common ones stay.
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.cached_chars = 0
         self.pairs: dict[int, bool] = {}
+        #: By two tokens, the first 32 bits up: the rank of their merge. By rank: the token it forms.
+        self.pair_rank: dict[int, int] = {}
+        self.forms = array("i")
         #: By token: rank of the merge that forms it (-1: a byte), its two parts, and whether
         #: merging its own bytes gives it (0: not tried, 1: yes, 2: no).
-        last_id = max(self.names) + 1
-        self.formed, self.parts, self.whole = [-1] * last_id, [(0, 0)] * last_id, bytearray(last_id)
-        self.pair_rank = {(self.ids[a], self.ids[b]): r for (a, b), r in self.rank.items()}
-        for (a, b), r in self.rank.items():
-            self.formed[self.ids[a + b]] = r
-            self.parts[self.ids[a + b]] = (self.ids[a], self.ids[b])
-        back = {letter: b for b, letter in enumerate(letters)}
-        spelled = [bytes(back[c] for c in self.names.get(i, "")) for i in range(max(self.names) + 1)]
-        self.spelled = np.frombuffer(b"".join(spelled), np.uint8)
-        self.width = np.array([len(s) for s in spelled], np.int64)
-        self.begin = np.cumsum(self.width) - self.width
-        self._automaton({i: spelled[i] for i in self.ids.values()})
-
-    def _automaton(self, tokens: dict[int, bytes]) -> None:
+        n = len(self.width)
+        self.formed, self.left, self.right, self.whole = array("i", [-1]) * n, array("i", [0]) * n, array("i", [0]) * n, bytearray(n)
+        for r, (x, y) in enumerate(merges):
+            self.pair_rank[ids[x] << 32 | ids[y]] = r
+            self.forms.append(ids[x + y])
+        for pair, r in self.pair_rank.items():
+            token = self.forms[r]
+            self.formed[token], self.left[token], self.right[token] = r, pair >> 32, pair & 0xFFFFFFFF
+        self.byte_ids = [ids.get(letter, -1) for letter in byte_letters()]
+        self._automaton(ids.values())
+
+    def _automaton(self, tokens: Iterable[int]) -> None:
         """``goto`` (state and byte to state), ``fail`` (state to the longest other suffix) and
         ``ending``: (bytes, token) of all tokens that end in a state, longest first."""
         self.goto: dict[int, int] = {}
         self.ending: list[tuple[tuple[int, int], ...]] = [()]
-        made: list[list[tuple[int, int, int]]] = []  # by depth: state, parent, byte
-        for token, name in tokens.items():
-            state = 0
+        depths, edges = array("i", [0]), array("q", [0])  # by state: depth; parent and byte
+        for token in tokens:
+            state, name = 0, self.name(token)
             for depth, byte in enumerate(name):
                 after = self.goto.get(state << 8 | byte)
                 if after is None:
                     after = self.goto[state << 8 | byte] = len(self.ending)
                     self.ending.append(())
-                    if depth == len(made):
-                        made.append([])
-                    made[depth].append((after, state, byte))
+                    depths.append(depth)
+                    edges.append(state << 8 | byte)
                 state = after
             if name:
                 self.ending[state] = ((len(name), token),)
         self.fail = [0] * len(self.ending)
-        for level in made:
-            for state, parent, byte in level:
-                suffix = self.after(self.fail[parent], byte) if parent else 0
-                self.fail[state] = suffix
-                self.ending[state] = self.ending[state] + self.ending[suffix] if self.ending[state] else self.ending[suffix]
+        for state in (np.argsort(np.frombuffer(depths, np.int32)[1:], kind="stable") + 1).tolist():
+            parent, byte = edges[state] >> 8, edges[state] & 255
+            suffix = self.after(self.fail[parent], byte) if parent else 0
+            self.fail[state] = suffix
+            self.ending[state] = self.ending[state] + self.ending[suffix] if self.ending[state] else self.ending[suffix]
 
     def after(self, state: int, byte: int) -> int:
         """The state of the longest suffix that the automaton knows, one byte on."""
@@ -120,18 +153,18 @@ class Vocabulary:
 
     def forget(self) -> None:
         """Give up the words and pairs remembered, which idle workers would hold on to."""
-        self.words, self.pairs, self.cached_chars = {}, {}, 0
+        self.words, self.older, self.pairs, self.cached_chars = {}, {}, {}, 0
 
-    def merged(self, text: str) -> list[str]:
+    def merged(self, name: bytes) -> list[int]:
         """Merge by rank, leftmost first; for strings of one or two tokens only."""
-        parts = list(text)
+        parts = [self.byte_ids[byte] for byte in name]
         while len(parts) > 1:
-            ranks = [self.rank.get(p, len(self.rank)) for p in zip(parts, parts[1:])]
+            ranks = [self.pair_rank.get(a << 32 | b, len(self.pair_rank)) for a, b in zip(parts, parts[1:])]
             best = min(ranks)
-            if best == len(self.rank):
+            if best == len(self.pair_rank):
                 break
             k = ranks.index(best)
-            parts[k : k + 2] = [parts[k] + parts[k + 1]]
+            parts[k : k + 2] = [self.forms[best]]
         return parts
 
     def follows(self, before: int, token: int) -> bool:
@@ -142,23 +175,23 @@ class Vocabulary:
         """
         whole = self.whole[token]
         if whole == 0:
-            whole = self.whole[token] = 1 if self.merged(self.names[token]) == [self.names[token]] else 2
+            whole = self.whole[token] = 1 if self.merged(self.name(token)) == [token] else 2
         if whole == 2:
             return False
         if before < 0:
             return True
-        rank, formed, limit = self.pair_rank, self.formed, len(self.rank)
+        rank, formed, limit = self.pair_rank, self.formed, len(self.pair_rank)
         a, b = before, token
         while True:
-            across = rank.get((a, b))
+            across = rank.get(a << 32 | b)
             if across is not None and across < limit:
                 return False
             if formed[a] > formed[b]:
                 limit = formed[a]
-                a = self.parts[a][1]
+                a = self.right[a]
             elif formed[b] >= 0:
                 limit = formed[b] + 1  # of equal ranks the leftmost merge comes first
-                b = self.parts[b][0]
+                b = self.left[b]
             else:
                 return True
 
@@ -206,19 +239,27 @@ class Vocabulary:
                 at -= size[at]
             self.words[word] = array("i", tokens[::-1]).tobytes()
 
+    def _not_kept(self, seen: set[str]) -> set[str]:
+        """The words that are not remembered; those remembered from before count as met again."""
+        new = seen - self.words.keys()
+        again = new & self.older.keys()
+        self.words.update((w, self.older[w]) for w in again)
+        self.cached_chars += sum(map(len, again))
+        return new - again
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as int32 bytes."""
         cut = []
         for text in texts:
             pieces = [text] if self.at_special is None else self.at_special.split(text)
             cut.append([w for p in pieces for w in ([p] if p in self.special else self.split.findall(p))])
-        new = set().union(*cut) - self.words.keys()
+        seen = set().union(*cut)
+        new = self._not_kept(seen)
         if new:
             chars = sum(map(len, new))
             if len(self.words) + len(new) > CACHED_WORDS or self.cached_chars + chars > CACHED_CHARS:
-                self.words.clear()
-                self.cached_chars = 0
-                new = set().union(*cut)
+                self.older, self.words, self.cached_chars = self.words, {}, 0
+                new = self._not_kept(seen)
                 chars = sum(map(len, new))
             self.cached_chars += chars
             self.words.update((t, np.int32(i).tobytes()) for t, i in self.special.items())
@@ -226,19 +267,23 @@ class Vocabulary:
         known = self.words.__getitem__
         return [b"".join(map(known, words)) for words in cut]
 
-    def decode(self, ids: np.ndarray) -> bytes:
-        width = self.width[ids]
-        starts = np.cumsum(width) - width
-        return self.spelled[np.repeat(self.begin[ids] - starts, width) + np.arange(width.sum())].tobytes()
-
 
-@lru_cache(maxsize=2)
-def vocabulary(path: str | None) -> Vocabulary:
+def vocabulary_file(path: str | None) -> str:
     if path is None:
         import public_tokenizers
 
         path = public_tokenizers.path("byte_bpe_50k.json")
-    return Vocabulary(path)
+    return path
+
+
+@lru_cache(maxsize=2)
+def vocabulary(path: str | None) -> Vocabulary:
+    return Vocabulary(vocabulary_file(path))
+
+
+@lru_cache(maxsize=2)
+def spelling(path: str | None) -> Spelling:
+    return Spelling(vocabulary_file(path))
 
 
 def slices(batch: pa.RecordBatch, text: str) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
@@ -253,6 +298,19 @@ def slices(batch: pa.RecordBatch, text: str) -> Iterator[tuple[pa.RecordBatch, l
             texts, start, chars = [], k + 1, 0
 
 
+def decoded(batch: pa.RecordBatch, ids: str, words: Spelling) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """A batch in runs of rows with about ``SLICE_TOKENS`` tokens, and their texts; null lists as empty."""
+    column = batch.column(ids)
+    flat, ends = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+    held = column.is_valid().to_numpy(zero_copy_only=False)
+    start = 0
+    while start < batch.num_rows:
+        stop = min(batch.num_rows, max(start + 1, int(np.searchsorted(ends, ends[start] + SLICE_TOKENS))))
+        rows = range(start, stop)
+        yield batch.slice(start, stop - start), [words.decode(flat[ends[k] : ends[k + 1]]).decode("utf-8", "replace") if held[k] else "" for k in rows]
+        start = stop
+
+
 def _with(df: DataFrame, name: str, kind: T.DataType) -> tuple[T.StructType, list[str]]:
     kept = [c for c in df.columns if c != name]
     return T.StructType([*[df.schema[c] for c in kept], T.StructField(name, kind)]), kept
@@ -281,13 +339,10 @@ def decode(tokens: DataFrame, ids: str = "ids", to: str = "decoded", path: str |
     schema, kept = _with(tokens, to, T.StringType())
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = vocabulary(path)
+        words = spelling(path)
         for batch in batches:
-            column = batch.column(ids)
-            flat, ends = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
-            held = column.is_valid().to_numpy(zero_copy_only=False)
-            texts = [words.decode(flat[a:b]).decode("utf-8", "replace") if ok else "" for a, b, ok in zip(ends, ends[1:], held)]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(texts, pa.string())], [*kept, to])
+            for part, texts in decoded(batch, ids, words):
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], pa.array(texts, pa.string())], [*kept, to])
         give_back()
 
     return tokens.mapInArrow(run, schema)

@@ -7,6 +7,7 @@ from pathlib import Path
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -623,6 +624,34 @@ def test_bpe_hard_texts():
         assert own.decode(np.frombuffer(ids, np.int32)).decode() == text
 
 
+def test_bpe_worker_memory(spark, monkeypatch):
+    """Decoding loads no merges, the encoder is small, and words that come again outlast rare ones."""
+    import tracemalloc
+
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tracemalloc.start()
+    spelled = trie_bpe.Spelling(path)
+    assert tracemalloc.get_traced_memory()[0] < 3e6
+    own = trie_bpe.Vocabulary(path)
+    assert tracemalloc.get_traced_memory()[0] < 35e6
+    tracemalloc.stop()
+    monkeypatch.setattr(trie_bpe, "CACHED_WORDS", 50)
+    learnt = []
+    learn = own.learn
+    monkeypatch.setattr(own, "learn", lambda words: (learnt.extend(words), learn(words)))
+    texts = ["again and " + " ".join(f"w{k}x{j}" for j in range(10)) for k in range(40)]
+    ids = [own.encode([text])[0] for text in texts]
+    assert learnt.count("again") == 1 and len(own.words) <= 50 and len(own.older) <= 50
+    monkeypatch.setattr(trie_bpe, "SLICE_TOKENS", 100)
+    lists = [np.frombuffer(i, np.int32).tolist() for i in ids] + [None, []]
+    batch = pa.record_batch({"ids": pa.array([[1]] + lists, pa.list_(pa.int32()))}).slice(1)
+    parts = list(trie_bpe.decoded(batch, "ids", spelled))
+    assert len(parts) > 5 and [t for _, part in parts for t in part] == texts + ["", ""]
+    assert all(part.num_rows == len(found) for part, found in parts)
+
+
 # -- queries ---------------------------------------------------------------------------
 
 
