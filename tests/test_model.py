@@ -340,3 +340,19 @@ def test_codes_do_not_depend_on_rows_coded_together(monkeypatch):
         monkeypatch.setattr(dictionary, "CODED_ROWS", rows)
         found.append(dictionary.lasso_codes(q, gram, 0.2))
     assert (found[0] == found[1]).all() and dictionary.optimality_gap(found[0], q, gram, 0.2).max() < 1e-6
+
+
+def test_like_atoms_need_few_sweeps(monkeypatch):
+    """Codes of a few atoms that are much alike end once their signs are settled; equal atoms harm no other row."""
+    rng = np.random.default_rng(5)
+    atoms = rng.normal(size=(1, 60)) + 0.3 * rng.normal(size=(8, 60))
+    atoms = np.vstack([atoms / np.linalg.norm(atoms, axis=1)[:, None], np.eye(60)[:1], np.eye(60)[:1]])
+    x = rng.random((300, 10)) * (rng.random((300, 10)) < 0.3) @ atoms
+    q, gram = x @ atoms.T, atoms @ atoms.T
+    swept, calls = dictionary._swept, []
+    monkeypatch.setattr(dictionary, "_swept", lambda codes, *rest: (calls.append(len(codes)), swept(codes, *rest))[1])
+    codes = dictionary.lasso_codes(q, gram, 0.2)
+    assert dictionary.optimality_gap(codes, q, gram, 0.2).max() <= 1e-8 * np.abs(q).max()
+    assert sum(calls) < 10 * len(q)  # 22 sweeps of five a row by descent alone
+    alone = [dictionary.lasso_codes(q[k : k + 1], gram, 0.2) for k in range(0, 300, 30)]
+    assert (np.vstack(alone) == codes[::30]).all()
