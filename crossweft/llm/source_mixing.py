@@ -150,7 +150,8 @@ def _allocate(rows: DataFrame, block_tokens: int, shard_tokens: int) -> tuple[Da
         .withColumn("earlier", F.coalesce(F.sum("times").over(in_order), F.lit(0)))
         .select("s_ix", "shard", "block", "times", "earlier")
     )
-    return laid, chosen
+    # Planned by the size of the quotas it is spelled out from, it would be sent to the driver whole.
+    return laid, chosen.hint("merge")
 
 
 def _sized(identity: str, text: str, source: str) -> list[Column]:

@@ -511,6 +511,14 @@ def test_samples_bound_rows(spark):
     assert sampled_rows(rows.unionByName(rows), 1000).count() == 507
 
 
+def test_mixing_sends_no_blocks_to_the_driver(docs):
+    """Blocks are spelled out from few quotas, so a plan that goes by their size would broadcast them all."""
+    laid = lambda mixed: mixed._jdf.queryExecution().executedPlan().toString()
+    for plan in (laid(source_mixing.mix(docs)), laid(source_mixing.mixed_documents(docs))):
+        joins = [line for line in plan.splitlines() if "Join" in line and "block#" in line]
+        assert joins and all("SortMergeJoin" in line for line in joins)
+
+
 def test_mixing_texts(odd, none):
     got = source_mixing.mixed_documents(odd, block_tokens=16, shard_tokens=5_000)
     assert got.columns == odd.columns
