@@ -356,6 +356,19 @@ def test_chat_format_whole_leaves_nothing_out(spark):
     assert [text[s["start"] : s["stop"]] for s in spans] == ["once<|im_end|>"]
 
 
+def test_chat_format_query_renders_long_conversations_whole(spark, tmp_path):
+    """The query itself: who is silent for long is in every segment, and the pieces are the whole dialogue."""
+    rows = [(1, k, ("system", "ann", "bob")[k % 3], f"say {k} " + "é" * 200) for k in range(900)] + [(1, 900, "late", "once"), (2, 0, "ann", "hi")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = sorted(chat_format.op4(spark, str(tmp_path)).toArrow().to_pylist(), key=lambda r: (r["conv_id"], r["speaker"], r["segment"]))
+    segments = {r["segment"] for r in got if r["conv_id"] == 1}
+    assert len(segments) > 4 and len(got) == 3 * len(segments) + 1
+    text = "".join(r["rendered"] for r in got if r["speaker"] == "late")
+    assert text.count("<|im_start|>") == 901 and all(f"\nsay {k} " in text for k in range(900))
+    start, stop = map(int, ",".join(r["mask"] for r in got if r["speaker"] == "late" and r["mask"]).split(":"))
+    assert text[start:stop] == "once<|im_end|>"
+
+
 def test_chat_format_long_conversations_equal_sql(spark):
     """A long one, a hot repeated message, null turns in bulk, rows without conversation."""
     rows = [(1, k, ("system", "ann", "bob", "cy%d <")[k % 4], f"say {k} " + "é" * (k % 50)) for k in range(3000)]
