@@ -18,13 +18,15 @@ For near copies, five-word shingles with similarity (Jaccard, of the shingle set
 more, ``WIDE`` decides in two steps. Candidates meet by blocks of the 384 fingerprint bits, up
 to 24 of them and each 2 bits wider than the nodes are many: every pair that differs in fewer
 bits than there are blocks shares one. Similarity 0.8 is 58 bits (mean; deviation 7, small sets
-up to 72), where blocks so wide cannot meet for certain. Such pairs also meet by min-hashes of
-the set, ``rows`` to a key and ``bands`` keys: a pair of similarity s shares a min-hash with
-probability s, so 24 keys of 5 bring it together with probability 1 - (1 - s^5)^24, which is
-0.99993 at 0.8 for sets of any size. Candidates that differ in more than ``bits`` bits go no
-further. Then each component of candidates is compared by its shingle sets themselves, and only
-pairs of ``percent`` or more are linked. Sets count a repeated shingle once, and so does a wide
-fingerprint.
+beyond 100), where blocks so wide cannot meet for certain. So all nodes also meet by the heads of
+their sets: of two sets that have ``need`` of n shingles in common, the first ``n - need + 1`` of
+each, in one order for all, share one whatever the sets are. The order is that of the hashes, with
+those that many heads hold moved to the end, so that a common passage is in few heads. Inside a
+shingle sets are held against each other by how many of their hashes fall into each of a number
+of buckets: the differences add up to no more than what the sets really differ in, so no similar
+pair is passed over. Then each component of candidates is compared by its shingle sets themselves,
+and only pairs of ``percent`` or more are linked: all of them, and no others. Sets count a repeated
+shingle once, and so does a wide fingerprint; a node is one set, by a 128-bit hash of it.
 
 Defined cases: null and empty texts have fingerprint zero, linked like any other; fewer words
 than a shingle form one. ``component_id`` is the smallest id reachable; null ids are passed
@@ -61,6 +63,11 @@ CELL_SHINGLES = 1 << 19
 SET_ROWS = 500
 #: Most blocks of a wide fingerprint; with fewer nodes they only get wider than they must be.
 MOST_BLOCKS = 24
+#: Sets of so many shingles are held against each other by so many buckets, larger ones by the last.
+BUCKETS = ((1 << 9, 64), (1 << 11, 256), (1 << 62, 1024))
+#: Heads that may hold a shingle before it is moved to the end of the order, and times that this is done.
+COMMON = 1024
+MOVES = 2
 SEED = 42
 _LOWER = bytes.maketrans(UPPER.encode(), UPPER.lower().encode())
 _RUN = 255  # rows of bits whose sums fit a byte
@@ -70,8 +77,9 @@ _RUN = 255  # rows of bits whose sums fit a byte
 class Setting:
     """shingle: words; lanes: 64-bit words of a fingerprint; bits: most that may differ.
 
-    Nodes meet by blocks of the fingerprint. ``percent`` above 0: they also meet by ``bands``
-    keys of ``rows`` min-hashes, and are linked if their sets are as similar.
+    Nodes meet by blocks of the fingerprint. ``percent`` above 0: they also meet by the heads of
+    their sets, and are linked if their sets are as similar. ``bands``: 64-bit words behind the
+    fingerprint, which tell different sets apart.
     """
 
     shingle: int
@@ -79,11 +87,10 @@ class Setting:
     bits: int
     percent: int = 0
     bands: int = 0
-    rows: int = 0
 
 
 NARROW = Setting(shingle=3, lanes=1, bits=3)
-WIDE = Setting(shingle=5, lanes=6, bits=100, percent=80, bands=24, rows=5)
+WIDE = Setting(shingle=5, lanes=6, bits=100, percent=80, bands=2)
 
 
 def shingle_hashes(text: str | None, size: int) -> np.ndarray:
@@ -114,38 +121,68 @@ def fingerprint(hashes: np.ndarray, lanes: int) -> bytes:
     return b"".join(out)
 
 
-def band_keys(hashes: np.ndarray, bands: int, rows: int) -> bytes:
-    """8 bytes a band, each from the smallest hashes of the set under ``rows`` functions."""
+def needed(n: int, percent: int) -> int:
+    """How many of its ``n`` shingles a set shares at least with one as similar."""
+    return -(-percent * n // 100)
+
+
+def head_of(hashes: np.ndarray, percent: int, common: np.ndarray) -> np.ndarray:
+    """The first hashes of a set, ``common`` ones last: similar sets share one of them."""
     if not len(hashes):
-        return bytes(8 * bands)
-    factors = mixed(np.arange(1, bands * rows + 1, dtype=np.uint64)) | np.uint64(1)
-    least = np.full(bands * rows, np.iinfo(np.uint64).max)
-    for at in range(0, len(hashes), _RUN):
-        np.minimum(least, (hashes[at : at + _RUN, None] * factors).min(axis=0), out=least)
-    keys = np.zeros(bands, np.uint64)
-    for column in least.reshape(bands, rows).T:
-        keys = mixed(keys + column)
-    return keys.astype(">u8").tobytes()
+        return hashes
+    late = np.isin(hashes, common) if len(common) else np.zeros(len(hashes), bool)
+    return np.concatenate([hashes[~late], hashes[late]])[: len(hashes) - needed(len(hashes), percent) + 1]
+
+
+def views_of(hashes: np.ndarray, percent: int) -> list[bytes]:
+    """How many hashes fall into each bucket, 255 at most, behind the size of the set.
+
+    Sets of different sizes are held against each other with the buckets of the smaller one, so
+    there is a view for every number of buckets that a set as similar and no larger may have.
+    """
+    n, out, under = len(hashes), [], 0
+    for most, buckets in BUCKETS:
+        if n and needed(n, percent) <= most and n > under:
+            counts = np.bincount((hashes >> np.uint64(64 - buckets.bit_length() + 1)).astype(np.int64), minlength=buckets)
+            out.append(np.array([n], "<u4").tobytes() + np.minimum(counts, 255).astype(np.uint8).tobytes())
+        under = most
+    return out
 
 
 def fingerprints(rows: DataFrame, setting: Setting) -> DataFrame:
-    """The rows (.., text) with ``print`` in place of the text: fingerprint, then band keys."""
+    """The rows (.., text) with ``print`` in place of the text; if sets are compared, with ``head`` and ``views``."""
     kept = rows.columns[:-1]
+    none = np.zeros(0, np.uint64)
 
-    def printed(text: str | None) -> bytes:
+    def printed(text: str | None) -> tuple[bytes, np.ndarray, list[bytes]]:
         hashes = shingle_hashes(text, setting.shingle)
         if not setting.percent:
-            return fingerprint(hashes, setting.lanes)
+            return fingerprint(hashes, setting.lanes), none, []
         hashes = np.unique(hashes)
-        return fingerprint(hashes, setting.lanes) + band_keys(hashes, setting.bands, setting.rows)
+        own = xxhash.xxh3_128_digest(hashes.tobytes())[: 8 * setting.bands]
+        return fingerprint(hashes, setting.lanes) + own, head_of(hashes, setting.percent, none), views_of(hashes, setting.percent)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            prints = [printed(t) for t in one_by_one(batch.column(len(kept)))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(prints, pa.binary())], [*kept, "print"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 4 * SET_ROWS):
+                batch = whole.slice(at, 4 * SET_ROWS)
+                prints, heads, views = zip(*(printed(t) for t in one_by_one(batch.column(len(kept)))))
+                columns = [*batch.columns[:-1], pa.array(prints, pa.binary())]
+                if setting.percent:
+                    columns += [_lists(heads), pa.array(views, pa.list_(pa.binary()))]
+                yield pa.RecordBatch.from_arrays(columns, [*kept, "print", "head", "views"][: len(columns)])
         give_back()
 
-    return rows.mapInArrow(run, rows.select(*kept).schema.add("print", T.BinaryType()))
+    schema = rows.select(*kept).schema.add("print", T.BinaryType())
+    if setting.percent:
+        schema = schema.add("head", T.ArrayType(T.LongType())).add("views", T.ArrayType(T.BinaryType()))
+    return rows.mapInArrow(run, schema)
+
+
+def _lists(values: Iterable[np.ndarray]) -> pa.ListArray:
+    values = list(values)
+    edges = pa.array(np.cumsum([0, *map(len, values)]), pa.int32())
+    return pa.ListArray.from_arrays(edges, pa.array(np.concatenate(values).view(np.int64)))
 
 
 def masks(setting: Setting, nodes: int) -> list[list[int]]:
@@ -170,6 +207,10 @@ def masks(setting: Setting, nodes: int) -> list[list[int]]:
 
 def close_pairs(prints: np.ndarray, group: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of each group's close nodes, as positions; groups lie together."""
+    return _forest(group, lambda a, b: np.bitwise_count(prints[a] ^ prints[b]).sum(axis=1) <= bits)
+
+
+def _forest(group: np.ndarray, close: Callable[[np.ndarray, np.ndarray | int], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     n = len(group)
     start = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
     size = np.diff(np.concatenate([start, [n]]))
@@ -177,7 +218,7 @@ def close_pairs(prints: np.ndarray, group: np.ndarray, bits: int) -> tuple[np.nd
     left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for step in range(1, FEW):
         a = np.flatnonzero((group[step:] == group[:-step]) & small[step:])
-        a = a[np.bitwise_count(prints[a] ^ prints[a + step]).sum(axis=1) <= bits]
+        a = a[close(a, a + step)]
         left.append(a)
         right.append(a + step)
     for at, count in zip(start[size > FEW].tolist(), size[size > FEW].tolist()):
@@ -186,7 +227,7 @@ def close_pairs(prints: np.ndarray, group: np.ndarray, bits: int) -> tuple[np.nd
             front, waiting = [waiting[0]], waiting[1:]
             while front and len(waiting):
                 u = front.pop()
-                near = np.bitwise_count(prints[waiting] ^ prints[u]).sum(axis=1) <= bits
+                near = close(waiting, u)
                 found = waiting[near]
                 if len(found):
                     left.append(np.full(len(found), u))
@@ -201,10 +242,8 @@ def links(nodes: DataFrame, setting: Setting, cell: int = CELL) -> DataFrame:
     lanes = setting.lanes
     choices = masks(setting, nodes.count())
     lane = lambda k: F.conv(F.hex(F.substring("print", 8 * k + 1, 8)), 16, -10).cast("long")
-    part = [F.substring("print", 1, 8 * lanes).alias("print"), F.substring("print", 8 * lanes + 1, 8 * setting.bands).alias("bands")]
-    words = nodes.select("node", *part, *[lane(k).alias(f"lane{k}") for k in range(lanes)])
+    words = nodes.select("node", F.substring("print", 1, 8 * lanes).alias("print"), *[lane(k).alias(f"lane{k}") for k in range(lanes)])
     keys = [F.xxhash64(F.lit(c), *[F.col(f"lane{k}").bitwiseAND(F.lit(m)) for k, m in enumerate(mask) if m]) for c, mask in enumerate(choices)]
-    keys += [F.xxhash64(F.lit(len(choices) + c), F.substring("bands", 8 * c + 1, 8)) for c in range(setting.bands)]
     keyed = words.select(F.explode(F.array(*keys)).alias("key"), "node", "print")
     # Stored, as Spark splits a hot key only between two shuffles.
     shared = stored(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "simhash-keys")
@@ -218,10 +257,14 @@ def links(nodes: DataFrame, setting: Setting, cell: int = CELL) -> DataFrame:
 
 def pairs_in_cells(keyed: DataFrame, pieces: DataFrame, found: Callable[[pa.Table, np.ndarray], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
     """(a, b): what ``found`` links among the rows (key, node, value) of a key, by pairs of its pieces."""
+    return met_in_pieces(keyed.join(pieces, "key"), found)
+
+
+def met_in_pieces(keyed: DataFrame, found: Callable[[pa.Table, np.ndarray], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """The same for rows (key, node, value, pieces)."""
     value = keyed.columns[2]
     met = (
-        keyed.join(pieces, "key")
-        .withColumn("piece", F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int"))
+        keyed.withColumn("piece", F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
         .select("key", F.least("piece", "other").alias("p"), F.greatest("piece", "other").alias("q"), "node", value)
     )
@@ -250,6 +293,64 @@ def pairs_in_cells(keyed: DataFrame, pieces: DataFrame, found: Callable[[pa.Tabl
     return groups.mapInArrow(run, "a long, b long")
 
 
+def alike(nodes: DataFrame, reread: Callable[[DataFrame, np.ndarray], DataFrame], setting: Setting, cell: int = CELL, common: int = COMMON) -> DataFrame:
+    """(a, b): nodes (node, head, views) of which one component holds all that may be similar.
+
+    ``reread`` gives the heads (node, head) of nodes, with the hashes it is given moved to the end.
+    """
+    percent, moved = setting.percent, np.zeros(0, np.uint64)
+    for turn in range(MOVES + 1):
+        heads = nodes.select(F.explode("head").alias("shingle"), "node")
+        counts = stored(heads.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "simhash-heads")
+        many = counts.where(F.col("n") > common).select("shingle").toArrow()["shingle"].to_numpy().view(np.uint64) if turn < MOVES else moved
+        fresh = np.setdiff1d(many, moved)
+        if not len(fresh):
+            break
+        moved = np.union1d(moved, fresh)
+        hot = counts.where(F.col("n") > common).select("shingle")
+        touched = heads.join(F.broadcast(hot), "shingle").select("node").distinct()
+        again = reread(touched, moved).withColumnRenamed("head", "again")
+        nodes = stored(nodes.join(again, "node", "left").select("node", F.coalesce("again", "head").alias("head"), "views"), "simhash-nodes")
+    shared = heads.join(counts, "shingle")  # narrow rows first: few shingles are in two heads
+    keyed = shared.join(nodes.select("node", "views"), "node").select("shingle", "node", F.explode("views").alias("view"), "n")
+    keyed = keyed.select(F.xxhash64("shingle", F.octet_length("view")).alias("key"), "node", "view", F.ceil(F.col("n") / cell).cast("int").alias("pieces"))
+
+    def found(rows: pa.Table, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        views = rows["view"].to_pylist()
+        width = np.array([len(v) for v in views], np.int64)
+        for w in np.unique(width).tolist():
+            at = np.flatnonzero(width == w)
+            table_ = np.frombuffer(b"".join([views[k] for k in at]), np.uint8).reshape(-1, w)
+            size, counts = table_[:, :4].copy().view("<u4")[:, 0].astype(np.int64), table_[:, 4:]
+
+            def close(a, b):
+                apart = (np.maximum(counts[a], counts[b]) - np.minimum(counts[a], counts[b])).sum(axis=1, dtype=np.int64)
+                return (100 + percent) * apart <= (100 - percent) * (size[a] + size[b])
+
+            a, b = _forest(marks[at], close)
+            left.append(at[a])
+            right.append(at[b])
+        return np.concatenate(left), np.concatenate(right)
+
+    return met_in_pieces(keyed, found)
+
+
+def reread_heads(nodes: DataFrame, rows: DataFrame, setting: Setting, common: np.ndarray) -> DataFrame:
+    """(node, head) of the nodes (node, locator), whose texts are in ``rows`` (locator, .., text)."""
+    texts = nodes.join(rows.select("locator", rows.columns[-1]), "locator").select("node", rows.columns[-1])
+    shared = rows.sparkSession.sparkContext.broadcast(common)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            heads = [head_of(np.unique(shingle_hashes(t, setting.shingle)), setting.percent, shared.value) for t in one_by_one(batch.column(1))]
+            if heads:
+                yield pa.RecordBatch.from_arrays([batch.column(0), _lists(heads)], ["node", "head"])
+        give_back()
+
+    return texts.mapInArrow(run, "node long, head array<long>")
+
+
 def close_sets(flat: np.ndarray, edges: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the sets ``flat[edges[k]:edges[k + 1]]`` with that similarity or more."""
     n, size = len(edges) - 1, np.diff(edges)
@@ -320,17 +421,22 @@ def _marks(rows: pa.Table) -> np.ndarray:
 def grouped(rows: DataFrame, setting: Setting) -> DataFrame:
     """The rows (locator if sets are compared, doc_id, text) with print, component (a node) and component_id."""
     printed = stored(fingerprints(rows, setting).withColumn("uid", F.monotonically_increasing_id()), "simhash-prints")
-    nodes = stored(printed.groupBy("print").agg(F.min("uid").alias("node"), F.min("doc_id").alias("least")), "simhash-nodes")
+    wide = [F.first(c).alias(c) for c in ("head", "views") if setting.percent]
+    nodes = stored(printed.groupBy("print").agg(F.min("uid").alias("node"), F.min("doc_id").alias("least"), *wide), "simhash-nodes")
     near = links(nodes.select("node", "print"), setting)
     if setting.percent:
-        loose = components(near, "simhash-candidates").join(printed.select(F.col("uid").alias("node"), "locator"), "node")
+        places = printed.select(F.col("uid").alias("node"), "locator")
+        near = near.unionByName(
+            alike(nodes.select("node", "head", "views"), lambda some, common: reread_heads(some.join(places, "node"), rows, setting, common), setting)
+        )
+        loose = components(near, "simhash-candidates").join(places, "node")
         near = similar(loose, rows, setting)
     roots = components(near, "simhash-links")
     placed = nodes.join(roots, "node", "left").select("print", "least", F.coalesce("root", "node").alias("component"))
     named = placed.groupBy("component").agg(F.min("least").alias("component_id"))
     # Only this table of nodes, never the documents, is grouped by component.
     of_print = stored(placed.join(named, "component").select("print", "component", "component_id"), "simhash-components")
-    return printed.join(of_print, "print")
+    return printed.select(*rows.columns[:-1], "print").join(of_print, "print")
 
 
 def near_groups(docs: DataFrame, setting: Setting = NARROW, identity: str = "doc_id", text: str = "text") -> DataFrame:

@@ -135,6 +135,47 @@ def test_near_copies_near_the_required_similarity(spark):
     assert {i for i in range(480) if i not in kept} == {i for i, close in brute.items() if close} and 80 < sum(brute.values()) < 200
 
 
+def test_near_copies_meet_for_certain(spark):
+    """Pairs at 0.8 whose fingerprints differ in 101 bits and more, or whose 24 min-hash keys all differ."""
+    rows = []
+    for k in (8488, 13280, 14995, 15836):
+        words = [f"v{k}.{i}" for i in range(9)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[:8]))]
+    kept = simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r["doc_id"] for r in kept) == [16976, 26560, 29990, 31672]
+
+
+def test_near_copies_meet_beside_common_passages(spark):
+    """By brute force: sizes across the numbers of buckets, a passage in all texts moved out of their heads, small cells."""
+    rng = np.random.default_rng(9)
+    passage, rows, sets = [f"p{k}" for k in range(40)], [], []
+    for k in range(60):
+        n = (12, 60, 1000, 1030, 1300, 4100, 5000)[k % 7]
+        words = [f"w{v}" for v in rng.integers(1 << 40, size=n)] + passage
+        for cut in (0, 1 + n // 50, n // 9, n // 5):
+            sets.append(words[: len(words) - 40 - cut] + passage)
+            rows.append((len(rows), " ".join(sets[-1])))
+    hashed = [np.unique(simhash.shingle_hashes(text, 5)) for _, text in rows]
+    similar = lambda a, b: 100 * len(np.intersect1d(a, b)) >= 80 * len(np.union1d(a, b))
+    want = {(a, b) for a in range(240) for b in range(a + 1, min(240, a + 4)) if a // 4 == b // 4 and similar(hashed[a], hashed[b])}
+    none = np.zeros(0, np.uint64)
+    lists = [(k, [int(x) for x in simhash.head_of(h, 80, none).view(np.int64)], simhash.views_of(h, 80)) for k, h in enumerate(hashed)]
+    nodes = spark.createDataFrame(lists, "node long, head array<long>, views array<binary>")
+    texts = spark.createDataFrame(rows, "locator long, text string")
+    asked = []
+
+    def reread(some, common):
+        asked.append(len(common))
+        return simhash.reread_heads(some.withColumn("locator", F.col("node")), texts, simhash.WIDE, common)
+
+    for cell, common in ((4096, 1024), (4, 8)):
+        found = {r["node"]: r["root"] for r in components(simhash.alike(nodes, reread, simhash.WIDE, cell, common)).collect()}
+        assert all(found.get(a, a) == found.get(b, -b) for a, b in want) and len(want) > 100
+        # Unlike sets stay apart although all share the passage, which is most of only the smallest.
+        assert all(found.get(a, a) // 4 == a // 4 for a in range(240) if a // 4 % 7)
+    assert asked and max(asked) >= 1
+
+
 def test_near_copies_compare_sets_across_cells(spark):
     """Chains of sets, each close to the next only, stay whole however small the pieces are."""
     rows = [(10 * c + k, " ".join(f"c{c}w{w}" for w in range(4 * k, 4 * k + 60))) for c in range(3) for k in range(10)]
