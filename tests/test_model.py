@@ -356,3 +356,21 @@ def test_like_atoms_need_few_sweeps(monkeypatch):
     assert sum(calls) < 10 * len(q)  # 22 sweeps of five a row by descent alone
     alone = [dictionary.lasso_codes(q[k : k + 1], gram, 0.2) for k in range(0, 300, 30)]
     assert (np.vstack(alone) == codes[::30]).all()
+
+
+def test_codes_are_found_without_sweeps(monkeypatch):
+    """Rows of few atoms, beside like atoms, an empty one and zero rows: searched side by side, equal to the descent."""
+    rng = np.random.default_rng(4)
+    atoms = rng.standard_normal((24, 60)) * (rng.random((24, 60)) < 0.2)
+    atoms[5] = atoms[4] + 0.05 * rng.standard_normal(60)
+    atoms[6] = 0.0
+    atoms /= np.maximum(np.linalg.norm(atoms, axis=1, keepdims=True), 1e-12)
+    rows = (rng.standard_normal((3000, 24)) * (rng.random((3000, 24)) < 0.1)) @ atoms + 0.02 * rng.standard_normal((3000, 60))
+    rows[:10] = 0.0
+    q, gram = rows @ atoms.T, atoms @ atoms.T
+    residual, live = q.copy(), np.flatnonzero(np.diag(gram) > 0)
+    slow, _ = dictionary._swept(np.zeros_like(q), residual, gram, 0.1, live, 3000)
+    monkeypatch.setattr(dictionary, "_swept", None)
+    fast = dictionary.lasso_codes(q, gram, 0.1)
+    assert np.abs(fast - slow).max() < 1e-7 and (fast[:10] == 0).all() and (fast[:, 6] == 0).all()
+    assert dictionary.optimality_gap(fast, q, gram, 0.1).max() < 1e-8
