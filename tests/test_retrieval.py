@@ -379,3 +379,35 @@ def test_wide_rings_are_dealt_to_the_cores(spark):
     assert found.select(F.spark_partition_id()).distinct().count() > 1
     assert [(r.qkey, r.key, r.dist) for r in found.orderBy("qkey").collect()] == [(k, k, 0) for k in held]
     assert lsh.probe_tasks(keys, 6_000, 24, 5) < lsh.probe_tasks(keys, 6_000, 24, 7) < lsh.probe_tasks(keys, 60_000, 24, 7)
+
+
+def test_blocks_are_looked_through_in_single_precision_first(monkeypatch):
+    """The best rows are the same as by scoring everything: ties, near-ties, weights, bias, large and broken values."""
+    rng = np.random.default_rng(7)
+    n, k, dim = 3000, 7, 12
+    items = rng.standard_normal((n, dim))
+    items[:600] = items[0]  # a fifth of the block ties at the top of a query
+    items[600:640] = items[1] * np.linspace(0.1, 5, 40)[:, None]
+    items[640:700] = items[2] + 1e-6 * rng.standard_normal((60, dim))
+    items[700:800] = 0.0
+    asked = np.vstack([items[[0, 1, 2, 700]], rng.standard_normal((60, dim))])
+    whole = []
+    best = similarity.best_per_row
+    monkeypatch.setattr(similarity, "best_per_row", lambda scores, k: (whole.append(len(scores)), best(scores, k))[1])
+    for bias in (np.zeros(n), rng.random(n), 1e9 * rng.random(n), np.where(np.arange(n) == 5, 1e300, 0.0)):
+        weights = [np.ones(64), rng.random(64), -rng.random(64)]
+        lists = lambda x: pa.array(list(x), pa.list_(pa.float64()))
+        queries = pa.table({"qid": np.arange(64), "vec": lists(asked), "w_sim": weights[0], "w_bias": weights[1], "w_const": weights[2]})
+        table = pa.table({"item_id": rng.permutation(n), "vec": lists(items), "bias": bias})
+        found = similarity.keep_best([similarity.score_block(queries, table, k)], k).to_pylist()
+        got = {(r["qid"], r["item_id"]) for r in found}
+        order = np.argsort(table["item_id"].to_numpy())
+        unit = similarity.unit_rows(items)[order]
+        sims = similarity.unit_rows(asked) @ unit.T
+        scores = np.round(weights[0][:, None] * sims + weights[1][:, None] * bias[order] + weights[2][:, None], 6)
+        want = {(q, int(i)) for q in range(64) for i in np.lexsort((np.arange(n), -scores[q]))[:k]}
+        if bias.max() <= 1:
+            assert got == want
+        else:  # beyond the digits that are ranked, only the scores are defined
+            assert len(got) == 64 * k and np.allclose(sorted(r["score"] for r in found if r["qid"] == 9), sorted(scores[9, i] for q, i in want if q == 9), rtol=1e-9, atol=1e-6)
+    assert sum(whole) < 2 * 64 + 16
